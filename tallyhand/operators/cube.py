@@ -141,10 +141,12 @@ def discard_rollup(counts: DataFrame, supplied_total: DataFrame | None = None) -
     given = counts.where(F.col("reason") != "total").groupBy("reason").agg(F.sum("hands").alias("hands"))
     rows = tracked.join(given, "reason", "full_outer").select("reason", F.coalesce("hands", F.lit(0)).alias("hands"))
     if supplied_total is not None:
-        total = supplied_total.agg(F.sum("hands").alias("supplied"))
-        gap = rows.agg(F.sum("hands").alias("found")).crossJoin(total).select(
+        both = rows.select("hands", F.lit(0).cast("bigint").alias("supplied")).unionAll(
+            supplied_total.select(F.lit(0).cast("bigint"), F.col("hands").cast("bigint"))
+        )
+        gap = both.agg(F.sum("hands").alias("found"), F.sum("supplied").alias("supplied")).select(
             F.lit("other").alias("reason"),
-            F.when(F.coalesce("supplied", F.lit(0)) != 0, F.col("supplied") - F.col("found")).otherwise(F.lit(0)).alias("gap"),
+            F.when(F.col("supplied") != 0, F.col("supplied") - F.col("found")).otherwise(F.lit(0)).alias("gap"),
         )
         rows = rows.join(gap, "reason", "left").select("reason", (F.col("hands") + F.coalesce("gap", F.lit(0))).alias("hands"))
     sums = rows.groupingSets([[F.col("reason")], []], F.col("reason")).agg(F.sum("hands").cast("bigint").alias("hands"))

@@ -56,14 +56,28 @@ def decayed_mean(weighted: DataFrame, keys: list[str], values: list[str]) -> Dat
     )
 
 
+def ranked_months(cube: DataFrame, unknown_is_newest: bool = False) -> DataFrame:
+    """(month, rank, of) over the distinct months of a frame, rank 1 = newest.
+
+    The month keys are combined map-side into one short sorted array, so no row but
+    the keys themselves travels. ``unknown`` ranks last unless asked otherwise.
+    """
+    keys = F.collect_set("month")
+    known = F.sort_array(F.filter(keys, lambda m: m != "unknown"), asc=False)
+    rest = F.filter(keys, lambda m: m == "unknown")
+    ordered = F.concat(rest, known) if unknown_is_newest else F.concat(known, rest)
+    listed = cube.agg(ordered.alias("keys"))
+    return listed.select(F.posexplode("keys").alias("rank", "month"), F.size("keys").alias("of")).select(
+        "month", (F.col("rank") + 1).alias("rank"), "of"
+    )
+
+
 def weighted_rate(cube: DataFrame, keys: list[str], table: dict = DECAY) -> DataFrame:
     """sum(att*w)/sum(opp*w) over the newest three months of the whole cube."""
-    months = cube.select("month").distinct()
-    ranked = months.withColumn("rank", F.row_number().over(Window.orderBy(*newest_first(F.col("month"))))).where(
-        F.col("rank") <= 3
-    )
-    picked = ranked.withColumn(
-        "weight", decay_weight(F.col("rank"), F.count(F.lit(1)).over(Window.partitionBy()), table)
+    picked = (
+        ranked_months(cube)
+        .where(F.col("rank") <= 3)
+        .select("month", decay_weight(F.col("rank"), F.col("of"), table).alias("weight"))
     )
     rows = cube.join(picked, "month")
     att, opp = F.sum(F.col("attempts") * F.col("weight")), F.sum(F.col("opportunities") * F.col("weight"))
@@ -77,14 +91,15 @@ def weighted_rate(cube: DataFrame, keys: list[str], table: dict = DECAY) -> Data
 def months_up_to(months: DataFrame, selected: str | None, table: dict = DECAY) -> DataFrame:
     """(month, rank, weight): the selected month and the two before it.
 
-    ``selected=None`` starts from the newest month. ``months`` has one row per month.
+    ``selected=None`` starts from the newest month; ``unknown`` sorts after all months.
     """
-    pool = months if selected is None else months.where(month_order(F.col("month")) <= selected)
-    ranked = pool.withColumn("rank", F.row_number().over(Window.orderBy(month_order(F.col("month")).desc()))).where(
-        F.col("rank") <= 3
+    pool = months if selected is None else months.where(
+        month_order(F.col("month")) <= ("9999-99" if selected == "unknown" else selected)
     )
-    return ranked.withColumn(
-        "weight", decay_weight(F.col("rank"), F.count(F.lit(1)).over(Window.partitionBy()), table)
+    return (
+        ranked_months(pool, unknown_is_newest=True)
+        .where(F.col("rank") <= 3)
+        .select("month", "rank", decay_weight(F.col("rank"), F.col("of"), table).alias("weight"))
     )
 
 
@@ -99,27 +114,18 @@ def blend_months(scores: DataFrame, picked: DataFrame, keys: list[str], value: s
 
 def last_months(cube: DataFrame, n: int) -> DataFrame:
     """Rows of the newest ``n`` months present anywhere in the cube."""
-    newest = (
-        cube.select("month").distinct()
-        .withColumn("rank", F.row_number().over(Window.orderBy(F.col("month").desc())))
-        .where(F.col("rank") <= n)
-        .select("month")
-    )
-    return cube.join(newest, "month", "left_semi")
+    newest = ranked_months(cube, unknown_is_newest=True).where(F.col("rank") <= n)
+    return cube.join(newest.select("month"), "month", "left_semi")
 
 
 def ramp_series(cube: DataFrame, n: int, keys: list[str]) -> DataFrame:
     """Series of the last ``n`` months with a weight that grows by month, plus the series totals."""
-    rows = last_months(cube, n)
-    spine = rows.select("month").distinct()
-    spine = spine.withColumn("pos", F.row_number().over(Window.orderBy("month"))).withColumn(
-        "of", F.count(F.lit(1)).over(Window.partitionBy())
-    )
+    spine = ranked_months(cube, unknown_is_newest=True).where(F.col("rank") <= n)
+    rows = cube.join(spine, "month").withColumn("of", F.least("of", F.lit(n)))
     per_key = Window.partitionBy(*keys)
     opp, att = F.sum("opportunities").over(per_key), F.sum("attempts").over(per_key)
     return (
-        rows.join(spine, "month")
-        .withColumn("ramp", F.round(F.col("pos") / F.col("of"), 2))
+        rows.withColumn("ramp", F.round((F.col("of") - F.col("rank") + 1) / F.col("of"), 2))
         .withColumn("percentage", ratio_pct(F.col("attempts"), F.col("opportunities")))
         .withColumns(
             {"total_opportunities": opp, "total_attempts": att, "average_percentage": ratio_pct(att, opp)}

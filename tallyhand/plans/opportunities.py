@@ -34,29 +34,38 @@ def _flags(df: DataFrame, metrics: list[dict]) -> DataFrame:
     return df.withColumns(cols)
 
 
-def count_metrics(df: DataFrame, metrics: list[dict], keys: list[str], groups: str | None = None) -> DataFrame:
-    """Long cube (keys..., [grp], stat_id, opportunities, attempts) without zero-opportunity rows.
+def count_flags(
+    flagged: DataFrame, stats: list[tuple[str, list[str] | None]], keys: list[str], groups: str | None = None
+) -> DataFrame:
+    """Long cube from flag columns ``o0, a0, o1, a1, ...``, one pair per (stat_id, labels).
 
     ``groups`` names an array of labels: a row counts once under each label that a
-    metric applies to. The predicates run before the labels are exploded.
+    metric applies to (None = all of them). The predicates ran before the labels are
+    exploded.
     """
-    flagged = _flags(df, metrics)
     by = list(keys)
-    member = [F.lit(True)] * len(metrics)
+    pairs = [f"{k}{i}" for i in range(len(stats)) for k in "oa"]
+    member = {i: F.lit(True) for i in range(len(stats))}
     if groups:
-        flagged = flagged.select(*keys, *[f"{k}{i}" for i in range(len(metrics)) for k in "oa"], F.explode(groups).alias("grp"))
+        flagged = flagged.select(*keys, *pairs, F.explode(groups).alias("grp"))
         by.append("grp")
-        member = [F.col("grp").isin(m["applies_to_groups"]) for m in metrics]
+        member |= {i: F.col("grp").isin(labels) for i, (_, labels) in enumerate(stats) if labels is not None}
     wide = flagged.groupBy(*by).agg(
-        *[count_true(member[i] & F.col(f"{k}{i}")).alias(f"{k}{i}") for i in range(len(metrics)) for k in "oa"]
+        *[count_true(member[i] & F.col(f"{k}{i}")).alias(f"{k}{i}") for i in range(len(stats)) for k in "oa"]
     )
     triples = F.array(
         *[
-            F.struct(F.lit(m["id"]).alias("stat_id"), F.col(f"o{i}").alias("opportunities"), F.col(f"a{i}").alias("attempts"))
-            for i, m in enumerate(metrics)
+            F.struct(F.lit(stat).alias("stat_id"), F.col(f"o{i}").alias("opportunities"), F.col(f"a{i}").alias("attempts"))
+            for i, (stat, _) in enumerate(stats)
         ]
     )
-    return wide.select(*by, F.inline(triples)).where(F.col("opportunities") > 0)
+    return wide.select(*by, F.inline(triples)).where((F.col("opportunities") > 0) | (F.col("attempts") > 0))
+
+
+def count_metrics(df: DataFrame, metrics: list[dict], keys: list[str], groups: str | None = None) -> DataFrame:
+    """Long cube (keys..., [grp], stat_id, opportunities, attempts) of a metric catalogue."""
+    stats = [(m["id"], m["applies_to_groups"]) for m in metrics]
+    return count_flags(_flags(df, metrics), stats, keys, groups)
 
 
 def count_hands(facts: DataFrame, metrics: list[dict]) -> DataFrame:
