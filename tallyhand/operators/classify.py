@@ -68,13 +68,11 @@ def manifest(files: DataFrame, text: str = "text", name: str = "name", network_r
 def group_sample(records: DataFrame, order: list[str], n: int = 10) -> DataFrame:
     """The first ``n`` records of each group in input order (a report, not a filter).
 
-    Each input task first keeps its own first ``n`` per group, so a hot group does
-    not travel whole.
+    The rank test sits right on the window, so each task keeps its own first ``n`` per
+    group before the shuffle (WindowGroupLimit) and a hot group does not travel whole.
     """
-    keep = F.row_number().over(Window.partitionBy("grp", "_part").orderBy(*order))
-    local = records.withColumn("_part", F.spark_partition_id()).withColumn("_rn", keep).where(F.col("_rn") <= n)
-    final = F.row_number().over(Window.partitionBy("grp").orderBy(*order))
-    return local.withColumn("_rn", final).where(F.col("_rn") <= n).drop("_rn", "_part")
+    rank = F.row_number().over(Window.partitionBy("grp").orderBy(*order))
+    return records.withColumn("_rn", rank).where(F.col("_rn") <= n).drop("_rn")
 
 
 def file_totals(records: DataFrame, file_id: str = "file_id") -> DataFrame:
