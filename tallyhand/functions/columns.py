@@ -37,6 +37,14 @@ def count_true(cond: Column) -> Column:
     return F.coalesce(F.sum(F.when(cond, F.lit(1)).otherwise(F.lit(0)).cast("bigint")), F.lit(0).cast("bigint"))
 
 
+def steady_round(value: Column, decimals: int) -> Column:
+    """Half-up rounding that does not depend on the order partial sums were added in.
+
+    Noise in the last bits of a double would otherwise push exact halves either way.
+    """
+    return F.round(F.round(value, 8), decimals)
+
+
 def ratio_pct(att: Column, opp: Column, decimals: int = 2) -> Column:
     """att/opp as a percentage, 0.0 when there was no opportunity."""
     return F.when(opp > 0, F.round(att / opp * 100.0, decimals)).otherwise(F.lit(0.0))

@@ -7,7 +7,7 @@ text; ``unknown`` sorts last.
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallyhand.functions.columns import ratio_pct, weighted_mean
+from tallyhand.functions.columns import ratio_pct, steady_round, weighted_mean
 
 # Weights of the newest 1, 2 or 3 months, newest first.
 DECAY = {1: [1.0], 2: [0.5, 0.5], 3: [0.5, 0.3, 0.2]}
@@ -166,10 +166,10 @@ def trend(cube: DataFrame, n: int, keys: list[str]) -> DataFrame:
     )
     return halves.select(
         *keys, "months_analyzed", label.alias("trend"),
-        F.round("a", 2).alias("first_period_avg"),
-        F.round("b", 2).alias("second_period_avg"),
-        F.round(change, 2).alias("absolute_change"),
-        F.when(F.col("a") != 0, F.round(change / F.col("a") * 100.0, 2)).otherwise(F.lit(0.0)).alias("rate_of_change"),
+        steady_round(F.col("a"), 2).alias("first_period_avg"),
+        steady_round(F.col("b"), 2).alias("second_period_avg"),
+        steady_round(change, 2).alias("absolute_change"),
+        F.when(F.col("a") != 0, steady_round(change / F.col("a") * 100.0, 2)).otherwise(F.lit(0.0)).alias("rate_of_change"),
         "latest_value", "peak_value", "valley_value",
     )
 

@@ -8,7 +8,7 @@ optimizer broadcasts a side only when its size says so.
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tallyhand.functions import scoring
-from tallyhand.functions.columns import ratio_pct, weighted_mean
+from tallyhand.functions.columns import ratio_pct, steady_round, weighted_mean
 from tallyhand.operators.cube import combine_groups
 from tallyhand.operators.months import DECAY, decayed_mean, usable_months
 from tallyhand.plans import targets
@@ -77,7 +77,7 @@ def stat_level(
     )
     out = decayed_mean(scored, ["grp", "stat_id"], ["pct", "score"])
     return out.select(
-        "grp", "stat_id", F.round("pct", 2).alias("pct_time_decay"), F.round("score", 2).alias("score_time_decay"), "months_used"
+        "grp", "stat_id", steady_round(F.col("pct"), 2).alias("pct_time_decay"), steady_round(F.col("score"), 2).alias("score_time_decay"), "months_used"
     )
 
 
@@ -86,7 +86,7 @@ def subgroup_level(stats: DataFrame, weights: DataFrame) -> DataFrame:
     return (
         stats.join(weights.where(F.col("weight") > 0), "stat_id")
         .groupBy("subgroup", "grp")
-        .agg(F.round(weighted_mean(F.col("score_time_decay"), F.col("weight")), 2).alias("score"))
+        .agg(steady_round(weighted_mean(F.col("score_time_decay"), F.col("weight")), 2).alias("score"))
     )
 
 
@@ -94,7 +94,7 @@ def group_level(subgroups: DataFrame, weights: DataFrame, rescale: bool = False)
     """Subgroup scores times their weights; ``rescale`` divides by the weights present."""
     part = F.sum(F.col("score") * F.col("subgroup_weight"))
     total = part / F.sum("subgroup_weight") if rescale else part
-    return subgroups.join(weights, "subgroup").groupBy("grp").agg(F.round(total, 2).alias("score"))
+    return subgroups.join(weights, "subgroup").groupBy("grp").agg(steady_round(total, 2).alias("score"))
 
 
 def overall(groups: DataFrame, weights: DataFrame, missing: str = "zero") -> DataFrame:
@@ -106,7 +106,7 @@ def overall(groups: DataFrame, weights: DataFrame, missing: str = "zero") -> Dat
     top = F.sum(F.coalesce("score", F.lit(0.0)) * F.col("grp_weight"))
     bottom = F.sum(F.when(present, F.col("grp_weight")))
     # no score at all gives no overall
-    return rows.agg(F.when(F.count("score") > 0, F.round(top / bottom, 2)).alias("overall"))
+    return rows.agg(F.when(F.count("score") > 0, steady_round(top / bottom, 2)).alias("overall"))
 
 
 def rescaled(weights: DataFrame, level: list[str], weight: str = "weight") -> DataFrame:
@@ -137,7 +137,7 @@ def tier_scores(cube: DataFrame, goals: DataFrame) -> DataFrame:
 
 def group_overall(scored: DataFrame) -> DataFrame:
     """Weighted mean over the scored metrics of each group."""
-    return scored.groupBy("grp").agg(F.round(weighted_mean(F.col("score"), F.col("weight")), 1).alias("overall_score"))
+    return scored.groupBy("grp").agg(steady_round(weighted_mean(F.col("score"), F.col("weight")), 1).alias("overall_score"))
 
 
 def counter_goals(spark: SparkSession) -> DataFrame:
@@ -159,7 +159,7 @@ def category_scores(cube: DataFrame, goals: DataFrame) -> DataFrame:
     scored = tier_scores(cube, goals)
     part = F.sum(F.col("score") * F.col("weight"))
     score = F.when(F.max("rescale"), part / F.sum("weight")).otherwise(part)
-    rounded = F.when(F.max("decimals") == 1, F.round(score, 1)).otherwise(F.round(score, 2))
+    rounded = F.when(F.max("decimals") == 1, steady_round(score, 1)).otherwise(steady_round(score, 2))
     return scored.groupBy("grp", "category").agg(rounded.alias("score"), F.count(F.lit(1)).alias("stats"))
 
 
@@ -175,7 +175,7 @@ def hand_share_blend(groups: DataFrame, postflop: DataFrame, pool: list[str] | N
         groups.where(F.col("hands") > 0)
         .groupBy(family.alias("family"))
         .agg(
-            F.round(F.sum(F.coalesce("score", F.lit(0.0)) * F.col("hands")) / F.sum("hands"), 1).alias("score"),
+            steady_round(F.sum(F.coalesce("score", F.lit(0.0)) * F.col("hands")) / F.sum("hands"), 1).alias("score"),
             F.sum("hands").alias("hands"),
         )
         .select("family", "score", F.col("hands").cast("double").alias("hands"))
@@ -206,7 +206,7 @@ def postflop_subgroups(scored: DataFrame) -> DataFrame:
     """Score and share of weight per post-flop subgroup."""
     rows = scored.groupBy("subgroup").agg(
         F.sum("weight").alias("raw"),
-        F.round(F.coalesce(weighted_mean(F.col("score"), F.when(F.col("weight") > 0, F.col("weight"))), F.lit(0.0)), 1).alias("score"),
+        steady_round(F.coalesce(weighted_mean(F.col("score"), F.when(F.col("weight") > 0, F.col("weight"))), F.lit(0.0)), 1).alias("score"),
     )
     return rescaled(rows.withColumnRenamed("raw", "weight").withColumn("_all", F.lit(1)), ["_all"]).drop("_all")
 
@@ -214,5 +214,5 @@ def postflop_subgroups(scored: DataFrame) -> DataFrame:
 def postflop_overall(subgroups: DataFrame, weights: DataFrame) -> DataFrame:
     """Fixed subgroup weights, not rescaled to the subgroups present."""
     return subgroups.select("subgroup", "score").join(weights, "subgroup").agg(
-        F.round(F.sum(F.col("score") * F.col("subgroup_weight")), 1).alias("score")
+        steady_round(F.sum(F.col("score") * F.col("subgroup_weight")), 1).alias("score")
     )
