@@ -378,8 +378,8 @@ def series_last_n(spark, sf_dir):
         arg_max(p, month) AS latest_value, max(p) AS peak_value, min(p) AS valley_value FROM s WHERE c >= 2 GROUP BY grp, stat_id)
     SELECT grp, stat_id, c AS months_analyzed,
       CASE WHEN abs(b - a) < 1 THEN 'stable' WHEN b - a > 5 THEN 'improving' WHEN b - a > 0 THEN 'slightly_improving' WHEN b - a < -5 THEN 'declining' ELSE 'slightly_declining' END AS trend,
-      round(round(a, 8), 2) AS first_period_avg, round(round(b, 8), 2) AS second_period_avg, round(round(b - a, 8), 2) AS absolute_change,
-      CASE WHEN a <> 0 THEN round(round((b - a) / a * 100.0, 8), 2) ELSE 0.0 END AS rate_of_change, latest_value, peak_value, valley_value FROM t""",
+      CAST(round(CAST(a AS DECIMAL(24, 8)), 2) AS DOUBLE) AS first_period_avg, CAST(round(CAST(b AS DECIMAL(24, 8)), 2) AS DOUBLE) AS second_period_avg, CAST(round(CAST(b - a AS DECIMAL(24, 8)), 2) AS DOUBLE) AS absolute_change,
+      CASE WHEN a <> 0 THEN CAST(round(CAST((b - a) / a * 100.0 AS DECIMAL(24, 8)), 2) AS DOUBLE) ELSE 0.0 END AS rate_of_change, latest_value, peak_value, valley_value FROM t""",
 )
 def trend_halves(spark, sf_dir):
     return months.trend(cube(spark, sf_dir), 6, ["grp", "stat_id"])

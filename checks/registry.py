@@ -1,8 +1,8 @@
 """All registered queries and oracles."""
 
-from checks import counts
+from checks import counts, facts
 
-MODULES = [counts]
+MODULES = [counts, facts]
 
 
 def queries() -> dict:

@@ -8,7 +8,7 @@ the metric catalogue, which is the first (and only) wide stage.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyhand.functions import seats
-from tallyhand.functions.columns import any_of, lookup, yes
+from tallyhand.functions.columns import any_of, lookup, steady_round, yes
 from tallyhand.functions.words import ANY, HERO, NOT_HERO, RAISER, has, street_word
 
 POST_STREETS = ["flop", "turn", "river"]
@@ -141,7 +141,7 @@ def pot_at_flop(bb: Column, sb: Column, ante: Column, n_in: Column, actions: Col
     played = F.aggregate(actions, F.get(funded, F.lit(0)), play, lambda s: s["pot"])
     return F.when(
         bb > 0,
-        F.when(F.size(actions) == 0, F.round(blind_money / bb, 2)).when(played > 0, F.round(played / bb, 2)),
+        F.when(F.size(actions) == 0, steady_round(blind_money / bb, 2)).when(played > 0, steady_round(played / bb, 2)),
     )
 
 
@@ -261,6 +261,24 @@ def with_stacks(df: DataFrame) -> DataFrame:
     )
 
 
+def stack_rules(min_bb: float = 16.0) -> dict[str, Column]:
+    """Stack tests of an opportunity, average form, over the columns of ``with_stacks``.
+
+    Nobody left behind the hero passes the opening test; an unknown raiser, caller,
+    3-bettor or blind fails the others.
+    """
+    deep = lambda name: yes(F.col(name) >= min_bb)
+    hero = deep("hero_stack_bb")
+    behind = F.coalesce(F.col("avg_stacks_after_hero_bb") >= min_bb, F.lit(True))
+    return {
+        "open_ok": hero & behind,
+        "defend_ok": hero & deep("raiser_stack_bb"),
+        "squeeze_ok": hero & deep("squeeze_avg_stack_bb"),
+        "fold3_ok": hero & deep("three_bettor_stack_bb"),
+        "blinds_ok": hero & deep("bvb_villain_stack_bb"),
+    }
+
+
 def faces_check_raise(word: Column) -> tuple[Column, Column]:
     """(faced, folded): someone who checked before a hero bet raises after it.
 
