@@ -1,8 +1,8 @@
 """All registered queries and oracles."""
 
-from checks import counts, facts
+from checks import counts, facts, texts
 
-MODULES = [counts, facts]
+MODULES = [counts, facts, texts]
 
 
 def queries() -> dict:

@@ -1,5 +1,7 @@
 """Small Column helpers shared by the other modules."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 
@@ -22,6 +24,15 @@ def yes(cond: Column) -> Column:
     return F.coalesce(cond, F.lit(False))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and hand it to ``use``.
+
+    A plain Column used twenty times in one expression is computed and compiled twenty
+    times; binding it to a lambda variable keeps long fallback chains small.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def first_match(text: Column, patterns: list[str], group: int = 1) -> Column:
     """First non-empty capture over an ordered pattern list, else NULL."""
     return F.coalesce(*[F.nullif(F.regexp_extract(text, p, group), F.lit("")) for p in patterns])

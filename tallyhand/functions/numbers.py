@@ -2,6 +2,8 @@
 
 from pyspark.sql import Column, functions as F
 
+from tallyhand.functions.columns import let
+
 
 def _float(text: Column) -> Column:
     return F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), text.try_cast("double"))
@@ -13,21 +15,24 @@ def amount(value: Column) -> Column:
     The right-most separator decides. It marks decimals, unless it is the only kind
     and exactly three digits follow it.
     """
-    text = F.regexp_replace(F.trim(value), r"[€£$R¥₹\s]", "")
-    comma = F.instr(F.reverse(text), ",")
-    dot = F.instr(F.reverse(text), ".")
-    no_comma = F.replace(text, F.lit(","), F.lit(""))
-    no_dot = F.replace(text, F.lit("."), F.lit(""))
-    comma_last = (comma > 0) & ((dot == 0) | (comma < dot))
-    dot_last = (dot > 0) & ((comma == 0) | (dot < comma))
-    plain = (
-        F.when(comma_last & (comma == 4) & (dot == 0), no_comma)
-        .when(comma_last, F.replace(no_dot, F.lit(","), F.lit(".")))
-        .when(dot_last & (dot == 4) & (comma == 0), no_dot)
-        .when(dot_last, no_comma)
-        .otherwise(text)
-    )
-    return F.coalesce(_float(plain), F.lit(0.0))
+
+    def read(text: Column) -> Column:
+        comma = F.instr(F.reverse(text), ",")
+        dot = F.instr(F.reverse(text), ".")
+        no_comma = F.replace(text, F.lit(","), F.lit(""))
+        no_dot = F.replace(text, F.lit("."), F.lit(""))
+        comma_last = (comma > 0) & ((dot == 0) | (comma < dot))
+        dot_last = (dot > 0) & ((comma == 0) | (dot < comma))
+        return (
+            F.when(comma_last & (comma == 4) & (dot == 0), no_comma)
+            .when(comma_last, F.replace(no_dot, F.lit(","), F.lit(".")))
+            .when(dot_last & (dot == 4) & (comma == 0), no_dot)
+            .when(dot_last, no_comma)
+            .otherwise(text)
+        )
+
+    plain = let(F.regexp_replace(F.trim(value), r"[€£$R¥₹\s]", ""), read)
+    return F.coalesce(let(plain, _float), F.lit(0.0))
 
 
 def amount_simple(value: Column) -> Column:

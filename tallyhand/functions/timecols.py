@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, functions as F
 
-from tallyhand.functions.columns import first_match
+from tallyhand.functions.columns import first_match, let, lookup
 
 FALLBACK_MONTH = "1970-01"
 ZONE = "Europe/Lisbon"
@@ -34,11 +34,15 @@ def valid_month(value: Column) -> Column:
 
 def parse_stamp(value: Column) -> Column:
     """Lenient text to TIMESTAMP; naive stamps are UTC (the session zone is UTC)."""
-    text = F.translate(F.trim(value), "/–", "--")
-    iso = F.nullif(F.regexp_extract(text, ISO_SECONDS, 1), F.lit(""))
-    tries = [F.try_to_timestamp(F.replace(iso, F.lit("T"), F.lit(" ")), F.lit("yyyy-MM-dd HH:mm:ss"))]
-    tries += [F.try_to_timestamp(text, F.lit(fmt)) for fmt in LENIENT_FORMATS]
-    return F.coalesce(*tries)
+
+    def tries(text: Column) -> Column:
+        iso = F.nullif(F.regexp_extract(text, ISO_SECONDS, 1), F.lit(""))
+        return F.coalesce(
+            F.try_to_timestamp(F.replace(iso, F.lit("T"), F.lit(" ")), F.lit("yyyy-MM-dd HH:mm:ss")),
+            *[F.try_to_timestamp(text, F.lit(fmt)) for fmt in LENIENT_FORMATS],
+        )
+
+    return let(F.translate(F.trim(value), "/–", "--"), tries)
 
 
 def parse_epoch(value: Column) -> Column:
@@ -70,10 +74,13 @@ def header_stamp(line: Column) -> Column:
 
 def month_in_text(text: Column) -> Column:
     """Month from free text: the first full stamp that parses, else a bare month, in 5000 characters."""
-    snippet = F.substring(text, 1, 5000)
-    stamps = [month_of(parse_stamp(first_match(snippet, [p]))) for p in STAMP_SHAPES]
-    bare = month_key(F.translate(F.regexp_extract(snippet, MONTH_SHAPE, 1), "_/", "--"))
-    return F.coalesce(*stamps, bare)
+
+    def find(snippet: Column) -> Column:
+        stamps = [month_of(parse_stamp(first_match(snippet, [p]))) for p in STAMP_SHAPES]
+        bare = month_key(F.translate(F.regexp_extract(snippet, MONTH_SHAPE, 1), "_/", "--"))
+        return F.coalesce(*stamps, bare)
+
+    return let(F.substring(text, 1, 5000), find)
 
 
 def month_in_path(path: Column) -> Column:
@@ -119,19 +126,21 @@ NAMED_DAY = r"(\d{1,2})\s+([A-Za-zçã]+)\s+(\d{4})\s+\d{2}:\d{2}"
 
 def month_in_header(text: Column, site: Column) -> Column:
     """Month printed in a hand header, without a zone shift; month names may be Portuguese."""
-    from tallyhand.functions.columns import lookup
-
     blank = F.instr(text, "\n\n")
     cards = F.instr(text, "*** HOLE CARDS ***")
     end = F.when(blank > 0, blank - 1).when(cards > 0, cards - 1).otherwise(F.least(F.length(text), F.lit(1500)))
-    head = F.substring(text, F.lit(1), end)
-    month = lambda y, m: F.concat(y, F.lit("-"), F.lpad(m, 2, "0"))
-    grab = lambda p, g: F.nullif(F.regexp_extract(head, p, g), F.lit(""))
-    numeric = month(grab(NUMERIC_DAY, 3), grab(NUMERIC_DAY, 2))
-    named = month(grab(NAMED_DAY, 3), lookup(MONTH_NAMES, F.lower(grab(NAMED_DAY, 2))).cast("string"))
-    stamped = lambda p: F.translate(F.substring(grab(p, 1), 1, 7), "/", "-")
-    out = F.when(site.isin("888pt", "888.pt"), F.coalesce(numeric, named, stamped(ANY_STAMP)))
-    out = out.when(site == "888poker", F.coalesce(numeric, stamped(ANY_STAMP)))
-    for name, pattern in SITE_STAMPS.items():
-        out = out.when(site == name, stamped(pattern))
-    return out
+
+    def read(head: Column) -> Column:
+        grab = lambda p, g: F.nullif(F.regexp_extract(head, p, g), F.lit(""))
+        month = lambda y, m: F.concat(y, F.lit("-"), F.lpad(m, 2, "0"))
+        numeric = month(grab(NUMERIC_DAY, 3), grab(NUMERIC_DAY, 2))
+        named = month(grab(NAMED_DAY, 3), lookup(MONTH_NAMES, F.lower(grab(NAMED_DAY, 2))).cast("string"))
+        stamped = lambda p: F.translate(F.substring(grab(p, 1), 1, 7), "/", "-")
+        out = F.when(site.isin("888pt", "888.pt"), F.coalesce(numeric, named, stamped(ANY_STAMP)))
+        out = out.when(site == "888poker", F.coalesce(numeric, stamped(ANY_STAMP)))
+        for pattern in sorted(set(SITE_STAMPS.values())):
+            names = [n for n, p in SITE_STAMPS.items() if p == pattern]
+            out = out.when(site.isin(names), stamped(pattern))
+        return out
+
+    return let(F.substring(text, F.lit(1), end), read)
