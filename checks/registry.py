@@ -1,8 +1,8 @@
 """All registered queries and oracles."""
 
-from checks import counts, facts, texts
+from checks import counts, facts, textcounters, texts
 
-MODULES = [counts, facts, texts]
+MODULES = [counts, facts, texts, textcounters]
 
 
 def queries() -> dict:
