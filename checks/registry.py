@@ -1,8 +1,8 @@
 """All registered queries and oracles."""
 
-from checks import counts, facts, textcounters, texts
+from checks import counts, facts, runs, textcounters, texts
 
-MODULES = [counts, facts, texts, textcounters]
+MODULES = [counts, facts, texts, textcounters, runs]
 
 
 def queries() -> dict:

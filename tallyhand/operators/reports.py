@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyhand.functions import scoring
-from tallyhand.functions.columns import count_true, ratio_pct, weighted_mean
+from tallyhand.functions.columns import count_true, ratio_pct, steady_round, weighted_mean
 from tallyhand.functions.numbers import decimal_comma
 
 # Parts of metric names, in test order, and the subgroup they mean.
@@ -172,6 +172,11 @@ def _skipped(source: str, header: str) -> bool:
     return False
 
 
+def one_decimal(share: Column) -> Column:
+    """A share as percentage text with one decimal comma."""
+    return F.replace(F.format_string("%.1f", steady_round(share * 100.0, 1)), F.lit("."), F.lit(","))
+
+
 def wide_merge(sheets: dict[str, DataFrame], key: str | None = None) -> DataFrame:
     """One wide report from up to four one-row sheets, columns prefixed by their source.
 
@@ -181,7 +186,7 @@ def wide_merge(sheets: dict[str, DataFrame], key: str | None = None) -> DataFram
     """
 
     def shown(col: Column) -> Column:
-        return F.replace(F.format_string("%.1f", decimal_comma(col) * 100.0), F.lit("."), F.lit(","))
+        return one_decimal(decimal_comma(col))
 
     merged = None
     columns: list[Column] = []
@@ -213,9 +218,7 @@ def wide_merge(sheets: dict[str, DataFrame], key: str | None = None) -> DataFram
                 three = name.replace("Cold Call", "3Bet")
                 if header.endswith(f"{seat} Cold Call") and three in names:
                     both = decimal_comma(F.col(f"`{source}_{three}`")) + decimal_comma(col)
-                    columns.append(
-                        F.replace(F.format_string("%.1f", both * 100.0), F.lit("."), F.lit(",")).alias(f"{source}_{seat} VPIP")
-                    )
+                    columns.append(one_decimal(both).alias(f"{source}_{seat} VPIP"))
     if merged is None:
         raise ValueError("no sheet given")
     return merged.select(*([F.col("_k").alias(key)] if key else []), *columns)
