@@ -5,7 +5,7 @@ All of it is built-in string and array functions over the whole text of a hand.
 
 from pyspark.sql import Column, functions as F
 
-from tallyhand.functions.columns import any_of, first_match, yes
+from tallyhand.functions.columns import any_of, first_match, let, yes
 from tallyhand.functions.numbers import amount, amount_us
 
 # First lines that open a hand.
@@ -238,7 +238,13 @@ STACK_SHAPES = [
     rf"Seat \d+: (.+?) \({_CUR}([0-9,.]+)(?:,\s*[^)]+)?\)",
     rf"Seat \d+: (.+?) \(\s*{_CUR}\s*([0-9,.]+)\s*\)(?!\s*is the button)",
 ]
-SEAT_LINE = r"Seat\s+(\d+):\s+(.+?)\s+\("
+SEAT_LINE = r"(?m)Seat\s+(\d+):\s+(.+?)\s+\("
+SEAT_LINE_DEALT = r"(?m)Seat\s+(\d+):\s+(?!.*out of hand)(.+?)\s+\("
+
+
+def _all(text: Column, pattern: str, *groups: int) -> Column:
+    """All matches in one text as ``array<struct<g0, g1, ...>>``, one regex pass per group."""
+    return F.arrays_zip(*[F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in groups])
 
 
 def hero_name(text: Column) -> Column:
@@ -252,53 +258,39 @@ def button_seat(text: Column) -> Column:
 def seat_list(text: Column) -> Column:
     """``array<struct<seat, name>>`` from the seat lines above the summary section."""
     top = F.substring_index(F.substring_index(text, "*** SUMMARY ***", 1), "** Summary **", 1)
-    stars = text.startswith("PokerStars")
-    lines = F.filter(
-        _lines(top),
-        lambda x: x.contains("Seat ") & x.rlike(SEAT_LINE) & ~(stars & x.contains("out of hand")),
-    )
-    return F.transform(
-        lines,
-        lambda x: F.struct(
-            F.regexp_extract(x, SEAT_LINE, 1).try_cast("int").alias("seat"),
-            F.regexp_extract(x, SEAT_LINE, 2).alias("name"),
-        ),
-    )
+    found = F.when(text.startswith("PokerStars"), _all(top, SEAT_LINE_DEALT, 1, 2)).otherwise(_all(top, SEAT_LINE, 1, 2))
+    return F.transform(found, lambda m: F.struct(m["g1"].try_cast("int").alias("seat"), m["g2"].alias("name")))
 
 
 def stack_list(text: Column) -> Column:
-    """``array<struct<name, chips>>`` of positive stacks, any seat-line shape."""
+    """``array<struct<name, chips>>`` of positive stacks.
 
-    def pick(x: Column, group: int) -> Column:
-        return first_match(x, STACK_SHAPES) if group == 1 else F.coalesce(
-            *[F.nullif(F.regexp_extract(x, p, 2), F.lit("")) for p in STACK_SHAPES]
-        )
-
-    found = F.transform(
-        F.filter(_lines(text), lambda x: x.contains("Seat ")),
-        lambda x: F.struct(F.trim(pick(x, 1)).alias("name"), amount(pick(x, 2)).alias("chips")),
-    )
-    return F.filter(found, lambda s: s["name"].isNotNull() & (s["chips"] > 0))
+    Texts that print "in chips" are read with that shape, others with the bare ones.
+    """
+    bare = rf"Seat \d+: (.+?) \(\s*{_CUR}\s*([0-9,.]+)\s*(?:,\s*[^)]+)?\)"
+    found = F.when(text.contains(" in chips"), _all(text, STACK_SHAPES[0], 1, 2)).otherwise(_all(text, bare, 1, 2))
+    stacks = F.transform(found, lambda m: F.struct(F.trim(m["g1"]).alias("name"), amount(m["g2"]).alias("chips")))
+    return F.filter(stacks, lambda s: s["chips"] > 0)
 
 
 def chip_list(text: Column) -> Column:
     """Stacks of "in chips" seat lines only, plain notation: what the all-in arithmetic uses."""
     return F.transform(
-        F.filter(_lines(text), lambda x: x.rlike(STACK_SHAPES[0])),
-        lambda x: F.struct(
-            F.trim(F.regexp_extract(x, STACK_SHAPES[0], 1)).alias("name"),
-            amount_us(F.regexp_extract(x, STACK_SHAPES[0], 2)).alias("chips"),
-        ),
+        _all(text, STACK_SHAPES[0], 1, 2),
+        lambda m: F.struct(F.trim(m["g1"]).alias("name"), amount_us(m["g2"]).alias("chips")),
     )
 
 
 def big_blind(text: Column) -> Column:
     """First positive big blind: a post, or an ``X/Y Blinds`` header."""
-    post = rf"(?i)posts (?:the )?big blind \[?{_CUR}([0-9,.]+)\]?"
+    post = rf"(?i)posts (?:the )?big blind \[?{_CUR}([0-9,.]+)"
     header = r"[0-9,.]+/([0-9,.]+)\s+Blinds"
+    found = F.when(
+        text.contains(" Blinds"), F.regexp_extract_all(text, F.lit(f"{post}|{header}"), F.lit(0))
+    ).otherwise(F.regexp_extract_all(text, F.lit(post), F.lit(0)))
     values = F.transform(
-        _lines(text),
-        lambda x: F.greatest(amount(F.regexp_extract(x, post, 1)), F.when(x.rlike(header), amount(F.regexp_extract(x, header, 1))).otherwise(F.lit(0.0))),
+        found,
+        lambda m: amount(F.coalesce(F.nullif(F.regexp_extract(m, post, 1), F.lit("")), F.regexp_extract(m, header, 1))),
     )
     return F.coalesce(F.get(F.filter(values, lambda v: v > 0), F.lit(0)), F.lit(0.0))
 
@@ -331,11 +323,13 @@ def street_text(text: Column, street: str) -> Column:
     return F.when(start == 0, F.lit("")).when(end > 0, F.substring(rest, F.lit(1), end - 1)).otherwise(rest)
 
 
-_PRE_COLON = r"^([^:]+):\s+(folds|calls|raises|bets|checks|posts|is all-in)"
-_PRE_PLAIN = r"^(\S+)\s+(folds|calls|raises|bets|checks|posts|all-in)"
-_MONEY = r"(?:\s+(?:€|£|\$|¥|R\$)?\[?([0-9,.]+)\]?)?(?:\s+to\s+(?:€|£|\$|¥|R\$)?\[?([0-9,.]+)\]?)?"
-_POST_COLON = rf"^(.*):\s+(folds|calls|raises|bets|checks){_MONEY}"
-_POST_PLAIN = rf"^(.+?)\s+(folds|calls|raises|bets|checks){_MONEY}"
+# who, then what: up to a colon, or without one (a single word before the flop)
+_MONEY = r"(?:[ \t]+(?:€|£|\$|¥|R\$)?\[?([0-9,.]+)\]?)?(?:[ \t]+to[ \t]+(?:€|£|\$|¥|R\$)?\[?([0-9,.]+)\]?)?"
+_PRE_LINE = (
+    r"(?m)^[ \t]*([^:\n]+(?=:)|\S+):?[ \t]+"
+    r"(folds|calls|raises|bets|checks|posts|(?<=:[ \t]{1,8})is all-in|all-in)[^\n]*"
+)
+_POST_LINE = rf"(?m)^[ \t]*(.*(?=:)|.+?):?[ \t]+(folds|calls|raises|bets|checks){_MONEY}[^\n]*"
 
 
 def street_actions(text: Column, street: str) -> Column:
@@ -344,28 +338,21 @@ def street_actions(text: Column, street: str) -> Column:
     Amounts are the total put in on that street and only read after the flop, where
     the all-in arithmetic needs them.
     """
-    colon, plain = (_PRE_COLON, _PRE_PLAIN) if street == "preflop" else (_POST_COLON, _POST_PLAIN)
-    lines = F.transform(_lines(street_text(text, street)), lambda x: F.trim(x))
-    lines = F.filter(lines, lambda x: x.rlike(colon) | x.rlike(plain))
-
-    def grab(x: Column, group: int) -> Column:
-        return F.when(x.rlike(colon), F.regexp_extract(x, colon, group)).otherwise(F.regexp_extract(x, plain, group))
-
-    def money(x: Column) -> Column:
-        if street == "preflop":
-            return F.lit(0.0)
-        return amount_us(F.coalesce(F.nullif(grab(x, 4), F.lit("")), grab(x, 3)))
-
-    acts = F.transform(
-        lines,
-        lambda x: F.struct(
-            F.trim(grab(x, 1)).alias("player"),
-            grab(x, 2).alias("verb"),
-            money(x).alias("amount"),
-            F.lower(x).rlike("all[- ]in").alias("allin"),
-        ),
-    )
-    return F.filter(acts, lambda a: a["verb"] != "posts")
+    before = street == "preflop"
+    groups = (0, 1, 2) if before else (0, 1, 2, 3, 4)
+
+    def read(section: Column) -> Column:
+        return F.transform(
+            _all(section, _PRE_LINE if before else _POST_LINE, *groups),
+            lambda m: F.struct(
+                F.trim(m["g1"]).alias("player"),
+                m["g2"].alias("verb"),
+                (F.lit(0.0) if before else amount_us(F.coalesce(F.nullif(m["g4"], F.lit("")), m["g3"]))).alias("amount"),
+                F.lower(m["g0"]).rlike("all[- ]in").alias("allin"),
+            ),
+        )
+
+    return F.filter(let(street_text(text, street), read), lambda a: a["verb"] != "posts")
 
 
 # --- how a hand ended ---------------------------------------------------------------

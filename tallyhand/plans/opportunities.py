@@ -10,8 +10,8 @@ turned into the long cube.
 from pyspark.sql import DataFrame, functions as F
 
 from tallyhand.functions import timecols, tourney
-from tallyhand.functions.columns import count_true, ratio_pct
-from tallyhand.functions.predicates import compile_metric
+from tallyhand.functions.columns import ratio_pct
+from tallyhand.functions.predicates import Fields, metric_text
 
 
 def with_month_and_groups(facts: DataFrame) -> DataFrame:
@@ -28,10 +28,12 @@ def with_month_and_groups(facts: DataFrame) -> DataFrame:
 
 def _flags(df: DataFrame, metrics: list[dict]) -> DataFrame:
     """One (opportunity, attempt) pair of boolean columns per metric, tested once per hand."""
-    cols = {}
+    fields = Fields(df.schema)
+    flags = []
     for i, metric in enumerate(metrics):
-        cols[f"o{i}"], cols[f"a{i}"] = compile_metric(metric, df)
-    return df.withColumns(cols)
+        opp, att = metric_text(metric, fields)
+        flags += [f"{opp} AS o{i}", f"{att} AS a{i}"]
+    return df.selectExpr("*", *flags)
 
 
 def count_flags(
@@ -45,20 +47,22 @@ def count_flags(
     """
     by = list(keys)
     pairs = [f"{k}{i}" for i in range(len(stats)) for k in "oa"]
-    member = {i: F.lit(True) for i in range(len(stats))}
+    member = ["true"] * len(stats)
     if groups:
         flagged = flagged.select(*keys, *pairs, F.explode(groups).alias("grp"))
         by.append("grp")
-        member |= {i: F.col("grp").isin(labels) for i, (_, labels) in enumerate(stats) if labels is not None}
-    wide = flagged.groupBy(*by).agg(
-        *[count_true(member[i] & F.col(f"{k}{i}")).alias(f"{k}{i}") for i in range(len(stats)) for k in "oa"]
-    )
-    triples = F.array(
-        *[
-            F.struct(F.lit(stat).alias("stat_id"), F.col(f"o{i}").alias("opportunities"), F.col(f"a{i}").alias("attempts"))
-            for i, (stat, _) in enumerate(stats)
-        ]
+        quoted = lambda labels: ", ".join(f"'{g}'" for g in labels)
+        member = ["true" if labels is None else f"grp IN ({quoted(labels)})" for _, labels in stats]
+    sums = [
+        F.expr(f"coalesce(sum(CASE WHEN {member[i]} AND {k}{i} THEN 1L ELSE 0L END), 0L) AS {k}{i}")
+        for i in range(len(stats))
+        for k in "oa"
+    ]
+    wide = flagged.groupBy(*by).agg(*sums)
+    rows = ", ".join(
+        f"named_struct('stat_id', '{stat}', 'opportunities', o{i}, 'attempts', a{i})" for i, (stat, _) in enumerate(stats)
     )
+    triples = F.expr(f"array({rows})")
     return wide.select(*by, F.inline(triples)).where((F.col("opportunities") > 0) | (F.col("attempts") > 0))
 
 
