@@ -300,27 +300,35 @@ def ante(text: Column) -> Column:
     return F.coalesce(amount_us(first_match(text, shapes)), F.lit(0.0))
 
 
-# Street markers.
+# Street markers, in order of preference.
 STREET_OPEN = {
-    "preflop": r"\*\*\* HOLE CARDS \*\*\*|\*\* Dealing down cards \*\*",
-    "flop": r"\*\*\* FLOP \*\*\*|\*\* Dealing [Ff]lop \*\*",
-    "turn": r"\*\*\* TURN \*\*\*|\*\* Dealing [Tt]urn \*\*",
-    "river": r"\*\*\* RIVER \*\*\*|\*\* Dealing [Rr]iver \*\*",
+    "preflop": ["*** HOLE CARDS ***", "** Dealing down cards **"],
+    "flop": ["*** FLOP ***", "** Dealing Flop **", "** Dealing flop **"],
+    "turn": ["*** TURN ***", "** Dealing Turn **", "** Dealing turn **"],
+    "river": ["*** RIVER ***", "** Dealing River **", "** Dealing river **"],
 }
-RIVER_CLOSE = r"\*\*\* SHOW ?DOWN \*\*\*|\*\*\* SUMMARY \*\*\*|\*\* Summary \*\*"
+RIVER_CLOSE = ["*** SHOW DOWN ***", "*** SHOWDOWN ***", "*** SUMMARY ***", "** Summary **"]
 _NEXT = {"preflop": STREET_OPEN["flop"], "flop": STREET_OPEN["turn"], "turn": STREET_OPEN["river"], "river": RIVER_CLOSE}
 
 
+def _found(text: Column, markers: list[str]) -> list[Column]:
+    """Position of each marker, NULL when absent. Plain search, no regex."""
+    return [F.nullif(F.instr(text, m), F.lit(0)) for m in markers]
+
+
 def reached(text: Column, street: str) -> Column:
-    return text.rlike(STREET_OPEN[street])
+    return any_of(*[text.contains(m) for m in STREET_OPEN[street]])
 
 
 def street_text(text: Column, street: str) -> Column:
     """Text from a street's marker up to the next street's; '' when the street was not reached."""
-    start = F.regexp_instr(text, F.lit(STREET_OPEN[street]))
-    rest = F.substring(text, start, F.length(text))
-    end = F.regexp_instr(rest, F.lit(_NEXT[street]))
-    return F.when(start == 0, F.lit("")).when(end > 0, F.substring(rest, F.lit(1), end - 1)).otherwise(rest)
+
+    def cut(rest: Column) -> Column:
+        end = F.least(*_found(rest, _NEXT[street]))
+        return F.when(end.isNull(), rest).otherwise(F.substring(rest, F.lit(1), end - 1))
+
+    start = F.coalesce(*_found(text, STREET_OPEN[street]))
+    return F.when(start.isNull(), F.lit("")).otherwise(let(F.substring(text, start, F.length(text)), cut))
 
 
 # who, then what: up to a colon, or without one (a single word before the flop)
@@ -338,21 +346,22 @@ def street_actions(text: Column, street: str) -> Column:
     Amounts are the total put in on that street and only read after the flop, where
     the all-in arithmetic needs them.
     """
-    before = street == "preflop"
-    groups = (0, 1, 2) if before else (0, 1, 2, 3, 4)
-
-    def read(section: Column) -> Column:
-        return F.transform(
-            _all(section, _PRE_LINE if before else _POST_LINE, *groups),
-            lambda m: F.struct(
-                F.trim(m["g1"]).alias("player"),
-                m["g2"].alias("verb"),
-                (F.lit(0.0) if before else amount_us(F.coalesce(F.nullif(m["g4"], F.lit("")), m["g3"]))).alias("amount"),
-                F.lower(m["g0"]).rlike("all[- ]in").alias("allin"),
-            ),
+    pattern, groups = (_PRE_LINE, "$1\u0002$2\u0002\u0002") if street == "preflop" else (_POST_LINE, "$1\u0002$2\u0002$3\u0002$4")
+    # one regex pass writes every action line as a record of fields, the rest is splitting
+    marked = F.regexp_replace(street_text(text, street), pattern, f"\u0001{groups}\u0002$0\u0002")
+    pieces = F.split(marked, "\u0001")
+
+    def read(f: Column) -> Column:
+        money = F.coalesce(F.nullif(F.get(f, F.lit(3)), F.lit("")), F.get(f, F.lit(2)))
+        return F.struct(
+            F.trim(F.get(f, F.lit(0))).alias("player"),
+            F.get(f, F.lit(1)).alias("verb"),
+            (F.lit(0.0) if street == "preflop" else F.when(money == "", F.lit(0.0)).otherwise(amount_us(money))).alias("amount"),
+            F.lower(F.get(f, F.lit(4))).rlike("all[- ]in").alias("allin"),
         )
 
-    return F.filter(let(street_text(text, street), read), lambda a: a["verb"] != "posts")
+    fields = F.transform(let(pieces, lambda p: F.slice(p, F.lit(2), F.size(p))), lambda p: F.split(p, "\u0002"))
+    return F.filter(F.transform(fields, read), lambda a: a["verb"] != "posts")
 
 
 # --- how a hand ended ---------------------------------------------------------------
@@ -363,7 +372,8 @@ def _quoted(name: Column) -> Column:
 
 
 def showdown_seen(text: Column) -> Column:
-    return text.rlike(r" shows \[|showed \[|\*\*\* SHOW ?DOWN \*\*\*|\*\* Showdown \*\*")
+    marks = [" shows [", "showed [", "*** SHOW DOWN ***", "*** SHOWDOWN ***", "** Showdown **"]
+    return any_of(*[text.contains(m) for m in marks])
 
 
 def hero_at_showdown(text: Column, hero: Column) -> Column:
