@@ -11,7 +11,10 @@ SUMMARY_NAMES = ["summary", "resumo", "- summary"]
 
 
 def text_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, name, bytes, content) of every ``.txt`` and ``.xml`` below ``root``."""
+    """(path, name, bytes, content) of every ``.txt`` and ``.xml`` below ``root``.
+
+    Spark's file sources leave out files of zero bytes.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")

@@ -57,10 +57,11 @@ def write_history(rows: DataFrame, path: str, mode: str = "append") -> None:
 
 def write_stat_texts(texts: DataFrame, path: str, stat: str = "stat_id", text: str = "text", salt: int = 16) -> None:
     """Hand texts per metric, separated by blank lines."""
-    body = texts.select(safe_name(F.col(stat)).alias(stat), F.concat(F.trim(text), F.lit("\n\n")).alias("value"))
+    body = texts.select(safe_name(F.col(stat)).alias(stat), F.concat(F.trim(text), F.lit("\n")).alias("value"))
+    # the writer ends each value with one more newline
     body.repartition(F.col(stat), F.pmod(F.xxhash64("value"), F.lit(salt))).write.mode("overwrite").partitionBy(
         stat
-    ).option("lineSep", "").text(path)
+    ).text(path)
 
 
 def compiled_text(files: DataFrame, cls: str, name: str, text: str) -> DataFrame:
@@ -73,7 +74,12 @@ def compiled_text(files: DataFrame, cls: str, name: str, text: str) -> DataFrame
     return files.where(F.length(text) > 0).select(F.col(cls).alias("class"), value.alias("value"))
 
 
-def write_compiled(files: DataFrame, path: str, cls: str = "class", name: str = "name", text: str = "text") -> None:
-    compiled_text(files, cls, name, text).repartition(F.col("class"), F.pmod(F.xxhash64("value"), F.lit(16))).write.mode(
-        "overwrite"
-    ).partitionBy("class").option("lineSep", "").text(path)
+def write_compiled(
+    files: DataFrame, path: str, cls: str = "class", name: str = "name", text: str = "text", salt: int = 16
+) -> None:
+    rows = compiled_text(files, cls, name, text)
+    # the writer ends each value with a newline of its own
+    rows = rows.withColumn("value", F.expr("substr(value, 1, length(value) - 1)"))
+    rows.repartition(F.col("class"), F.pmod(F.xxhash64("value"), F.lit(salt))).write.mode("overwrite").partitionBy(
+        "class"
+    ).text(path)

@@ -1,5 +1,6 @@
 """New hands merged into stored totals, duplicates ignored."""
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -108,10 +109,12 @@ def run_incremental(
     """Process everything that is new, once, and stop."""
     metrics = metrics or catalogue()
     counter = lambda df: count_hands(with_month_and_groups(derive_facts(df)), metrics)
+    # one progress folder per target: two jobs never share offsets
+    name = f"incremental_counts_{hashlib.sha1(cube_path.encode()).hexdigest()[:12]}"
     return (
         with_identity(hand_stream(spark, source))
         .writeStream.foreachBatch(merge_counts(counter, cube_path, ids_path))
-        .option("checkpointLocation", state_root(spark, "incremental_counts", checkpoint))
+        .option("checkpointLocation", state_root(spark, name, checkpoint))
         .trigger(availableNow=True)
         .start()
     )
