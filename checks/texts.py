@@ -635,4 +635,4 @@ def month_carry_forward(spark, sf_dir):
     rows = tables.table(spark, sf_dir, "events").select(
         "event_id", (F.col("user_id") % 7).alias("file_id"), F.when(F.col("event_type") == "click", seen).alias("month")
     )
-    return months.carry_month_forward(rows, "file_id", "event_id", salt=500)
+    return months.carry_month_forward(rows, "file_id", "event_id", chunk=500)

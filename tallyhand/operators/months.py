@@ -174,18 +174,20 @@ def trend(cube: DataFrame, n: int, keys: list[str]) -> DataFrame:
     )
 
 
-def carry_month_forward(rows: DataFrame, file: str, pos: str, month: str = "month", salt: int = 0) -> DataFrame:
+def carry_month_forward(
+    rows: DataFrame, file: str, pos: str, month: str = "month", chunk: int = 100_000
+) -> DataFrame:
     """Fill a missing month with the last resolved one of the same file, in file order.
 
-    The order column must be unique within a file. With ``salt`` rows per chunk, a file
-    is cut into chunks of consecutive positions: a chunk carries within itself, and only
-    one row per chunk takes part in the carry between chunks, so one huge file never
-    becomes one task.
+    The order column must be unique within a file. A file is cut into chunks of
+    consecutive positions: a chunk carries within itself, and only one row per chunk
+    takes part in the carry between chunks, so one huge file never becomes one task.
+    ``chunk=0`` uses one window per file.
     """
-    if not salt:
+    if not chunk:
         w = Window.partitionBy(file).orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return rows.withColumn(month, F.last(month, ignorenulls=True).over(w))
-    cut = rows.withColumn("_chunk", F.floor(F.col(pos) / salt))
+    cut = rows.withColumn("_chunk", F.floor(F.col(pos) / chunk))
     tails = cut.groupBy(file, "_chunk").agg(F.max_by(month, F.when(F.col(month).isNotNull(), F.col(pos))).alias("_tail"))
     before = Window.partitionBy(file).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     heads = tails.select(file, "_chunk", F.last("_tail", ignorenulls=True).over(before).alias("_head"))

@@ -96,6 +96,6 @@ def test_scorecard_of_one_metric(spark):
 
 def test_carry_forward_in_chunks_equals_one_window(spark):
     rows = spark.range(0, 400).selectExpr("id % 2 AS f", "id AS pos", "CASE WHEN id % 37 = 5 THEN concat('2024-', lpad(id % 12 + 1, 2, '0')) END AS month")
-    plain = {(r.f, r.pos): r.month for r in months.carry_month_forward(rows, "f", "pos").collect()}
-    chunked = {(r.f, r.pos): r.month for r in months.carry_month_forward(rows, "f", "pos", salt=16).collect()}
+    plain = {(r.f, r.pos): r.month for r in months.carry_month_forward(rows, "f", "pos", chunk=0).collect()}
+    chunked = {(r.f, r.pos): r.month for r in months.carry_month_forward(rows, "f", "pos", chunk=16).collect()}
     assert plain == chunked
