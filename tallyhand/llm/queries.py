@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhand.llm import bpe, exact_dedup, language, sharding
+from tallyhand.llm import bpe, cross_entropy, exact_dedup, language, packing, sharding
 from tallyhand.llm.common import table
 
 
@@ -12,6 +12,14 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_entropy.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(table(spark, sf_dir, "documents"))
 
@@ -24,7 +32,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op6_language_id, op7_bpe, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op3_sharding, op4_lm_scoring, op5_packing, op6_language_id, op7_bpe, op9_exact_dedup)}
 
 ORACLES = {
     "op9_exact_dedup": r"""
