@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyhand.llm import bpe, cross_entropy, exact_dedup, language, packing, sharding
+from tallyhand.llm import bpe, cross_entropy, exact_dedup, html_text, language, packing, sharding, warc
 from tallyhand.llm.common import table
 
 
@@ -28,11 +29,28 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resolved = warc.resolve_revisits(warc.captures(table(spark, sf_dir, "pages")))
+    return resolved.select(
+        "record_id",
+        "url",
+        F.unix_seconds("date").alias("date_s"),
+        "outcome",
+        "refers_to",
+        F.unix_seconds("refers_to_date").alias("refers_to_s"),
+        warc.header_text(F.col("headers")).alias("headers"),
+    )
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op4_lm_scoring, op5_packing, op6_language_id, op7_bpe, op9_exact_dedup)}
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op3_sharding, op4_lm_scoring, op5_packing, op6_language_id, op7_bpe, op8_warc_revisits, op9_exact_dedup, op10_html_text)}
 
 ORACLES = {
     "op9_exact_dedup": r"""
@@ -43,4 +61,49 @@ ORACLES = {
                doc_id = min(doc_id) OVER (PARTITION BY body) AS kept, sha256(body) AS text_sha256
         FROM n
     """,
+    "op8_warc_revisits": r"""
+        WITH p AS (
+            SELECT page_id, url, html, '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' AS tag, page_id * 60 + 1600000000 AS s,
+                   'day ' || (page_id // 1440) AS day, page_id % 3 = 0 AS dated,
+                   regexp_replace(regexp_replace(url, '#.*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://', '') AS bare
+            FROM pages
+        ), c AS (
+            SELECT *, list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'),
+                                            lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))) AS params
+            FROM p
+        ), k AS (
+            SELECT *, regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^www\.|:80$|:443$', '', 'g')
+                      || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '')
+                      || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS canon
+            FROM c
+        ), full_ AS (
+            SELECT canon, page_id * 2 AS id, s, CASE WHEN NOT dated THEN tag END AS etag, day AS modified, strlen(coalesce(html, '')) AS size FROM k
+        ), revisits AS (
+            SELECT page_id * 2 + 1 AS id, canon, s + CASE WHEN page_id % 13 = 0 THEN -86400 ELSE 86400 END AS s,
+                   CASE WHEN page_id % 11 = 0 THEN NULL WHEN page_id % 7 = 0 THEN '"other"' WHEN page_id % 5 = 0 THEN 'W/' || tag ELSE tag END AS etag,
+                   CASE WHEN dated AND page_id % 11 <> 0 THEN CASE WHEN page_id % 7 = 0 THEN 'another day' ELSE day END END AS modified
+            FROM k
+        ), j AS (
+            SELECT r.*, f.id AS f_id, f.s AS f_s, f.etag AS f_etag, f.modified AS f_modified, f.size AS f_size,
+                   row_number() OVER (PARTITION BY r.id ORDER BY f.s DESC, f.id DESC) AS nth
+            FROM revisits r LEFT JOIN full_ f ON f.canon = r.canon AND f.s < r.s
+        ), o AS (
+            SELECT *, CASE WHEN f_id IS NULL THEN 'no earlier response'
+                           WHEN etag IS NOT NULL AND f_etag IS NOT NULL
+                               THEN CASE WHEN regexp_replace(etag, '^W/', '') = f_etag THEN 'resolved' ELSE 'validators differ' END
+                           WHEN modified IS NOT NULL AND f_modified IS NOT NULL
+                               THEN CASE WHEN modified = f_modified THEN 'resolved' ELSE 'validators differ' END
+                           ELSE 'no validators' END AS outcome
+            FROM j WHERE nth = 1
+        )
+        SELECT id AS record_id, canon AS url, s AS date_s, outcome, CASE WHEN outcome = 'resolved' THEN f_id END AS refers_to,
+               CASE WHEN outcome = 'resolved' THEN f_s END AS refers_to_s,
+               concat_ws(chr(10), 'cache-control: max-age=600',
+                   'content-length: ' || CASE WHEN outcome = 'resolved' THEN f_size ELSE 0 END,
+                   CASE WHEN outcome = 'resolved' THEN 'content-type: text/html' END,
+                   'date: ' || s,
+                   CASE WHEN outcome = 'resolved' THEN 'etag: ' || coalesce(etag, f_etag) ELSE 'etag: ' || etag END,
+                   CASE WHEN outcome = 'resolved' THEN 'last-modified: ' || coalesce(modified, f_modified) ELSE 'last-modified: ' || modified END) AS headers
+        FROM o
+    """,
 }
