@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhand.llm import exact_dedup, language
+from tallyhand.llm import exact_dedup, language, near_dup, packing
 from tallyhand.llm.common import table, written
 
 
@@ -18,9 +18,21 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return exact_dedup.without_copies(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that n-gram similarity connects, the one with the smallest doc_id."""
+    return near_dup.without_near_copies(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of all remaining documents in bins."""
+    return packing.pack(docs)
+
+
 STAGES = [
     ("language_id", language_id),
     ("exact_dedup", exact_copies),
+    ("near_dup", near_copies),
+    ("packing", packed),
 ]
 
 #: The language model and the near copies are beyond SQL; tests compare the stages with brute force.
