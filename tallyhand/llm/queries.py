@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhand.llm import bpe, cross_entropy, exact_dedup, html_text, language, near_dup, packing, sharding, warc
+from tallyhand.llm import bpe, cross_entropy, exact_dedup, fingerprints, html_text, language, near_dup, packing, sharding, warc
 from tallyhand.llm.common import table
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_groups(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_near_dup, op3_sharding, op4_lm_scoring, op5_packing, op6_language_id, op7_bpe, op8_warc_revisits, op9_exact_dedup, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_near_dup, op3_sharding, op4_lm_scoring, op5_packing, op6_language_id, op7_bpe, op8_warc_revisits, op9_exact_dedup, op10_html_text)}
 
 ORACLES = {
     "op9_exact_dedup": r"""
