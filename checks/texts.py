@@ -627,12 +627,17 @@ def best_stamps(spark, sf_dir):
 
 @query(
     "month_carry_forward",
-    """SELECT event_id, user_id % 7 AS file_id, last_value(CASE WHEN event_type = 'click' THEN '2024-' || lpad((event_id % 12 + 1)::VARCHAR, 2, '0') END IGNORE NULLS)
-      OVER (PARTITION BY user_id % 7 ORDER BY event_id) AS month FROM events""",
+    """WITH e AS (SELECT CASE WHEN event_id % 10 <> 0 THEN event_id END AS pos, event_id, CASE WHEN user_id % 8 < 7 THEN user_id % 7 END AS file_id,
+        CASE WHEN event_type = 'click' THEN '2024-' || lpad((event_id % 12 + 1)::VARCHAR, 2, '0') END AS month FROM events)
+      SELECT event_id, file_id, CASE WHEN file_id IS NULL OR pos IS NULL THEN month
+        ELSE last_value(month IGNORE NULLS) OVER (PARTITION BY file_id, pos IS NULL ORDER BY pos) END AS month FROM e""",
 )
 def month_carry_forward(spark, sf_dir):
     seen = F.concat(F.lit("2024-"), F.lpad((F.col("event_id") % 12 + 1).cast("string"), 2, "0"))
     rows = tables.table(spark, sf_dir, "events").select(
-        "event_id", (F.col("user_id") % 7).alias("file_id"), F.when(F.col("event_type") == "click", seen).alias("month")
+        "event_id",
+        F.when(F.col("event_id") % 10 != 0, F.col("event_id")).alias("pos"),
+        F.when(F.col("user_id") % 8 < 7, F.col("user_id") % 7).alias("file_id"),
+        F.when(F.col("event_type") == "click", seen).alias("month"),
     )
-    return months.carry_month_forward(rows, "file_id", "event_id", chunk=500)
+    return months.carry_month_forward(rows, "file_id", "pos", chunk=500).drop("pos")

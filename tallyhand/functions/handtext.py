@@ -263,14 +263,14 @@ def seat_list(text: Column) -> Column:
 
 
 def stack_list(text: Column) -> Column:
-    """``array<struct<name, chips>>`` of positive stacks.
+    """``array<struct<name, chips>>`` of positive stacks, each line read by the first shape it has."""
 
-    Texts that print "in chips" are read with that shape, others with the bare ones.
-    """
-    bare = rf"Seat \d+: (.+?) \(\s*{_CUR}\s*([0-9,.]+)\s*(?:,\s*[^)]+)?\)"
-    found = F.when(text.contains(" in chips"), _all(text, STACK_SHAPES[0], 1, 2)).otherwise(_all(text, bare, 1, 2))
-    stacks = F.transform(found, lambda m: F.struct(F.trim(m["g1"]).alias("name"), amount(m["g2"]).alias("chips")))
-    return F.filter(stacks, lambda s: s["chips"] > 0)
+    def read(line: Column) -> Column:
+        name = first_match(line, STACK_SHAPES, 1)
+        return F.struct(F.trim(name).alias("name"), amount(first_match(line, STACK_SHAPES, 2)).alias("chips"))
+
+    lines = F.regexp_extract_all(text, F.lit(r"Seat \d+: [^\n]*"), F.lit(0))
+    return F.filter(F.transform(lines, read), lambda s: s["name"].isNotNull() & (s["chips"] > 0))
 
 
 def chip_list(text: Column) -> Column:
@@ -346,29 +346,30 @@ def street_actions(text: Column, street: str) -> Column:
     Amounts are the total put in on that street and only read after the flop, where
     the all-in arithmetic needs them.
     """
-    pattern, groups = (_PRE_LINE, "$1\u0002$2\u0002\u0002") if street == "preflop" else (_POST_LINE, "$1\u0002$2\u0002$3\u0002$4")
-    # one regex pass writes every action line as a record of fields, the rest is splitting
-    marked = F.regexp_replace(street_text(text, street), pattern, f"\u0001{groups}\u0002$0\u0002")
-    pieces = F.split(marked, "\u0001")
-
-    def read(f: Column) -> Column:
-        money = F.coalesce(F.nullif(F.get(f, F.lit(3)), F.lit("")), F.get(f, F.lit(2)))
+    pattern = _PRE_LINE if street == "preflop" else _POST_LINE
+
+    def read(line: Column) -> Column:
+        group = lambda n: F.regexp_extract(line, pattern, n)
+        if street == "preflop":
+            put_in = F.lit(0.0)
+        else:
+            money = F.coalesce(F.nullif(group(4), F.lit("")), group(3))
+            put_in = F.when(money == "", F.lit(0.0)).otherwise(amount_us(money))
         return F.struct(
-            F.trim(F.get(f, F.lit(0))).alias("player"),
-            F.get(f, F.lit(1)).alias("verb"),
-            (F.lit(0.0) if street == "preflop" else F.when(money == "", F.lit(0.0)).otherwise(amount_us(money))).alias("amount"),
-            F.lower(F.get(f, F.lit(4))).rlike("all[- ]in").alias("allin"),
+            F.trim(group(1)).alias("player"), group(2).alias("verb"), put_in.alias("amount"), F.lower(line).rlike("all[- ]in").alias("allin")
         )
 
-    fields = F.transform(let(pieces, lambda p: F.slice(p, F.lit(2), F.size(p))), lambda p: F.split(p, "\u0002"))
-    return F.filter(F.transform(fields, read), lambda a: a["verb"] != "posts")
+    # one pass over the text finds the action lines; fields are read from each short line
+    lines = F.regexp_extract_all(street_text(text, street), F.lit(pattern), F.lit(0))
+    return F.filter(F.transform(lines, read), lambda a: a["verb"] != "posts")
 
 
 # --- how a hand ended ---------------------------------------------------------------
 
 
 def _quoted(name: Column) -> Column:
-    return F.concat(F.lit("\\Q"), name, F.lit("\\E"))
+    """A name as a pattern that matches it alone; an end mark inside the name is quoted apart."""
+    return F.concat(F.lit("\\Q"), F.replace(name, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
 
 def showdown_seen(text: Column) -> Column:

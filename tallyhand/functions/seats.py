@@ -69,10 +69,12 @@ def from_button(players: Column, button: Column) -> Column:
 
 def named_positions(players: Column, button: Column, naming: dict[int, list[str]] | None = None) -> Column:
     """``array<struct<name, pos>>``; empty when there is no button or no player."""
-    sizes = naming or {n: seat_names(n) for n in range(1, 13)}
+    sizes = naming or {n: seat_names(n) for n in range(1, 10)}
+    # at a larger table the first nine from the button have the names of nine
+    listed = F.size(players) if naming else F.least(F.size(players), F.lit(9))
     names_for = F.try_element_at(
         F.create_map(*[c for n, v in sizes.items() for c in (F.lit(n), F.array(*map(F.lit, v)))]),
-        F.size(players),
+        listed,
     )
     order = from_button(players, button)
     zipped = F.transform(order, lambda p, i: F.struct(p["name"].alias("name"), F.get(names_for, i).alias("pos")))

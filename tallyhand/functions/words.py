@@ -34,8 +34,22 @@ TYPE_LETTER = {
     "MUCK": "m",
 }
 
-ANY = "[A-Z]"
-NOT_HERO = "[A-GI-Z]"
+# beyond those: one CJK ideograph each, so no two actors ever share a letter
+MORE_FIRST = 0x4E00
+_MORE = "\u4e00-\u9fff"
+
+ANY = f"[A-Z{_MORE}]"
+NOT_HERO = f"[A-GI-Z{_MORE}]"
+
+
+def but(letters: str) -> str:
+    """Anybody whose letter is not one of ``letters``."""
+    return "[" + "".join(c for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" if c not in letters) + _MORE + "]"
+
+
+def more_letter(number: Column) -> Column:
+    """The letter of the actor at ``number`` (from 1) behind the named ones."""
+    return F.decode(F.unhex(F.hex(number.cast("bigint") + (MORE_FIRST - 1))), "UTF-16BE")
 
 
 def street_word(actions: Column, hero: Column, raiser: Column, roster: Column) -> Column:
@@ -47,7 +61,7 @@ def street_word(actions: Column, hero: Column, raiser: Column, roster: Column) -
             F.when(yes(a["actor"] == hero), F.lit(HERO))
             .when(yes(a["actor"] == raiser), F.lit(RAISER))
             .when(slot.between(1, len(OTHERS)), F.substring(F.lit(OTHERS), slot, F.lit(1)))
-            .otherwise(F.lit("Z"))
+            .otherwise(more_letter(F.when(slot > 0, slot - len(OTHERS)).otherwise(F.lit(20_000))))
         )
 
     def verb(a: Column) -> Column:

@@ -134,11 +134,13 @@ DISCARD_REASONS = [
 def discard_rollup(counts: DataFrame, supplied_total: DataFrame | None = None) -> DataFrame:
     """(reason, hands): every tracked reason, extra reasons, and ``total``.
 
+    Hands without a reason count as ``other``.
     When the caller's total disagrees with the sum, the difference goes to ``other``.
     """
     spark = counts.sparkSession
     tracked = spark.createDataFrame([(r,) for r in DISCARD_REASONS], "reason string")
-    given = counts.where(F.col("reason") != "total").groupBy("reason").agg(F.sum("hands").alias("hands"))
+    named = counts.withColumn("reason", F.coalesce("reason", F.lit("other")))
+    given = named.where(F.col("reason") != "total").groupBy("reason").agg(F.sum("hands").alias("hands"))
     rows = tracked.join(given, "reason", "full_outer").select("reason", F.coalesce("hands", F.lit(0)).alias("hands"))
     if supplied_total is not None:
         both = rows.select("hands", F.lit(0).cast("bigint").alias("supplied")).unionAll(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyhand.functions import seats
 from tallyhand.functions.columns import any_of, lookup, steady_round, yes
-from tallyhand.functions.words import ANY, HERO, NOT_HERO, RAISER, has, street_word
+from tallyhand.functions.words import ANY, HERO, NOT_HERO, RAISER, but, has, street_word
 
 POST_STREETS = ["flop", "turn", "river"]
 OPENING = ["RAISE", "ALLIN"]
@@ -289,7 +289,7 @@ def faces_check_raise(word: Column) -> tuple[Column, Column]:
     faced = has(word, rf"({ANY})k.*H{_AGGR}.*\1{_OPEN}")
 
     def folds_after(i: Column) -> Column:
-        checkers = F.regexp_replace(F.substring(word, F.lit(1), i * 2), "[A-Z][^k]|k", "")
+        checkers = F.regexp_replace(F.substring(word, F.lit(1), i * 2), f"{ANY}[^k]|k", "")
         rest = F.substring(word, i * 2 + 3, F.length(word))
         bet_here = F.substring(word, i * 2 + 1, F.lit(2)).rlike(f"H{_AGGR}")
         pattern = F.concat(
@@ -324,7 +324,7 @@ def with_postflop(df: DataFrame) -> DataFrame:
     # nobody has bet when the hero's turn comes / the hero then bets
     to_hero = {s: live(s) & has(word[s], f"^(?:{NOT_HERO}{_NOT_AGGR})*H") for s in POST_STREETS}
     hero_bets = {s: live(s) & has(word[s], f"^(?:{NOT_HERO}{_NOT_AGGR})*H{_AGGR}") for s in POST_STREETS}
-    raiser_checked = {s: has(word[s], f"^(?:[A-OQ-Z].|P[^kbra])*Pk") for s in POST_STREETS}
+    raiser_checked = {s: has(word[s], f"^(?:{but('P')}.|P[^kbra])*Pk") for s in POST_STREETS}
 
     def answer(s: str, verb: str) -> Column:
         return live(s) & vs_pfr & has(
@@ -354,8 +354,8 @@ def with_postflop(df: DataFrame) -> DataFrame:
             out[f"bet_vs_missed_{s}_opp_{side}"] = missed & here & to_hero[s]
             out[f"bet_vs_missed_{s}_att_{side}"] = missed & here & hero_bets[s]
         donk = live(s) & vs_pfr & in_place(s, "oop")
-        out[f"donk_{s}_opp"] = donk & has(word[s], "^(?:[A-GI-OQ-Z].)*H")
-        out[f"donk_{s}_att"] = donk & has(word[s], f"^(?:[A-GI-OQ-Z].)*H{_AGGR}")
+        out[f"donk_{s}_opp"] = donk & has(word[s], f"^(?:{but('HP')}.)*H")
+        out[f"donk_{s}_att"] = donk & has(word[s], f"^(?:{but('HP')}.)*H{_AGGR}")
         out[f"xr_{s}_opp"] = live(s) & has(word[s], f"Hk.*{ANY}{_AGGR}")
         out[f"xr_{s}_att"] = live(s) & has(
             word[s], f"^(?:{NOT_HERO}.|H[^k])*Hk(?:{ANY}{_NOT_AGGR})*{ANY}{_AGGR}(?:{NOT_HERO}.)*H{_OPEN}"

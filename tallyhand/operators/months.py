@@ -73,10 +73,10 @@ def ranked_months(cube: DataFrame, unknown_is_newest: bool = False) -> DataFrame
 
 
 def weighted_rate(cube: DataFrame, keys: list[str], table: dict = DECAY) -> DataFrame:
-    """sum(att*w)/sum(opp*w) over the newest three months of the whole cube."""
+    """sum(att*w)/sum(opp*w) over as many of the newest months as the table has weights for."""
     picked = (
         ranked_months(cube)
-        .where(F.col("rank") <= 3)
+        .where(F.col("rank") <= max(table))
         .select("month", decay_weight(F.col("rank"), F.col("of"), table).alias("weight"))
     )
     rows = cube.join(picked, "month")
@@ -89,7 +89,7 @@ def weighted_rate(cube: DataFrame, keys: list[str], table: dict = DECAY) -> Data
 
 
 def months_up_to(months: DataFrame, selected: str | None, table: dict = DECAY) -> DataFrame:
-    """(month, rank, weight): the selected month and the two before it.
+    """(month, rank, weight): the selected month and those before it that the table weighs.
 
     ``selected=None`` starts from the newest month; ``unknown`` sorts after all months.
     """
@@ -98,7 +98,7 @@ def months_up_to(months: DataFrame, selected: str | None, table: dict = DECAY) -
     )
     return (
         ranked_months(pool, unknown_is_newest=True)
-        .where(F.col("rank") <= 3)
+        .where(F.col("rank") <= max(table))
         .select("month", "rank", decay_weight(F.col("rank"), F.col("of"), table).alias("weight"))
     )
 
@@ -182,19 +182,21 @@ def carry_month_forward(
     The order column must be unique within a file. A file is cut into chunks of
     consecutive positions: a chunk carries within itself, and only one row per chunk
     takes part in the carry between chunks, so one huge file never becomes one task.
-    ``chunk=0`` uses one window per file.
+    A row without a file or a position has no row before it and keeps the month it has.
     """
-    if not chunk:
-        w = Window.partitionBy(file).orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return rows.withColumn(month, F.last(month, ignorenulls=True).over(w))
-    cut = rows.withColumn("_chunk", F.floor(F.col(pos) / chunk))
-    tails = cut.groupBy(file, "_chunk").agg(F.max_by(month, F.when(F.col(month).isNotNull(), F.col(pos))).alias("_tail"))
+    known = F.col(file).isNotNull() & F.col(pos).isNotNull()
+    # rows without a place are spread by what they have, so they do not gather in one task
+    place = F.when(known, F.floor(F.col(pos) / chunk)).otherwise(-1 - F.pmod(F.xxhash64(file, pos, month), F.lit(1024)))
+    cut = rows.withColumn("_chunk", place)
+    tails = cut.where(known).groupBy(file, "_chunk").agg(
+        F.max_by(month, F.when(F.col(month).isNotNull(), F.col(pos))).alias("_tail")
+    )
     before = Window.partitionBy(file).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     heads = tails.select(file, "_chunk", F.last("_tail", ignorenulls=True).over(before).alias("_head"))
     inside = Window.partitionBy(file, "_chunk").orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carried = cut.withColumn(month, F.last(month, ignorenulls=True).over(inside))
+    carried = cut.withColumn("_seen", F.when(known, F.last(month, ignorenulls=True).over(inside)))
     return (
-        carried.join(heads, [file, "_chunk"])
-        .withColumn(month, F.coalesce(month, "_head"))
-        .drop("_chunk", "_head")
+        carried.join(heads, [file, "_chunk"], "left")
+        .withColumn(month, F.coalesce(month, "_seen", "_head"))
+        .select(*rows.columns)
     )

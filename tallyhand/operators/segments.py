@@ -8,11 +8,10 @@ header already carries its continuation blocks.
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyhand.functions import handtext as ht
-from tallyhand.functions.columns import count_true
+from tallyhand.functions.columns import count_true, let
 
 _BLANK = r"\n\s*\n\s*"
 _HEADER = "(?i:" + "|".join(ht.HEADERS) + ")"
-_CUT, _GLUE = "\u0001", "\u0002"  # control characters that do not occur in logs
 
 
 def _clean(text: Column) -> Column:
@@ -25,46 +24,63 @@ def blocks(text: Column) -> Column:
     return F.filter(parts, lambda b: b != "")
 
 
+def _between_summaries(parts: Column) -> Column:
+    """Runs of blocks between summary blocks, as an array of arrays."""
+
+    def cut(marks: Column) -> Column:
+        starts = F.concat(F.array(F.lit(1)), F.transform(marks, lambda at: at + 1))
+        ends = F.concat(F.transform(marks, lambda at: at - 1), F.array(F.size(parts)))
+        return F.zip_with(starts, ends, lambda a, b: F.slice(parts, a, b - a + 1))
+
+    numbered = F.transform(parts, lambda b, i: F.when(ht.is_summary(b), i + 1))
+    return let(F.array_compact(numbered), cut)
+
+
+def hands_of(text: Column) -> Column:
+    """``array<struct<hand_index, text, valid>>``: the hands of a file's text in order."""
+
+    def hand(body: Column, piece: Column, run: Column) -> Column:
+        opens = F.array_position(F.transform(body, lambda b: ht.starts_hand(b) | ht.has_essentials(b)), F.lit(True))
+        joined = let(opens.cast("int"), lambda at: F.when(at > 0, F.array_join(F.slice(body, at, F.size(body)), "\n\n")))
+        return let(
+            joined,
+            lambda t: F.struct(
+                (piece.cast("bigint") * 1_000_000 + run).alias("hand_index"),
+                t.alias("text"),
+                (~ht.is_summary(t) & ht.has_essentials(t)).alias("valid"),
+            ),
+        )
+
+    def runs(piece: Column, i: Column) -> Column:
+        bodies = let(blocks(piece), _between_summaries)
+        return F.transform(bodies, lambda body, j: hand(body, i, j))
+
+    pieces = F.split(_clean(text), f"{_BLANK}(?={_HEADER})")
+    return F.filter(F.flatten(F.transform(pieces, runs)), lambda h: h["text"].isNotNull())
+
+
 def split_hands(files: DataFrame, file_id: str = "file_id", text: str = "text") -> DataFrame:
     """(file_id, hand_index, text, valid): hands of a file in order.
 
     Blocks that do not open a hand continue the current one; a summary block ends it;
     text before any header starts a hand only if it has seats and cards.
     """
-    pieces = files.select(
-        file_id, F.posexplode(F.split(_clean(F.col(text)), f"{_BLANK}(?={_HEADER})")).alias("_piece", "_text")
-    )
-    marked = F.array_join(
-        F.transform(blocks(F.col("_text")), lambda b: F.when(ht.is_summary(b), F.lit(_CUT)).otherwise(b)), _GLUE
-    )
-    runs = pieces.select(
-        file_id, "_piece", F.posexplode(F.split(marked, f"{_GLUE}?{_CUT}{_GLUE}?")).alias("_run", "_text")
-    )
-    body = F.filter(F.split("_text", _GLUE), lambda b: b != "")
-    opens = F.array_position(F.transform(body, lambda b: ht.starts_hand(b) | ht.has_essentials(b)), F.lit(True)).cast("int")
-    hand = F.when(opens > 0, F.array_join(F.slice(body, opens, F.size(body)), "\n\n"))
-    hands = runs.select(file_id, "_piece", "_run", hand.alias("text")).where(F.col("text").isNotNull())
-    return hands.select(
-        file_id,
-        (F.col("_piece").cast("bigint") * 1_000_000 + F.col("_run")).alias("hand_index"),
-        "text",
-        (~ht.is_summary(F.col("text")) & ht.has_essentials(F.col("text"))).alias("valid"),
-    )
+    return files.select(file_id, F.inline(hands_of(F.col(text))))
 
 
 def split_counts(files: DataFrame, file_id: str = "file_id", text: str = "text") -> DataFrame:
     """Per file: blocks seen, summary blocks, hands kept and hands dropped as invalid."""
     seen = files.select(
         file_id,
-        F.size(blocks(F.col(text))).alias("total_segments"),
-        F.size(F.filter(blocks(F.col(text)), lambda b: ht.is_summary(b))).alias("tournament_summary"),
+        F.transform(blocks(F.col(text)), lambda b: ht.is_summary(b)).alias("_summary"),
+        F.transform(hands_of(F.col(text)), lambda h: h["valid"]).alias("_valid"),
     )
-    kept = split_hands(files, file_id, text).groupBy(file_id).agg(
-        count_true(F.col("valid")).alias("hands"), count_true(~F.col("valid")).alias("invalid_segments")
-    )
-    return seen.join(kept, file_id, "left").select(
-        file_id, "total_segments", "tournament_summary",
-        F.coalesce("hands", F.lit(0)).alias("hands"), F.coalesce("invalid_segments", F.lit(0)).alias("invalid_segments"),
+    return seen.select(
+        file_id,
+        F.size("_summary").alias("total_segments"),
+        F.size(F.filter("_summary", lambda s: s)).alias("tournament_summary"),
+        F.size(F.filter("_valid", lambda v: v)).cast("bigint").alias("hands"),
+        F.size(F.filter("_valid", lambda v: ~v)).cast("bigint").alias("invalid_segments"),
     )
 
 

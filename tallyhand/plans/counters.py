@@ -9,7 +9,7 @@ the same one-shuffle job as the catalogue.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyhand.functions import handtext as ht
-from tallyhand.functions import seats
+from tallyhand.functions import seats, words
 from tallyhand.functions.columns import lookup, yes
 from tallyhand.functions.words import has
 from tallyhand.operators.cube import vpip_from_parts
@@ -17,7 +17,7 @@ from tallyhand.plans.opportunities import count_flags
 
 MIN_BB = 16.0
 
-# position letters; the hero is H, anybody without a known seat is Z
+# position letters; the hero is H, anybody without a known seat gets a letter of their own
 LETTER = {
     "SB": "S", "BB": "D", "UTG": "U", "UTG+1": "V", "UTG+2": "W", "MP": "M", "HJ": "J", "CO": "C",
     "BTN": "B", "BTN/SB": "T",
@@ -33,8 +33,8 @@ LAST_ORDER = {"SB": 0, "BB": 1, "UTG": 2, "UTG+1": 3, "MP": 4, "MP+1": 5, "HJ":
 # order used to find who is still to act when the hero may open
 OPEN_ORDER = {"MP": 1, "HJ": 1, "CO": 2, "BTN": 3, "SB": 4, "BB": 5}
 
-NH = "[A-GI-Z]"  # anybody but the hero
-NB = "[A-CE-GI-RT-Z]"  # neither the hero nor a blind
+ANY, NH = words.ANY, words.NOT_HERO  # anybody; anybody but the hero
+NB = words.but("HSD")  # neither the hero nor a blind
 QUIET = "[fkz]"  # fold, check, bare all-in line
 RAISED, CALLED = "[rx]", "[cy]"
 # before or after a raise, nobody raises and only blinds call
@@ -44,7 +44,10 @@ _FOLDED = f"(?:{NB}f|[SD][a-z])*"
 
 
 def read_hands(hands: DataFrame, text: str = "text") -> DataFrame:
-    """Parse hand texts into the columns the counters need."""
+    """Parse hand texts into the columns the counters need.
+
+    All of a hand's actors are listed once, so two without a known seat are never taken for one.
+    """
     t = F.col(text)
     df = hands.withColumns(
         {
@@ -113,7 +116,7 @@ def mark_allins(df: DataFrame) -> DataFrame:
 def with_words(df: DataFrame) -> DataFrame:
     def letter(name: Column) -> Column:
         return F.when(is_hero(name), "H").otherwise(
-            F.coalesce(lookup(LETTER, seats.position_of(F.col("_positions"), name)), F.lit("Z"))
+            F.coalesce(lookup(LETTER, seats.position_of(F.col("_positions"), name)), words.more_letter(F.array_position("_unseated", name)))
         )
 
     def verb(a: Column) -> Column:
@@ -134,6 +137,8 @@ def with_words(df: DataFrame) -> DataFrame:
     seated = F.transform("_positions", lambda p: F.when(is_hero(p["name"]), F.lit("Hero")).otherwise(p["name"]))
     hero_key = F.get(F.filter("_positions", lambda p: is_hero(p["name"])), F.lit(0))
     raisers = F.transform(F.filter("_a_preflop", lambda a: a["verb"].isin("raises", "bets")), lambda a: F.when(is_hero(a["player"]), F.lit("Hero")).otherwise(a["player"]))
+    acted = F.flatten(F.array(*[F.transform(f"_a_{s}", lambda a: a["player"]) for s in ("preflop", "flop", "turn", "river")]))
+    df = df.withColumn("_unseated", F.array_except(acted, F.transform("_positions", lambda p: p["name"])))
     df = df.withColumns(
         {
             **{f"_w_{s}": word(s) for s in ("preflop", "flop", "turn", "river")},
@@ -239,7 +244,7 @@ def preflop_flags() -> dict[str, tuple[Column, Column]]:
         add(f"{seat} Cold Call", (cls == seat) & F.col("_ok_defend"), one_raise, CALLED)
     add(
         "BTN fold to CO steal", (pos == "BTN") & F.col("_ok_defend"),
-        f"^(?:[ABE-GI-RT-Z]f|[SD].)*C{RAISED}(?:{NH}.)*", "f",
+        f"^(?:{words.but('CDHS')}f|[SD].)*C{RAISED}(?:{NH}.)*", "f",
     )
 
     blinds_only = has(w, f"^(?:{NB}f|[SDH].)*$") & F.exists("_positions", lambda p: p["pos"] == "SB") & F.exists(
@@ -248,7 +253,7 @@ def preflop_flags() -> dict[str, tuple[Column, Column]]:
     add("SB UO VPIP", (pos == "SB") & blinds_only, f"^(?:{NB}f)*", f"[rxcy]")
     add("SB Steal", (pos == "SB") & blinds_only, f"^(?:{NB}f)*", RAISED)
     for name, sb_does, answer in (("BB fold vs SB steal", RAISED, "f"), ("BB raise vs SB limp UOP", CALLED, RAISED)):
-        opp = ready & yes((pos == "BB") & blinds_only) & has(w, f"^(?:[A-RT-Z].)*S{sb_does}")
+        opp = ready & yes((pos == "BB") & blinds_only) & has(w, f"^(?:{words.but('S')}.)*S{sb_does}")
         out[name] = (opp, opp & has(w, f"^(?:{NH}.)*H{answer}"))
 
     calm = f"(?:{NH}[fkzcy])*"
@@ -288,14 +293,14 @@ def postflop_flags() -> dict[str, tuple[Column, Column]]:
     hero_pfr, hero_three, hero_four = yes(pfr == "Hero"), yes(three == "Hero"), yes(F.get(raisers, F.lit(2)) == "Hero")
     single = three.isNull()
     called_three = yes(three != "Hero") & has(
-        pre, rf"^(?=(?:[A-Z][^rx])*[A-Z]{RAISED}(?:[A-Z][^rx])*({NH}){RAISED}).*?\1{RAISED}.*H{CALLED}"
+        pre, rf"^(?=(?:{ANY}[^rx])*{ANY}{RAISED}(?:{ANY}[^rx])*({NH}){RAISED}).*?\1{RAISED}.*H{CALLED}"
     )
     hero_in = has(pre, "H[xyz]")
     heads_up, turn_two = F.size("_flop_players") == 2, F.size("_turn_players") == 2
     ip, oop = yes(F.col("_ip_flop")), yes(~F.col("_ip_flop"))
     turn_ip, turn_oop = turn_two & yes(F.col("_ip_turn")), turn_two & yes(~F.col("_ip_turn"))
     opener = hero_pfr & ~hero_three & ~called_three & ~hero_four
-    unopened = has(pre, f"^(?:[A-Z][^rxcy])*H{RAISED}")
+    unopened = has(pre, f"^(?:{ANY}[^rxcy])*H{RAISED}")
     clean_open = placed & opener & unopened & ~hero_in & heads_up
     called_raise = ~hero_pfr & ~hero_three & has(pre, f"{NH}{RAISED}.*H{CALLED}")
     checked_to = has(flop, f"^(?:{NH}[^xyz])*{NH}kH")
@@ -327,7 +332,7 @@ def postflop_flags() -> dict[str, tuple[Column, Column]]:
     on_turn = placed & F.col("_has_turn")
     got_called = has(flop, f"H{RAISED}.*{NH}{CALLED}")
     first, first_bet = has(turn, "^H"), has(turn, f"^H{RAISED}")
-    add("Turn CBet IP%", on_turn & opener & ip & got_called & turn_ip & has(turn, "^[A-Z]k") & has(turn, "H"), has(turn, f"^(?:{NH}.)*H{RAISED}"))
+    add("Turn CBet IP%", on_turn & opener & ip & got_called & turn_ip & has(turn, f"^{ANY}k") & has(turn, "H"), has(turn, f"^(?:{NH}.)*H{RAISED}"))
     add("Turn Cbet OOP%", on_turn & opener & oop & got_called & turn_oop & first, first_bet)
     called_flop = has(flop, f"H{CALLED}")
     called_pfr = yes(pfr != "Hero") & has(pre, f"H{CALLED}")

@@ -35,13 +35,16 @@ def ignored_files(spark: SparkSession, root: str) -> DataFrame:
 def decode(content: Column) -> Column:
     """struct(text, encoding, status): UTF-8 when valid, else Latin-1.
 
-    ``status`` is ``empty``, ``invalid`` (more than 30% replacement characters) or ``ok``.
+    ``status`` is ``empty``, ``invalid`` or ``ok``. Latin-1 gives every byte a character, so
+    junk is told from the bytes: more than 30% of what a lossy UTF-8 reading gives are
+    replacement or control characters.
     """
     utf8 = F.is_valid_utf8(content.cast("string"))
     text = F.when(utf8, F.decode(content, "UTF-8")).otherwise(F.decode(content, "ISO-8859-1"))
-    junk = F.length(text) - F.length(F.replace(text, F.lit("�"), F.lit("")))
+    lossy = F.make_valid_utf8(content.cast("string"))
+    junk = F.length(lossy) - F.length(F.regexp_replace(lossy, "[\ufffd\\x00-\\x08\\x0E-\\x1F\\x7F]", ""))
     status = (
-        F.when(F.length(text) == 0, "empty").when(junk > F.length(text) * 0.3, "invalid").otherwise("ok")
+        F.when(F.length(text) == 0, "empty").when(junk > F.length(lossy) * 0.3, "invalid").otherwise("ok")
     )
     return F.struct(
         text.alias("text"), F.when(utf8, "utf-8").otherwise("latin-1").alias("encoding"), status.alias("status")
@@ -77,8 +80,8 @@ def stored_cubes(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def room_sheet(spark: SparkSession, path: str) -> DataFrame:
-    """A room's CSV: header and data, all cells as text (decimal commas, ``NA``)."""
-    return spark.read.option("header", "true").csv(path)
+    """A room's CSV: its header and its first data row, all cells as text (decimal commas, ``NA``)."""
+    return spark.read.option("header", "true").csv(path).limit(1)
 
 
 def numeric_cells(sheet: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ def test_text_files_and_decode(spark, tmp_path):
     rows = readers.text_files(spark, str(tmp_path)).withColumn("d", readers.decode(F.col("content"))).collect()
     got = {r.name: (r.d.text, r.d.encoding, r.d.status) for r in rows}
     assert got == {"one.txt": ("olá", "utf-8", "ok"), "two.XML": ("olá", "latin-1", "ok")}
+    junk = spark.createDataFrame([(bytearray(range(128, 256)) * 20,)], "c binary").select(readers.decode(F.col("c")).alias("d")).first().d
+    assert junk.status == "invalid"
     empty = spark.sql("SELECT CAST('' AS BINARY) AS c").select(readers.decode(F.col("c")).alias("d")).first().d
     assert (empty.text, empty.status) == ("", "empty")
     assert readers.ignored_files(spark, str(tmp_path)).first().ignored == 1
@@ -40,26 +42,29 @@ def test_sinks_round_trip(spark, sf_dir, tmp_path):
     facts = opportunities.with_month_and_groups(derive.derive_facts(hands)).withColumn("hand_id", F.col("h").cast("string"))
     metrics = catalogue.for_family(catalogue.catalogue(), "POSTFLOP_SHOWDOWN")
     hits = opportunities.stat_hits(facts, metrics)
-    sinks.write_hits(hits, str(tmp_path / "hits"), salt=2)
+    sinks.write_hits(hits, str(tmp_path / "hits"))
     back = spark.read.parquet(str(tmp_path / "hits"))
     assert back.count() == hits.count() and {"month", "grp"} <= set(back.columns)
     plan = back.where("month = '2024-01' AND grp = 'postflop_all'")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(month" in plan
     enriched = derive.enrich_hands(hands).withColumn("month", F.lit("2024-01"))
-    sinks.write_enriched(enriched, str(tmp_path / "enriched"), salt=2)
+    sinks.write_enriched(enriched, str(tmp_path / "enriched"))
     assert derive.hand_context(spark.read.parquet(str(tmp_path / "enriched"))).count() == hands.count()
-    sinks.write_by_fields(hands.select("h", "site", "hero"), {"site": F.col("site"), "hero": F.col("hero")}, str(tmp_path / "by"), salt=1)
-    assert spark.read.parquet(str(tmp_path / "by/site")).where("group_key = 'gg'").count() == hands.where("site = 'gg'").count()
+    sinks.write_by_fields(hands.select("h", "site", "hero"), {"site": F.col("site"), "hero": F.col("hero")}, str(tmp_path / "by"))
+    assert spark.read.parquet(str(tmp_path / "by")).where("field = 'site' AND group_key = 'gg'").count() == hands.where("site = 'gg'").count()
     cube = opportunities.count_hands(facts, metrics)
     sinks.write_csv(cube, str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == cube.count()
-    sinks.write_history(opportunities.with_percentage(cube), str(tmp_path / "history"))
+    for _ in range(2):  # a retry replaces its own rows
+        sinks.write_history(opportunities.with_percentage(cube), str(tmp_path / "history"), "run-1")
+    sinks.write_history(opportunities.with_percentage(cube).limit(3), str(tmp_path / "history"), "run-2")
+    assert spark.read.parquet(str(tmp_path / "history")).count() == cube.count() + 3
     assert dict(spark.read.parquet(str(tmp_path / "history")).dtypes)["percentage"] == "decimal(7,2)"
 
 
 def test_text_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("A/B", "x one"), ("A/B", "two"), ("C", "three")], "stat_id string, text string")
-    sinks.write_stat_texts(rows, str(tmp_path / "t"), salt=1)
+    sinks.write_stat_texts(rows, str(tmp_path / "t"))
     body = "".join(p.read_text() for p in (tmp_path / "t" / "stat_id=A_B").glob("part-*"))
     assert sorted(body.split("\n\n")) == ["", "two", "x one"]
     files = spark.createDataFrame([("k", "n1", "c1"), ("k", "n2", "")], "class string, name string, text string")
