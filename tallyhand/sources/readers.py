@@ -35,16 +35,18 @@ def ignored_files(spark: SparkSession, root: str) -> DataFrame:
 def decode(content: Column) -> Column:
     """struct(text, encoding, status): UTF-8 when valid, else Latin-1.
 
-    ``status`` is ``empty``, ``invalid`` or ``ok``. Latin-1 gives every byte a character, so
-    junk is told from the bytes: more than 30% of what a lossy UTF-8 reading gives are
-    replacement or control characters.
+    ``status`` is ``empty``, ``invalid`` (more than 30% junk) or ``ok``. Latin-1 gives every
+    byte a character, so junk is what no log has: replacement and control characters, and
+    where bytes are no UTF-8 also the half of the upper bytes that are no letters.
     """
     utf8 = F.is_valid_utf8(content.cast("string"))
     text = F.when(utf8, F.decode(content, "UTF-8")).otherwise(F.decode(content, "ISO-8859-1"))
-    lossy = F.make_valid_utf8(content.cast("string"))
-    junk = F.length(lossy) - F.length(F.regexp_replace(lossy, "[\ufffd\\x00-\\x08\\x0E-\\x1F\\x7F]", ""))
+    odd = F.when(utf8, F.regexp_replace(text, r"[^\uFFFD\x00-\x08\x0E-\x1F\x7F]", "")).otherwise(
+        F.regexp_replace(text, r"[^\x00-\x08\x0E-\x1F\x7F-\xBF]", "")
+    )
+    junk = F.length(odd)
     status = (
-        F.when(F.length(text) == 0, "empty").when(junk > F.length(lossy) * 0.3, "invalid").otherwise("ok")
+        F.when(F.length(text) == 0, "empty").when(junk > F.length(text) * 0.3, "invalid").otherwise("ok")
     )
     return F.struct(
         text.alias("text"), F.when(utf8, "utf-8").otherwise("latin-1").alias("encoding"), status.alias("status")

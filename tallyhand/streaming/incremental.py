@@ -3,16 +3,19 @@
 import hashlib
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tallyhand.functions import timecols
 from tallyhand.operators.derive import derive_facts
-from tallyhand.operators.records import stable_id
+from tallyhand.operators.records import fingerprint
 from tallyhand.plans.catalogue import catalogue
 from tallyhand.plans.opportunities import count_hands, with_month_and_groups
 from tallyhand.schemas import HAND
 
+_IDS = "hand_id string, run string, batch bigint"
+
 
 def state_root(spark: SparkSession, name: str, fallback: str) -> str:
     """Where a query keeps its progress: under the cluster's shared checkpoint folder.
@@ -28,22 +31,16 @@ def hand_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFr
     return spark.readStream.schema(HAND).option("maxFilesPerTrigger", max_files).json(path)
 
 
-def with_identity(hands: DataFrame) -> DataFrame:
-    """Add ``hand_id`` and the event time."""
-    return hands.withColumn(
-        "hand_id",
-        stable_id(
-            *[F.col(c) for c in ("site", "tournament_id", "file_id", "button_seat")],
-            F.try_element_at("raw_offsets", F.lit("hand_start")),
-            F.col("timestamp_utc"),
-            names=F.transform("players", lambda p: p["name"]),
-        ),
-    ).withColumn("event_time", timecols.parse_stamp(F.col("timestamp_utc")))
-
+def with_identity(hands: DataFrame, text: str | None = None) -> DataFrame:
+    """Add ``hand_id`` and the event time.
 
-def first_arrivals(hands: DataFrame, late: str = "35 days") -> DataFrame:
-    """Drop repeats inside the watermark; older repeats need the stored-id check of ``merge_counts``."""
-    return with_identity(hands).withWatermark("event_time", late).dropDuplicatesWithinWatermark(["hand_id"])
+    The id is the fingerprint of the hand's text where a column holds it, else of all that
+    was played; the file a hand came in is no part of it, so a second upload gets the same id.
+    """
+    played = F.to_json(F.struct("site", "tournament_id", "timestamp_utc", "button_seat", "hero", "players", "streets"))
+    return hands.withColumn("hand_id", fingerprint(F.col(text) if text else played)).withColumn(
+        "event_time", timecols.parse_stamp(F.col("timestamp_utc"))
+    )
 
 
 def live_counts(hands: DataFrame, metrics: list[dict] | None = None) -> DataFrame:
@@ -52,34 +49,47 @@ def live_counts(hands: DataFrame, metrics: list[dict] | None = None) -> DataFram
 
 
 def merge_counts(
-    counter: Callable[[DataFrame], DataFrame], cube_path: str, ids_path: str
+    counter: Callable[[DataFrame], DataFrame], cube_path: str, ids_path: str, run: str | None = None
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: count unseen hands and add them to the stored cube.
 
-    Every batch appends its delta and its ids under its own batch number, and a batch
-    that is run again overwrites exactly that folder: a retry after a lost executor or
-    driver neither loses nor doubles a count. Readers add the deltas up (``read_counts``).
+    Hands are unseen if no stored id is theirs, however old they are. Every batch writes its
+    ids and its delta under its run and number; a batch that is run again overwrites exactly
+    those folders, so a retry after a lost executor or driver neither loses nor doubles a
+    count. ``run`` is by default the id that the query's checkpoint holds: a lost checkpoint
+    begins a new run beside the stored ones, and the ids keep it from counting twice. Readers
+    add the deltas up (``read_counts``).
     """
 
-    def run(batch: DataFrame, batch_id: int) -> None:
+    def add(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        name = run or spark.sparkContext.getLocalProperty("sql.streaming.queryId")
         fresh = batch.dropDuplicates(["hand_id"])
-        seen = _read_if_any(spark, ids_path, "hand_id string, batch bigint")
+        seen = _read_if_any(spark, ids_path, _IDS)
         if seen is not None:
-            old = seen.where(F.col("batch") < batch_id).select("hand_id")
+            old = seen.where((F.col("run") != name) | (F.col("batch") < batch_id)).select("hand_id")
             fresh = fresh.join(old, "hand_id", "left_anti")
-        counter(fresh).write.mode("overwrite").parquet(f"{cube_path}/batch={batch_id}")
-        fresh.select("hand_id").write.mode("overwrite").parquet(f"{ids_path}/batch={batch_id}")
+        fresh.persist()  # read once for the counts and once for the ids
+        counter(fresh).write.mode("overwrite").parquet(f"{cube_path}/run={name}/batch={batch_id}")
+        fresh.select("hand_id").write.mode("overwrite").parquet(f"{ids_path}/run={name}/batch={batch_id}")
+        fresh.unpersist()
 
-    return run
+    return add
 
 
 def _read_if_any(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return None
-    return spark.read.schema(schema).parquet(path)
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def compact_ids(spark: SparkSession, ids_path: str, target: str) -> None:
+    """All stored ids in few files, as one run before any other; to be used as ``ids_path`` from then on."""
+    seen = spark.read.schema(_IDS).parquet(ids_path).select("hand_id").distinct()
+    seen.hint("rebalance").write.mode("overwrite").parquet(f"{target}/run=compacted/batch=0")
 
 
 def read_counts(spark: SparkSession, cube_path: str) -> DataFrame:
@@ -91,13 +101,13 @@ def read_counts(spark: SparkSession, cube_path: str) -> DataFrame:
 
 
 def compact_counts(spark: SparkSession, cube_path: str, target: str, months: list[str] | None = None) -> None:
-    """Rewrite the summed cube by month; with ``months`` only those partitions are replaced."""
+    """Rewrite the summed cube by month; with ``months`` only those partitions are replaced, else all."""
     cube = read_counts(spark, cube_path)
     if months is not None:
         cube = cube.where(F.col("month").isin(months))
     (
         cube.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .option("partitionOverwriteMode", "static" if months is None else "dynamic")
         .partitionBy("month")
         .parquet(target)
     )
@@ -109,8 +119,9 @@ def run_incremental(
     """Process everything that is new, once, and stop."""
     metrics = metrics or catalogue()
     counter = lambda df: count_hands(with_month_and_groups(derive_facts(df)), metrics)
-    # one progress folder per target: two jobs never share offsets
-    name = f"incremental_counts_{hashlib.sha1(cube_path.encode()).hexdigest()[:12]}"
+    # one progress folder per source, metrics and target: none of them reuses another's offsets
+    named = "\n".join([source, cube_path, ids_path, *sorted(str(m) for m in metrics)])
+    name = f"incremental_counts_{hashlib.sha1(named.encode()).hexdigest()[:12]}"
     return (
         with_identity(hand_stream(spark, source))
         .writeStream.foreachBatch(merge_counts(counter, cube_path, ids_path))

@@ -80,37 +80,58 @@ def test_room_sheets(spark, tmp_path):
     assert readers.numeric_cells(sheet).first()["Early UO VPIP"] == 0.0
 
 
+def counts_of(df):
+    return {(r.month, r.grp, r.stat_id): (r.opportunities, r.attempts) for r in df.collect()}
+
+
 def test_incremental_counts(spark, sf_dir, tmp_path):
-    hands = tables.hands(spark, sf_dir).drop("h")
+    tables.hands(spark, sf_dir).drop("h").write.parquet(str(tmp_path / "hands"))
+    hands = spark.read.parquet(str(tmp_path / "hands"))
     src, cube, ids, ck = (str(tmp_path / n) for n in ("src", "cube", "ids", "ck"))
     metrics = catalogue.for_family(catalogue.catalogue(), "POSTFLOP_RIVER")
-    want = opportunities.count_hands(opportunities.with_month_and_groups(derive.derive_facts(hands)), metrics)
-    expected = {(r.month, r.grp, r.stat_id): (r.opportunities, r.attempts) for r in want.collect()}
+    unique = incremental.with_identity(hands).dropDuplicates(["hand_id"])
+    want = opportunities.count_hands(opportunities.with_month_and_groups(derive.derive_facts(unique)), metrics)
+    expected = counts_of(want)
     half = F.pmod(F.try_element_at("raw_offsets", F.lit("hand_start")), F.lit(2))
     hands.where(half == 0).coalesce(1).write.mode("append").json(src)
     incremental.run_incremental(spark, src, cube, ids, ck, metrics).awaitTermination()
-    # the second drop repeats the first half and adds the rest
-    hands.coalesce(1).write.mode("append").json(src)
+    # the second drop repeats the first half, under the name of another file, and adds the rest
+    hands.withColumn("file_id", F.concat(F.lit("copy/"), F.col("file_id"))).coalesce(1).write.mode("append").json(src)
     incremental.run_incremental(spark, src, cube, ids, ck, metrics).awaitTermination()
-    got = {(r.month, r.grp, r.stat_id): (r.opportunities, r.attempts) for r in incremental.read_counts(spark, cube).collect()}
-    assert got == expected
-    incremental.compact_counts(spark, cube, str(tmp_path / "compact"))
+    assert counts_of(incremental.read_counts(spark, cube)) == expected
+    # a lost checkpoint starts over and finds every hand stored
+    incremental.run_incremental(spark, src, cube, ids, str(tmp_path / "ck2"), metrics).awaitTermination()
+    assert counts_of(incremental.read_counts(spark, cube)) == expected
+    for _ in range(2):
+        incremental.compact_counts(spark, cube, str(tmp_path / "compact"))
     assert spark.read.parquet(str(tmp_path / "compact")).count() == len(expected)
+    incremental.compact_ids(spark, ids, str(tmp_path / "ids2"))
+    incremental.run_incremental(spark, src, cube, str(tmp_path / "ids2"), str(tmp_path / "ck3"), metrics).awaitTermination()
+    assert counts_of(incremental.read_counts(spark, cube)) == expected
 
 
-def test_stream_drops_repeats_and_counts(spark, sf_dir, tmp_path):
+def test_old_hands_and_repeated_batches_count_once(spark, tmp_path):
+    schema = "hand_id string, month string"
+    cube, ids = str(tmp_path / "cube"), str(tmp_path / "ids")
+    count = lambda df: df.groupBy("month").agg(F.count("*").alias("opportunities")).selectExpr("month", "'g' grp", "'s' stat_id", "opportunities", "0L attempts")
+    first = spark.createDataFrame([("a", "2024-05"), ("b", "2024-05")], schema)
+    old = spark.createDataFrame([("c", "2019-01"), ("a", "2024-05"), ("d", "2001-07")], schema)
+    add = incremental.merge_counts(count, cube, ids, "one")
+    for batch, number in ((first, 0), (old, 1), (old, 1)):  # the second batch is retried
+        add(batch, number)
+    incremental.merge_counts(count, cube, ids, "two")(first.union(old), 0)
+    assert {r.month: r.opportunities for r in incremental.read_counts(spark, cube).where("opportunities > 0").collect()} == {"2024-05": 2, "2019-01": 1, "2001-07": 1}
+
+
+def test_live_counts(spark, sf_dir, tmp_path):
     hands = tables.hands(spark, sf_dir).drop("h")
     src = str(tmp_path / "src")
-    hands.unionAll(hands).coalesce(1).write.json(src)
-    unique = incremental.first_arrivals(incremental.hand_stream(spark, src))
-    query = unique.select("hand_id").writeStream.format("memory").queryName("seen").trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert spark.table("seen").count() == hands.count()
+    hands.coalesce(1).write.json(src)
     metrics = catalogue.for_family(catalogue.catalogue(), "POSTFLOP_SHOWDOWN")
     live = incremental.live_counts(incremental.hand_stream(spark, src), metrics)
     query = live.writeStream.outputMode("complete").format("memory").queryName("live").trigger(availableNow=True).start()
     query.awaitTermination()
-    assert spark.table("live").count() > 0
+    assert counts_of(spark.table("live")) == counts_of(opportunities.count_hands(opportunities.with_month_and_groups(derive.derive_facts(hands)), metrics))
 
 
 class _Session:
