@@ -337,7 +337,7 @@ PICKED = f"""picked AS (SELECT month, rank, CASE rank WHEN 1 THEN 0.5 WHEN 2 THE
 def selected_month_blend(spark, sf_dir):
     rows = cube(spark, sf_dir)
     scores = rows.withColumn("score", F.col("attempts") / F.col("opportunities") * 100.0)
-    out = months.blend_months(scores, months.months_up_to(rows.select("month"), SELECTED), ["grp", "stat_id"])
+    out = months.blend_months(months.weigh_months(scores, SELECTED), ["grp", "stat_id"])
     return out.withColumn("score", F.round("score", 4))
 
 
@@ -351,9 +351,8 @@ def selected_month_blend(spark, sf_dir):
 )
 def main_3_months(spark, sf_dir):
     rows = cube(spark, sf_dir)
-    picked = months.months_up_to(rows.select("month"), "1995-02", months.MAIN_DECAY)
     scores = rows.withColumn("score", F.col("attempts") / F.col("opportunities") * 100.0)
-    return months.blend_months(scores, picked, ["grp", "stat_id"]).withColumn("score", F.round("score", 4))
+    return months.blend_months(months.weigh_months(scores, "1995-02", months.MAIN_DECAY), ["grp", "stat_id"]).withColumn("score", F.round("score", 4))
 
 
 LAST6 = "l6 AS (SELECT month, row_number() OVER (ORDER BY month) AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT month FROM cube ORDER BY month DESC LIMIT 6))"
@@ -385,6 +384,51 @@ def trend_halves(spark, sf_dir):
     return months.trend(cube(spark, sf_dir), 6, ["grp", "stat_id"])
 
 
+# months by source: each one ends in another month, as users' uploads do
+USERS = f"""{SOURCED}, u AS (SELECT * FROM cube WHERE month <= CASE source WHEN 'ASIA' THEN '1997-03' WHEN 'EUROPE' THEN '1995-11' ELSE '1998-12' END),
+  ranked AS (SELECT *, dense_rank() OVER (PARTITION BY source ORDER BY month DESC) AS rank FROM u)"""
+_DECAY = "CASE rank WHEN 1 THEN 0.5 WHEN 2 THEN 0.3 ELSE 0.2 END"
+
+
+def users(spark, sf_dir):
+    last = F.when(F.col("source") == "ASIA", "1997-03").when(F.col("source") == "EUROPE", "1995-11").otherwise("1998-12")
+    return sourced_cube(spark, sf_dir).where(F.col("month") <= last)
+
+
+@query(
+    "weighted_att_opp_by_source",
+    f"""{USERS}, w AS (SELECT *, {_DECAY} AS weight FROM ranked WHERE rank <= 3)
+    SELECT source, grp, stat_id, round(sum(attempts * weight) / sum(opportunities * weight) * 100.0, 4) AS pct,
+      CAST(floor(sum(attempts * weight)) AS BIGINT) AS attempts, CAST(floor(sum(opportunities * weight)) AS BIGINT) AS opportunities
+    FROM w GROUP BY source, grp, stat_id""",
+)
+def weighted_att_opp_by_source(spark, sf_dir):
+    return months.weighted_rate(users(spark, sf_dir), ["grp", "stat_id"], by=["source"]).withColumn("pct", F.round("pct", 4))
+
+
+@query(
+    "selected_month_by_source",
+    f"""{USERS.replace("FROM u)", "FROM u WHERE month <= '1997-06')")}
+    SELECT source, grp, stat_id, round(sum(attempts / opportunities * 100.0 * {_DECAY}) / sum({_DECAY}), 4) AS score, count(*) AS months_used
+    FROM ranked WHERE rank <= 3 GROUP BY source, grp, stat_id""",
+)
+def selected_month_by_source(spark, sf_dir):
+    scores = users(spark, sf_dir).withColumn("score", F.col("attempts") / F.col("opportunities") * 100.0)
+    out = months.blend_months(months.weigh_months(scores, "1997-06", by=["source"]), ["source", "grp", "stat_id"])
+    return out.withColumn("score", F.round("score", 4))
+
+
+@query(
+    "series_by_source",
+    f"""{USERS} SELECT source, grp, stat_id, month, opportunities, attempts, {_pct()} AS percentage, round(CAST(7 - rank AS DOUBLE) / 6, 2) AS ramp,
+      CAST(sum(opportunities) OVER w AS BIGINT) AS total_opportunities, CAST(sum(attempts) OVER w AS BIGINT) AS total_attempts,
+      round(CAST(sum(attempts) OVER w AS DOUBLE) / sum(opportunities) OVER w * 100.0, 2) AS average_percentage
+    FROM ranked WHERE rank <= 6 WINDOW w AS (PARTITION BY source, grp, stat_id)""",
+)
+def series_by_source(spark, sf_dir):
+    return months.ramp_series(users(spark, sf_dir), 6, ["grp", "stat_id"], by=["source"])
+
+
 @query(
     "months_sorted",
     f"""{CUBE}, m AS (SELECT DISTINCT CASE WHEN month LIKE '1995-%' THEN 'unknown' ELSE month END AS month FROM cube)
@@ -698,7 +742,7 @@ def pct_by_month_pivot(spark, sf_dir):
 def merged_months(spark, sf_dir):
     rows = opportunities.with_percentage(cube(spark, sf_dir))
     rows = rows.withColumn("score", F.when(F.col("opportunities") >= 20, F.col("percentage")))
-    return reports.merge_months(rows, months.months_up_to(rows.select("month"), SELECTED)).withColumn("score", F.round("score", 4))
+    return reports.merge_months(months.weigh_months(rows, SELECTED)).withColumn("score", F.round("score", 4))
 
 
 SUBGROUP = """CASE WHEN regexp_matches(stat_id, 'RFI_|CO_STEAL|BTN_STEAL') THEN 'RFI' WHEN regexp_matches(stat_id, 'SB_UO|SB_STEAL|BB_FOLD_TO_SB|BB_RAISE_VS_SB') THEN 'BvB'

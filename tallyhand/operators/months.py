@@ -72,56 +72,62 @@ def ranked_months(cube: DataFrame, unknown_is_newest: bool = False) -> DataFrame
     )
 
 
-def weighted_rate(cube: DataFrame, keys: list[str], table: dict = DECAY) -> DataFrame:
-    """sum(att*w)/sum(opp*w) over as many of the newest months as the table has weights for."""
-    picked = (
-        ranked_months(cube)
-        .where(F.col("rank") <= max(table))
-        .select("month", decay_weight(F.col("rank"), F.col("of"), table).alias("weight"))
-    )
-    rows = cube.join(picked, "month")
-    att, opp = F.sum(F.col("attempts") * F.col("weight")), F.sum(F.col("opportunities") * F.col("weight"))
-    return rows.groupBy(*keys).agg(
-        F.when(opp > 0, att / opp * 100.0).alias("pct"),
-        F.floor(att).cast("bigint").alias("attempts"),
-        F.floor(opp).cast("bigint").alias("opportunities"),
-    )
+def with_month_rank(rows: DataFrame, by: list[str] | None = None, unknown_is_newest: bool = False) -> DataFrame:
+    """Add ``rank`` (1 = newest) and ``of``: the place of a row's month among all months of its user.
+
+    ``by`` names what has months of its own: a user, a source; without it the whole frame does.
+    Rows without a month are left out. ``rows`` are cube rows, a few for each user and month,
+    and are read once; a window holds those of one user.
+    """
+    user = Window.partitionBy(*(by or []))
+    unknown = F.col("month") == "unknown"
+    order = [unknown.desc() if unknown_is_newest else unknown.asc(), F.col("month").desc()]
+    ranked = rows.where(F.col("month").isNotNull()).withColumn("rank", F.dense_rank().over(user.orderBy(*order)))
+    return ranked.withColumn("of", F.max("rank").over(user))
 
 
-def months_up_to(months: DataFrame, selected: str | None, table: dict = DECAY) -> DataFrame:
-    """(month, rank, weight): the selected month and those before it that the table weighs.
+def weigh_months(
+    rows: DataFrame, selected: str | None = None, table: dict[int, list[float]] = DECAY, by: list[str] | None = None
+) -> DataFrame:
+    """The rows of the selected month and of those before it that the table weighs, with ``rank`` and ``weight``.
 
-    ``selected=None`` starts from the newest month; ``unknown`` sorts after all months.
+    ``selected=None`` starts from each user's newest month; ``unknown`` sorts after all months.
     """
-    pool = months if selected is None else months.where(
+    pool = rows if selected is None else rows.where(
         month_order(F.col("month")) <= ("9999-99" if selected == "unknown" else selected)
     )
-    return (
-        ranked_months(pool, unknown_is_newest=True)
-        .where(F.col("rank") <= max(table))
-        .select("month", "rank", decay_weight(F.col("rank"), F.col("of"), table).alias("weight"))
+    ranked = with_month_rank(pool, by, unknown_is_newest=True).where(F.col("rank") <= max(table))
+    return ranked.withColumn("weight", decay_weight(F.col("rank"), F.col("of"), table)).drop("of")
+
+
+def weighted_rate(cube: DataFrame, keys: list[str], table: dict = DECAY, by: list[str] | None = None) -> DataFrame:
+    """sum(att*w)/sum(opp*w) over as many of a user's newest months as the table has weights for."""
+    rows = with_month_rank(cube, by).where(F.col("rank") <= max(table))
+    rows = rows.withColumn("weight", decay_weight(F.col("rank"), F.col("of"), table))
+    att, opp = F.sum(F.col("attempts") * F.col("weight")), F.sum(F.col("opportunities") * F.col("weight"))
+    return rows.groupBy(*(by or []), *keys).agg(
+        F.when(opp > 0, att / opp * 100.0).alias("pct"),
+        F.floor(att).cast("bigint").alias("attempts"),
+        F.floor(opp).cast("bigint").alias("opportunities"),
     )
 
 
-def blend_months(scores: DataFrame, picked: DataFrame, keys: list[str], value: str = "score") -> DataFrame:
-    """Weighted mean of monthly scores; weights are rescaled to the months that have a score."""
-    return (
-        scores.join(picked.select("month", "weight"), "month")
-        .groupBy(*keys)
-        .agg(weighted_mean(F.col(value), F.col("weight")).alias(value), F.count(value).alias("months_used"))
+def blend_months(weighted: DataFrame, keys: list[str], value: str = "score") -> DataFrame:
+    """Weighted mean of monthly scores (``weigh_months``); weights are rescaled to the months that have a score."""
+    return weighted.groupBy(*keys).agg(
+        weighted_mean(F.col(value), F.col("weight")).alias(value), F.count(value).alias("months_used")
     )
 
 
-def last_months(cube: DataFrame, n: int) -> DataFrame:
-    """Rows of the newest ``n`` months present anywhere in the cube."""
-    newest = ranked_months(cube, unknown_is_newest=True).where(F.col("rank") <= n)
-    return cube.join(newest.select("month"), "month", "left_semi")
+def last_months(cube: DataFrame, n: int, by: list[str] | None = None) -> DataFrame:
+    """Rows of a user's newest ``n`` months, with ``rank`` and ``of``."""
+    return with_month_rank(cube, by, unknown_is_newest=True).where(F.col("rank") <= n)
 
 
-def ramp_series(cube: DataFrame, n: int, keys: list[str]) -> DataFrame:
-    """Series of the last ``n`` months with a weight that grows by month, plus the series totals."""
-    spine = ranked_months(cube, unknown_is_newest=True).where(F.col("rank") <= n)
-    rows = cube.join(spine, "month").withColumn("of", F.least("of", F.lit(n)))
+def ramp_series(cube: DataFrame, n: int, keys: list[str], by: list[str] | None = None) -> DataFrame:
+    """Series of a user's last ``n`` months with a weight that grows by month, plus the series totals."""
+    keys = [*(by or []), *keys]
+    rows = last_months(cube, n, by).withColumn("of", F.least("of", F.lit(n)))
     per_key = Window.partitionBy(*keys)
     opp, att = F.sum("opportunities").over(per_key), F.sum("attempts").over(per_key)
     return (
@@ -137,11 +143,12 @@ def ramp_series(cube: DataFrame, n: int, keys: list[str]) -> DataFrame:
     )
 
 
-def trend(cube: DataFrame, n: int, keys: list[str]) -> DataFrame:
-    """First half of the last ``n`` months against the rest; keys with one month are dropped."""
+def trend(cube: DataFrame, n: int, keys: list[str], by: list[str] | None = None) -> DataFrame:
+    """First half of a user's last ``n`` months against the rest; keys with one month are dropped."""
+    keys = [*(by or []), *keys]
     w = Window.partitionBy(*keys)
     rows = (
-        last_months(cube, n)
+        last_months(cube, n, by)
         .withColumn("percentage", ratio_pct(F.col("attempts"), F.col("opportunities")))
         .withColumn("pos", F.row_number().over(w.orderBy("month")))
         .withColumn("of", F.count(F.lit(1)).over(w))

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tallyhand.functions import scoring
 from tallyhand.functions.columns import count_true, ratio_pct, steady_round, weighted_mean
 from tallyhand.functions.numbers import decimal_comma
+from tallyhand.operators.months import DECAY
 
 # Parts of metric names, in test order, and the subgroup they mean.
 SUBGROUP_MARKS = [
@@ -53,17 +54,17 @@ def hierarchy(cube: DataFrame, ideals: DataFrame, width: float = 2.0) -> DataFra
     )
 
 
-def flat_report(cube: DataFrame, scores: DataFrame) -> DataFrame:
-    """The newest month's counters with score and note; unscored metrics stay."""
-    newest = cube.agg(F.max("month").alias("month"))
-    rows = cube.join(newest, "month", "left_semi")
+def flat_report(cube: DataFrame, scores: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Each user's newest month's counters with score and note; unscored metrics stay."""
+    user = Window.partitionBy(*(by or []))
+    rows = cube.withColumn("_newest", F.max("month").over(user)).where(F.col("month") == F.col("_newest")).drop("_newest")
     pct = F.when(F.col("opportunities") > 0, F.round(F.col("attempts") / F.col("opportunities") * 100.0, 2))
     return (
-        rows.join(scores, ["grp", "stat_id"], "left")
+        rows.join(scores, [*(by or []), "grp", "stat_id"], "left")
         .withColumn("pct", pct)
         .withColumn("subgroup", subgroup_of(F.col("stat_id")))
         .withColumn("note", scoring.score_note(F.col("score")))
-        .select("month", "grp", "subgroup", "stat_id", "opportunities", "attempts", "pct", "score", "note")
+        .select(*(by or []), "month", "grp", "subgroup", "stat_id", "opportunities", "attempts", "pct", "score", "note")
     )
 
 
@@ -79,17 +80,17 @@ def month_columns(weighted: DataFrame, keys: list[str], value: str = "pct", n: i
     )
 
 
-def merge_months(rows: DataFrame, picked: DataFrame) -> DataFrame:
+def merge_months(weighted: DataFrame, by: list[str] | None = None, table: dict[int, list[float]] = DECAY) -> DataFrame:
     """Dashboard rows over the chosen months: summed counters, weighted score, value per month.
 
-    ``rows``: month, grp, stat_id, opportunities, attempts, percentage, score.
+    ``weighted``: month, grp, stat_id, opportunities, attempts, percentage, score, and the rank
+    and weight of ``months.weigh_months`` with the same ``by`` and ``table``.
     """
-    joined = rows.join(picked.select("month", "rank", "weight"), "month")
-    return joined.groupBy("grp", "stat_id").agg(
+    return weighted.groupBy(*(by or []), "grp", "stat_id").agg(
         F.sum("opportunities").alias("opportunities"),
         F.sum("attempts").alias("attempts"),
         weighted_mean(F.col("score"), F.col("weight")).alias("score"),
-        *[F.max(F.when(F.col("rank") == i, F.col("percentage"))).alias(f"pct_{i}") for i in (1, 2, 3)],
+        *[F.max(F.when(F.col("rank") == i, F.col("percentage"))).alias(f"pct_{i}") for i in range(1, max(table) + 1)],
     )
 
 

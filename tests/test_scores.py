@@ -43,14 +43,23 @@ def cube(spark, rows):
 
 def test_month_blend(spark):
     scores = spark.createDataFrame([("2024-03", "g", 90.0), ("2024-02", "g", 80.0), ("2024-01", "g", 60.0)], "month string, grp string, score double")
-    picked = months.months_up_to(scores.select("month"), "2024-03")
-    assert months.blend_months(scores, picked, ["grp"]).first().score == pytest.approx(81.0)
+    assert months.blend_months(months.weigh_months(scores, "2024-03"), ["grp"]).first().score == pytest.approx(81.0)
+
+
+def test_every_user_has_own_months(spark):
+    rows = [("a", "2024-03", 90.0), ("a", "2024-01", 60.0), ("b", "2019-05", 40.0), ("b", None, 1.0), (None, "2018-01", 7.0)]
+    scores = spark.createDataFrame(rows, "user string, month string, score double")
+    got = months.blend_months(months.weigh_months(scores, by=["user"]), ["user"]).collect()
+    assert {r.user: r.score for r in got} == {"a": pytest.approx(75.0), "b": 40.0, None: 7.0}
+    four = {1: [1.0], 2: [0.5, 0.5], 3: [0.4, 0.3, 0.3], 4: [0.4, 0.3, 0.2, 0.1]}
+    rows = [("a", f"2024-0{m}", float(m)) for m in range(1, 6)]
+    frame = spark.createDataFrame(rows, "user string, month string, score double")
+    assert months.blend_months(months.weigh_months(frame, table=four), ["user"]).first().score == pytest.approx(0.4 * 5 + 0.3 * 4 + 0.2 * 3 + 0.1 * 2)
 
 
 def test_blend_rescales_missing_months(spark):
-    scores = spark.createDataFrame([("2024-03", "g", 90.0), ("2024-01", "g", 60.0)], "month string, grp string, score double")
-    spine = spark.createDataFrame([("2024-03",), ("2024-02",), ("2024-01",)], "month string")
-    got = months.blend_months(scores, months.months_up_to(spine, None), ["grp"]).first()
+    scores = spark.createDataFrame([("2024-03", "g", 90.0), ("2024-02", "g", None), ("2024-01", "g", 60.0)], "month string, grp string, score double")
+    got = months.blend_months(months.weigh_months(scores), ["grp"]).first()
     assert got.score == pytest.approx((90 * 0.5 + 60 * 0.2) / 0.7) and got.months_used == 2
 
 
@@ -99,3 +108,11 @@ def test_carry_forward_in_chunks_equals_one_window(spark):
     plain = {(r.f, r.pos): r.month for r in months.carry_month_forward(rows, "f", "pos").collect()}
     chunked = {(r.f, r.pos): r.month for r in months.carry_month_forward(rows, "f", "pos", chunk=16).collect()}
     assert plain == chunked
+
+
+def test_rows_without_a_place_keep_their_month(spark):
+    rows = [("f", 1, "2024-01"), ("f", 2, None), ("f", None, None), ("f", None, "2024-09"), (None, 3, "2024-05"), (None, 4, None), (None, None, None)]
+    frame = spark.createDataFrame(rows, "f string, pos long, month string")
+    got = sorted(months.carry_month_forward(frame, "f", "pos", chunk=1).collect(), key=repr)
+    want = [("f", 1, "2024-01"), ("f", 2, "2024-01"), ("f", None, None), ("f", None, "2024-09"), (None, 3, "2024-05"), (None, 4, None), (None, None, None)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)

@@ -148,3 +148,40 @@ def test_first_record_wins_with_a_hot_key(spark):
     got = records.first_records(rows, "hand_id", ["pos"])
     assert got.count() == 2001
     assert got.where("hand_id = 'hot'").first().id == 2997
+
+
+def test_stacks_are_read_line_by_line(spark):
+    text = "Seat 1: a (1,500 in chips)\nSeat 2: b (€12.5)\nSeat 3: c ( 35.459 )\nchat: I have 500 in chips\nSeat 4: d (100 in chips, $2 bounty)"
+    got = one(spark, ht.stack_list(F.lit(text)))
+    assert [s.name for s in got] == ["a", "b", "c", "d"] and got[0].chips == 1500.0 and got[3].chips == 100.0
+
+
+def test_control_characters_are_only_text(spark):
+    text = "*** HOLE CARDS ***\nodd\u0001name: calls 5\nb\u0002: folds\n*** FLOP ***\nx"
+    got = one(spark, ht.street_actions(F.lit(text), "preflop"))
+    assert [(a.player, a.verb) for a in got] == [("odd\u0001name", "calls"), ("b\u0002", "folds")]
+
+
+def test_a_name_with_a_quote_end(spark):
+    name = "we\\Eird"
+    text = f"*** SUMMARY ***\nSeat 1: {name} (button) collected (5)"
+    assert one(spark, ht.hero_won(F.lit(text), F.lit(name))) is True
+    assert one(spark, ht.hero_won(F.lit(text), F.lit("zz"))) is False
+
+
+def test_every_actor_has_a_letter(spark):
+    from tallyhand.functions import words
+
+    names = [f"p{i}" for i in range(60)]
+    row = spark.createDataFrame([([(n, "CALL") for n in names], names)], "a array<struct<actor string, type string>>, r array<string>")
+    word = row.select(words.street_word(F.col("a"), F.lit("p3"), F.lit("p4"), F.col("r")).alias("w")).first().w
+    assert len(word) == 120 and len(set(word[::2])) == 60
+    assert row.select(F.lit(word).rlike(f"^(?:{words.ANY}c)*$")).first()[0]
+
+
+def test_positions_of_a_crowd(spark):
+    from tallyhand.functions import seats
+
+    players = spark.createDataFrame([([(i, f"p{i}") for i in range(1, 15)],)], "p array<struct<seat int, name string>>")
+    got = players.select(seats.named_positions(F.col("p"), F.lit(1))).first()[0]
+    assert [x.pos for x in got] == seats.FULL_TABLE
