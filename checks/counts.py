@@ -135,7 +135,7 @@ def opp_att_catalogue(spark, sf_dir):
 
 @query(
     "opp_att_grouping_sets",
-    f"""{SOURCED} SELECT month, source, grp AS table_format, stat_id, CAST(sum(opportunities) AS BIGINT) AS opportunities,
+    f"""{SOURCED} SELECT CASE WHEN GROUPING(month) = 0 THEN 'detail' ELSE 'total' END AS level, month, source, grp AS table_format, stat_id, CAST(sum(opportunities) AS BIGINT) AS opportunities,
       CAST(sum(attempts) AS BIGINT) AS attempts, round(sum(attempts) / sum(opportunities) * 100.0, 2) AS percentage
     FROM cube GROUP BY GROUPING SETS ((month, source, grp, stat_id), (grp, stat_id))""",
 )
@@ -145,7 +145,7 @@ def opp_att_grouping_sets(spark, sf_dir):
 
 @query(
     "partition_counts",
-    f"WITH {ORDERS} SELECT month, grp, count(*) AS hands FROM oc GROUP BY GROUPING SETS ((month, grp), (grp))",
+    f"WITH {ORDERS} SELECT CASE WHEN GROUPING(month) = 0 THEN 'detail' ELSE 'total' END AS level, month, grp, count(*) AS hands FROM oc GROUP BY GROUPING SETS ((month, grp), (grp))",
 )
 def partition_counts(spark, sf_dir):
     rows = orders(spark, sf_dir).withColumnRenamed("c_mktsegment", "grp")

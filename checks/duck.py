@@ -11,17 +11,30 @@ AGGR = "('BET', 'RAISE', 'ALLIN')"
 
 # Seat names by table size, from the button clockwise.
 SEAT_NAMES = {
-    1: "BTN", 2: "BTN SB", 3: "BTN SB BB", 4: "BTN SB BB CO", 5: "BTN SB BB MP CO", 6: "BTN SB BB EP MP CO",
-    7: "BTN SB BB EP EP2 MP1 CO", 8: "BTN SB BB EP EP2 MP1 MP2 CO", 9: "BTN SB BB EP EP2 MP1 MP2 MP3 CO",
+    1: ["BTN"],
+    2: ["BTN", "SB"],
+    3: ["BTN", "SB", "BB"],
+    4: ["BTN", "SB", "BB", "CO"],
+    5: ["BTN", "SB", "BB", "MP", "CO"],
+    6: ["BTN", "SB", "BB", "EP", "MP", "CO"],
+    7: ["BTN", "SB", "BB", "EP", "EP2", "MP1", "CO"],
+    8: ["BTN", "SB", "BB", "EP", "EP2", "MP1", "MP2", "CO"],
+    9: ["BTN", "SB", "BB", "EP", "EP2", "MP1", "MP2", "MP3", "CO"],
 }
 OTHER_NAMES = {
-    2: "BTN/SB BB", 3: "BTN SB BB", 4: "BTN SB BB CO", 5: "BTN SB BB MP CO", 6: "BTN SB BB UTG MP CO",
-    7: "BTN SB BB UTG UTG+1 MP CO", 8: "BTN SB BB UTG UTG+1 MP HJ CO", 9: "BTN SB BB UTG UTG+1 UTG+2 MP HJ CO",
+    2: ["BTN/SB", "BB"],
+    3: ["BTN", "SB", "BB"],
+    4: ["BTN", "SB", "BB", "CO"],
+    5: ["BTN", "SB", "BB", "MP", "CO"],
+    6: ["BTN", "SB", "BB", "UTG", "MP", "CO"],
+    7: ["BTN", "SB", "BB", "UTG", "UTG+1", "MP", "CO"],
+    8: ["BTN", "SB", "BB", "UTG", "UTG+1", "MP", "HJ", "CO"],
+    9: ["BTN", "SB", "BB", "UTG", "UTG+1", "UTG+2", "MP", "HJ", "CO"],
 }
 
 
-def values(table: dict[int, str]) -> str:
-    return ", ".join(f"({n}, {i}, '{p}')" for n, names in table.items() for i, p in enumerate(names.split()))
+def values(table: dict[int, list[str]]) -> str:
+    return ", ".join(f"({n}, {i}, '{p}')" for n, names in table.items() for i, p in enumerate(names))
 
 
 POSITIONS = f"""

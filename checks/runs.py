@@ -88,7 +88,7 @@ def global_samples(spark, sf_dir):
 @query(
     "months_manifest",
     f"""{DUCK_RECORDS}, f AS (SELECT month, source, file_id, count(*) AS t, count(*) FILTER (WHERE discard_reason IS NULL) AS v FROM rec GROUP BY 1, 2, 3)
-    SELECT month, source, count(*) AS files, CAST(sum(v) AS BIGINT) AS valid_hands, CAST(sum(t) AS BIGINT) AS total_hands FROM f GROUP BY GROUPING SETS ((month, source), (month))""",
+    SELECT CASE WHEN GROUPING(source) = 0 THEN 'detail' ELSE 'total' END AS level, month, source, count(*) AS files, CAST(sum(v) AS BIGINT) AS valid_hands, CAST(sum(t) AS BIGINT) AS total_hands FROM f GROUP BY GROUPING SETS ((month, source), (month))""",
 )
 def months_manifest(spark, sf_dir):
     return cubes.months_manifest(hand_records(spark, sf_dir))

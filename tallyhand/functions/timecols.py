@@ -33,13 +33,14 @@ def valid_month(value: Column) -> Column:
 
 
 def parse_stamp(value: Column) -> Column:
-    """Lenient text to TIMESTAMP; naive stamps are UTC (the session zone is UTC)."""
+    """Lenient text to TIMESTAMP; naive stamps are UTC (the session zone is UTC), bare numbers seconds since 1970."""
 
     def tries(text: Column) -> Column:
         iso = F.nullif(F.regexp_extract(text, ISO_SECONDS, 1), F.lit(""))
         return F.coalesce(
             F.try_to_timestamp(F.replace(iso, F.lit("T"), F.lit(" ")), F.lit("yyyy-MM-dd HH:mm:ss")),
             *[F.try_to_timestamp(text, F.lit(fmt)) for fmt in LENIENT_FORMATS],
+            F.when(text.rlike(r"^\d{9,11}(?:\.\d+)?$"), parse_epoch(text.try_cast("double"))),
         )
 
     return let(F.translate(F.trim(value), "/–", "--"), tries)

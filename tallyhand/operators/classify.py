@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyhand.functions import handtext as ht
 from tallyhand.functions import timecols, tourney
-from tallyhand.functions.columns import count_true
+from tallyhand.functions.columns import count_true, let
 from tallyhand.operators.records import fingerprint
 
 
@@ -14,8 +14,11 @@ def group_or_reason(text: Column, name: Column) -> Column:
     The checks run in a fixed order: cash game, mystery file, mystery text, fewer than
     four players, then the group.
     """
-    kind = tourney.class_from_text(F.concat(name, F.lit(" "), text))
-    size = ht.table_format(text)
+    given = tourney.class_from_text(F.concat(name, F.lit(" "), text))
+    return let(given, lambda kind: let(ht.table_format(text), lambda size: _verdict(text, name, kind, size)))
+
+
+def _verdict(text: Column, name: Column, kind: Column, size: Column) -> Column:
     reason = (
         F.when(ht.is_cash_game(text), "cash_game")
         .when(F.lower(name).contains("mystery") | (kind == "MYSTERIES"), "mystery")
@@ -53,8 +56,8 @@ def class_totals(rows: DataFrame, cls: str) -> DataFrame:
     return rows.groupBy(cls).agg(F.count(F.lit(1)).alias("files"))
 
 
-def manifest(files: DataFrame, text: str = "text", name: str = "name", network_rules: bool = True) -> DataFrame:
-    """Per file: class, reason, score and size."""
+def manifest(files: DataFrame, text: str = "text", name: str = "name", network_rules: bool = True, encoding: str | None = None) -> DataFrame:
+    """Per file: class, reason, score, size and, where a column holds it, the encoding it was read in."""
     out = files.withColumn("_c", tourney.class_with_reason(F.col(text), F.col(name), network_rules))
     return out.select(
         F.col(name).alias("input"),
@@ -62,6 +65,7 @@ def manifest(files: DataFrame, text: str = "text", name: str = "name", network_r
         F.col("_c.reason").alias("reason"),
         F.col("_c.score").alias("score"),
         F.octet_length(text).alias("bytes"),
+        *([F.col(encoding).alias("encoding")] if encoding else []),
     )
 
 

@@ -23,18 +23,22 @@ def combine_groups(cube: DataFrame, members: list[str], name: str) -> DataFrame:
 
 
 def counts_with_totals(rows: DataFrame, detail: list[str], total: list[str], count: str = "hands") -> DataFrame:
-    """One table with the detail counts and, where the dropped keys are NULL, the totals."""
+    """One table with the detail counts and the totals; ``level`` tells which, a NULL key may be either."""
     return rows.groupingSets([[F.col(c) for c in detail], [F.col(c) for c in total]], *[F.col(c) for c in detail]).agg(
-        F.count(F.lit(1)).alias(count)
+        _level(), F.count(F.lit(1)).alias(count)
     )
 
 
+def _level() -> Column:
+    return F.when(F.grouping_id() == 0, "detail").otherwise("total").alias("level")
+
+
 def history_rows(cube: DataFrame) -> DataFrame:
-    """Rows per (month, source, format, stat) and, with NULL month and source, per (format, stat)."""
+    """Rows per (month, source, format, stat) and per (format, stat); ``level`` tells which."""
     keys = ["month", "source", "table_format", "stat_id"]
     sets = [[F.col(k) for k in keys], [F.col("table_format"), F.col("stat_id")]]
     out = cube.groupingSets(sets, *[F.col(k) for k in keys]).agg(
-        F.sum("opportunities").alias("opportunities"), F.sum("attempts").alias("attempts")
+        _level(), F.sum("opportunities").alias("opportunities"), F.sum("attempts").alias("attempts")
     )
     return out.withColumn("percentage", ratio_pct(F.col("attempts"), F.col("opportunities")))
 
@@ -220,13 +224,13 @@ def breakdown(cube: DataFrame, family_prefix: str) -> DataFrame:
 
 
 def months_manifest(records: DataFrame) -> DataFrame:
-    """Per month and source: files, valid and total hands. One small row per pair."""
+    """Files, valid and total hands per month and source and per month; ``level`` tells which."""
     per_file = records.groupBy("month", "source", "file_id").agg(
         F.count(F.lit(1)).alias("total"), count_true(F.col("discard_reason").isNull()).alias("valid")
     )
     m, s = F.col("month"), F.col("source")
     return per_file.groupingSets([[m, s], [m]], m, s).agg(
-        F.count(F.lit(1)).alias("files"), F.sum("valid").alias("valid_hands"), F.sum("total").alias("total_hands")
+        _level(), F.count(F.lit(1)).alias("files"), F.sum("valid").alias("valid_hands"), F.sum("total").alias("total_hands")
     )
 
 

@@ -183,7 +183,8 @@ def wide_merge(sheets: dict[str, DataFrame], key: str | None = None) -> DataFram
 
     Values become percentages with one decimal comma, apart from counts and ratios;
     ``X VPIP`` (3Bet + Cold Call) follows each cold-call column, one column is shown
-    twice. With ``key`` the sheets hold one row per key and are joined on it.
+    twice. With ``key`` the sheets hold one row per key and are joined on it; without it
+    only the first row of each sheet is the report's.
     """
 
     def shown(col: Column) -> Column:
@@ -200,7 +201,7 @@ def wide_merge(sheets: dict[str, DataFrame], key: str | None = None) -> DataFram
             first = [c for c in names if "Total Hands" in c]
             second = [c for c in names if c not in first and any(u in c for u in UNOPENED)]
             names = first + second + [c for c in names if c not in first and c not in second]
-        prefixed = sheet.select(
+        prefixed = (sheet if key else sheet.limit(1)).select(
             F.lit(1).alias("_k") if key is None else F.col(key).alias("_k"),
             *[F.col(f"`{c}`").alias(f"{source}_{c}") for c in names],
         )

@@ -1,21 +1,115 @@
 """Score targets and weights: fixed values that decide a score.
 
-Small tables, stated plainly; callers may pass their own. Catalogue targets for the
-third pre-flop group are the mean of the two others, so only two are listed.
+Small tables, stated plainly and in full for each group; callers may pass their own.
 """
 
-# Ideal percentage per pre-flop catalogue metric (9-max, 6-max).
+# Ideal percentage per pre-flop catalogue metric and group.
 PREFLOP_IDEALS = {
-    "RFI_EARLY": (19.0, 21.0), "RFI_MIDDLE": (19.0, 21.0), "RFI_CO_STEAL": (35.0, 37.0), "RFI_BTN_STEAL": (45.0, 47.0),
-    "SB_UO_VPIP": (50.0, 52.0), "BB_FOLD_TO_SB_STEAL": (40.0, 38.0), "BB_RAISE_VS_SB_LIMP_UOP": (25.0, 27.0), "SB_STEAL": (40.0, 42.0),
-    "EP_3BET": (8.0, 9.0), "MP_3BET": (9.0, 10.0), "CO_3BET": (10.0, 11.0), "BTN_3BET": (12.0, 13.0),
-    "EP_COLD_CALL": (5.0, 6.0), "MP_COLD_CALL": (6.0, 7.0), "CO_COLD_CALL": (8.0, 9.0), "BTN_COLD_CALL": (10.0, 11.0),
-    "EP_VPIP": (14.0, 16.0), "MP_VPIP": (16.0, 18.0), "CO_VPIP": (25.0, 27.0), "BTN_VPIP": (35.0, 37.0),
-    "BTN_FOLD_TO_CO_STEAL": (60.0, 58.0),
-    "FOLD_TO_3BET_IP": (55.0, 53.0), "FOLD_TO_3BET_OOP": (60.0, 58.0), "FOLD_TO_3BET": (57.0, 55.0),
-    "SQUEEZE": (8.0, 10.0), "SQUEEZE_VS_BTN_RAISER": (10.0, 12.0),
-    "BB_FOLD_VS_CO_STEAL": (50.0, 48.0), "BB_FOLD_VS_BTN_STEAL": (40.0, 38.0), "BB_FOLD_VS_SB_STEAL": (30.0, 28.0), "BB_RESTEAL_VS_BTN_STEAL": (15.0, 17.0),
-    "SB_FOLD_TO_CO_STEAL": (75.0, 73.0), "SB_FOLD_TO_BTN_STEAL": (65.0, 63.0), "SB_RESTEAL_VS_BTN": (12.0, 14.0),
+    "nonko_9max_pref": {
+        "RFI_EARLY": 19.0,
+        "RFI_MIDDLE": 19.0,
+        "RFI_CO_STEAL": 35.0,
+        "RFI_BTN_STEAL": 45.0,
+        "SB_UO_VPIP": 50.0,
+        "BB_FOLD_TO_SB_STEAL": 40.0,
+        "BB_RAISE_VS_SB_LIMP_UOP": 25.0,
+        "SB_STEAL": 40.0,
+        "EP_3BET": 8.0,
+        "MP_3BET": 9.0,
+        "CO_3BET": 10.0,
+        "BTN_3BET": 12.0,
+        "EP_COLD_CALL": 5.0,
+        "MP_COLD_CALL": 6.0,
+        "CO_COLD_CALL": 8.0,
+        "BTN_COLD_CALL": 10.0,
+        "EP_VPIP": 14.0,
+        "MP_VPIP": 16.0,
+        "CO_VPIP": 25.0,
+        "BTN_VPIP": 35.0,
+        "BTN_FOLD_TO_CO_STEAL": 60.0,
+        "FOLD_TO_3BET_IP": 55.0,
+        "FOLD_TO_3BET_OOP": 60.0,
+        "FOLD_TO_3BET": 57.0,
+        "SQUEEZE": 8.0,
+        "SQUEEZE_VS_BTN_RAISER": 10.0,
+        "BB_FOLD_VS_CO_STEAL": 50.0,
+        "BB_FOLD_VS_BTN_STEAL": 40.0,
+        "BB_FOLD_VS_SB_STEAL": 30.0,
+        "BB_RESTEAL_VS_BTN_STEAL": 15.0,
+        "SB_FOLD_TO_CO_STEAL": 75.0,
+        "SB_FOLD_TO_BTN_STEAL": 65.0,
+        "SB_RESTEAL_VS_BTN": 12.0,
+    },
+    "nonko_6max_pref": {
+        "RFI_EARLY": 21.0,
+        "RFI_MIDDLE": 21.0,
+        "RFI_CO_STEAL": 37.0,
+        "RFI_BTN_STEAL": 47.0,
+        "SB_UO_VPIP": 52.0,
+        "BB_FOLD_TO_SB_STEAL": 38.0,
+        "BB_RAISE_VS_SB_LIMP_UOP": 27.0,
+        "SB_STEAL": 42.0,
+        "EP_3BET": 9.0,
+        "MP_3BET": 10.0,
+        "CO_3BET": 11.0,
+        "BTN_3BET": 13.0,
+        "EP_COLD_CALL": 6.0,
+        "MP_COLD_CALL": 7.0,
+        "CO_COLD_CALL": 9.0,
+        "BTN_COLD_CALL": 11.0,
+        "EP_VPIP": 16.0,
+        "MP_VPIP": 18.0,
+        "CO_VPIP": 27.0,
+        "BTN_VPIP": 37.0,
+        "BTN_FOLD_TO_CO_STEAL": 58.0,
+        "FOLD_TO_3BET_IP": 53.0,
+        "FOLD_TO_3BET_OOP": 58.0,
+        "FOLD_TO_3BET": 55.0,
+        "SQUEEZE": 10.0,
+        "SQUEEZE_VS_BTN_RAISER": 12.0,
+        "BB_FOLD_VS_CO_STEAL": 48.0,
+        "BB_FOLD_VS_BTN_STEAL": 38.0,
+        "BB_FOLD_VS_SB_STEAL": 28.0,
+        "BB_RESTEAL_VS_BTN_STEAL": 17.0,
+        "SB_FOLD_TO_CO_STEAL": 73.0,
+        "SB_FOLD_TO_BTN_STEAL": 63.0,
+        "SB_RESTEAL_VS_BTN": 14.0,
+    },
+    "pko_pref": {
+        "RFI_EARLY": 20.0,
+        "RFI_MIDDLE": 20.0,
+        "RFI_CO_STEAL": 36.0,
+        "RFI_BTN_STEAL": 46.0,
+        "SB_UO_VPIP": 51.0,
+        "BB_FOLD_TO_SB_STEAL": 39.0,
+        "BB_RAISE_VS_SB_LIMP_UOP": 26.0,
+        "SB_STEAL": 41.0,
+        "EP_3BET": 8.5,
+        "MP_3BET": 9.5,
+        "CO_3BET": 10.5,
+        "BTN_3BET": 12.5,
+        "EP_COLD_CALL": 5.5,
+        "MP_COLD_CALL": 6.5,
+        "CO_COLD_CALL": 8.5,
+        "BTN_COLD_CALL": 10.5,
+        "EP_VPIP": 15.0,
+        "MP_VPIP": 17.0,
+        "CO_VPIP": 26.0,
+        "BTN_VPIP": 36.0,
+        "BTN_FOLD_TO_CO_STEAL": 59.0,
+        "FOLD_TO_3BET_IP": 54.0,
+        "FOLD_TO_3BET_OOP": 59.0,
+        "FOLD_TO_3BET": 56.0,
+        "SQUEEZE": 9.0,
+        "SQUEEZE_VS_BTN_RAISER": 11.0,
+        "BB_FOLD_VS_CO_STEAL": 49.0,
+        "BB_FOLD_VS_BTN_STEAL": 39.0,
+        "BB_FOLD_VS_SB_STEAL": 29.0,
+        "BB_RESTEAL_VS_BTN_STEAL": 16.0,
+        "SB_FOLD_TO_CO_STEAL": 74.0,
+        "SB_FOLD_TO_BTN_STEAL": 64.0,
+        "SB_RESTEAL_VS_BTN": 13.0,
+    },
 }
 
 # Ideal percentage per post-flop catalogue metric (all hands).
@@ -33,10 +127,8 @@ POSTFLOP_IDEALS = {
 
 def catalogue_ideals() -> list[tuple[str, str, float]]:
     """(stat_id, grp, ideal) rows."""
-    rows = []
-    for stat, (nine, six) in PREFLOP_IDEALS.items():
-        rows += [(stat, "nonko_9max_pref", nine), (stat, "nonko_6max_pref", six), (stat, "pko_pref", (nine + six) / 2)]
-    return rows + [(stat, "postflop_all", ideal) for stat, ideal in POSTFLOP_IDEALS.items()]
+    preflop = [(stat, grp, ideal) for grp, ideals in PREFLOP_IDEALS.items() for stat, ideal in ideals.items()]
+    return preflop + [(stat, "postflop_all", ideal) for stat, ideal in POSTFLOP_IDEALS.items()]
 
 
 # Step scoring of the catalogue path.
@@ -72,56 +164,87 @@ STAT_WEIGHTS = {
     "POSTFLOP_AGGRESSION": {"POST_AGG_PCT_FLOP": 0.30, "POST_AGG_PCT_TURN": 0.30, "POST_AGG_PCT_RIVER": 0.30, "POST_RIVER_AGG_PCT": 0.10},
 }
 
-# Targets of the text-counter path. Per metric: ideal at 9-max, at
-# 6-max and for bounty events (None = not scored there), width of a tier below and
-# above as a share of the ideal (999 = no upper limit), weight in the group.
+# Targets of the text-counter path per group and metric: ideal, width of a tier
+# below and above as a share of the ideal (999 = no upper limit), weight in the group.
+COUNTER_GROUPS = ["nonko_9max", "nonko_6max", "pko"]
 COUNTER_TARGETS = {
-    "Early RFI": (19.0, 23.0, 22.0, 2.0, 4.0, 0.1),
-    "Middle RFI": (23.0, 28.0, 27.0, 2.0, 3.0, 0.2),
-    "CO Steal": (36.0, 34.0, 38.0, 2.0, 6.0, 0.3),
-    "BTN Steal": (48.0, 47.0, 53.0, 1.0, 8.0, 0.4),
-    "SB UO VPIP": (83.0, 82.0, 83.0, 1.0, 999.0, 0.25),
-    "BB fold vs SB steal": (30.0, 30.0, 24.0, 12.0, 3.0, 0.25),
-    "BB raise vs SB limp UOP": (57.0, 55.0, 57.0, 3.0, 18.0, 0.25),
-    "SB Steal": (28.0, 28.0, 28.0, 2.0, 100.0, 0.25),
-    "EP VPIP": (8.0, None, 13.0, 4.0, 4.0, 0.25),
-    "MP VPIP": (11.0, 13.0, 15.5, 3.0, 3.0, 0.25),
-    "CO VPIP": (15.0, 18.0, 22.0, 3.0, 3.0, 0.25),
-    "BTN VPIP": (21.0, 23.0, 26.5, 3.0, 3.0, 0.20),
-    "BTN fold to CO steal": (74.0, 73.0, 68.0, 6.0, 2.0, 0.05),
-    "Fold to 3bet IP": (55.0, 55.0, 48.0, 7.0, 7.0, 0.50),
-    "Fold to 3bet OOP": (50.0, 50.0, 44.0, 7.0, 7.0, 0.50),
-    "Squeeze": (7.0, 7.0, 9.0, 4.0, 9.0, 0.70),
-    "Squeeze vs BTN Raiser": (12.0, 12.0, 13.0, 4.0, 9.0, 0.30),
-    "BB fold vs CO steal": (23.0, 24.0, 17.5, 8.0, 4.0, 0.30),
-    "BB fold vs BTN steal": (19.0, 20.0, 15.0, 8.0, 4.0, 0.35),
-    "BB resteal vs BTN steal": (16.0, 16.0, 18.0, 3.0, 12.0, 0.20),
-    "SB fold to CO Steal": (80.0, 78.0, None, 5.0, 10.0, 0.33),
-    "SB fold to BTN Steal": (75.0, 73.0, None, 5.0, 10.0, 0.33),
-    "SB resteal vs BTN": (10.0, 11.0, None, 2.0, 3.0, 0.34),
-}
-# Where one group departs from the row above (down, up, weight).
-COUNTER_EXCEPTIONS = {
-    ("nonko_6max", "MP VPIP"): (4.0, 3.0, 0.25),
-    ("nonko_6max", "CO VPIP"): (3.5, 3.0, 0.25),
-    ("nonko_6max", "BTN VPIP"): (3.0, 3.0, 0.25),
-    ("nonko_6max", "BTN fold to CO steal"): (6.0, 2.0, 0.25),
-    ("pko", "EP VPIP"): (4.0, 4.0, 0.20),
-    ("pko", "MP VPIP"): (3.0, 3.0, 0.20),
-    ("pko", "CO VPIP"): (3.0, 3.0, 0.20),
-    ("pko", "BTN fold to CO steal"): (6.0, 2.0, 0.20),
+    "nonko_9max": {
+        "Early RFI": (19.0, 2.0, 4.0, 0.1),
+        "Middle RFI": (23.0, 2.0, 3.0, 0.2),
+        "CO Steal": (36.0, 2.0, 6.0, 0.3),
+        "BTN Steal": (48.0, 1.0, 8.0, 0.4),
+        "SB UO VPIP": (83.0, 1.0, 999.0, 0.25),
+        "BB fold vs SB steal": (30.0, 12.0, 3.0, 0.25),
+        "BB raise vs SB limp UOP": (57.0, 3.0, 18.0, 0.25),
+        "SB Steal": (28.0, 2.0, 100.0, 0.25),
+        "EP VPIP": (8.0, 4.0, 4.0, 0.25),
+        "MP VPIP": (11.0, 3.0, 3.0, 0.25),
+        "CO VPIP": (15.0, 3.0, 3.0, 0.25),
+        "BTN VPIP": (21.0, 3.0, 3.0, 0.2),
+        "BTN fold to CO steal": (74.0, 6.0, 2.0, 0.05),
+        "Fold to 3bet IP": (55.0, 7.0, 7.0, 0.5),
+        "Fold to 3bet OOP": (50.0, 7.0, 7.0, 0.5),
+        "Squeeze": (7.0, 4.0, 9.0, 0.7),
+        "Squeeze vs BTN Raiser": (12.0, 4.0, 9.0, 0.3),
+        "BB fold vs CO steal": (23.0, 8.0, 4.0, 0.3),
+        "BB fold vs BTN steal": (19.0, 8.0, 4.0, 0.35),
+        "BB resteal vs BTN steal": (16.0, 3.0, 12.0, 0.2),
+        "SB fold to CO Steal": (80.0, 5.0, 10.0, 0.33),
+        "SB fold to BTN Steal": (75.0, 5.0, 10.0, 0.33),
+        "SB resteal vs BTN": (10.0, 2.0, 3.0, 0.34),
+    },
+    "nonko_6max": {
+        "Early RFI": (23.0, 2.0, 4.0, 0.1),
+        "Middle RFI": (28.0, 2.0, 3.0, 0.2),
+        "CO Steal": (34.0, 2.0, 6.0, 0.3),
+        "BTN Steal": (47.0, 1.0, 8.0, 0.4),
+        "SB UO VPIP": (82.0, 1.0, 999.0, 0.25),
+        "BB fold vs SB steal": (30.0, 12.0, 3.0, 0.25),
+        "BB raise vs SB limp UOP": (55.0, 3.0, 18.0, 0.25),
+        "SB Steal": (28.0, 2.0, 100.0, 0.25),
+        "MP VPIP": (13.0, 4.0, 3.0, 0.25),
+        "CO VPIP": (18.0, 3.5, 3.0, 0.25),
+        "BTN VPIP": (23.0, 3.0, 3.0, 0.25),
+        "BTN fold to CO steal": (73.0, 6.0, 2.0, 0.25),
+        "Fold to 3bet IP": (55.0, 7.0, 7.0, 0.5),
+        "Fold to 3bet OOP": (50.0, 7.0, 7.0, 0.5),
+        "Squeeze": (7.0, 4.0, 9.0, 0.7),
+        "Squeeze vs BTN Raiser": (12.0, 4.0, 9.0, 0.3),
+        "BB fold vs CO steal": (24.0, 8.0, 4.0, 0.3),
+        "BB fold vs BTN steal": (20.0, 8.0, 4.0, 0.35),
+        "BB resteal vs BTN steal": (16.0, 3.0, 12.0, 0.2),
+        "SB fold to CO Steal": (78.0, 5.0, 10.0, 0.33),
+        "SB fold to BTN Steal": (73.0, 5.0, 10.0, 0.33),
+        "SB resteal vs BTN": (11.0, 2.0, 3.0, 0.34),
+    },
+    "pko": {
+        "Early RFI": (22.0, 2.0, 4.0, 0.1),
+        "Middle RFI": (27.0, 2.0, 3.0, 0.2),
+        "CO Steal": (38.0, 2.0, 6.0, 0.3),
+        "BTN Steal": (53.0, 1.0, 8.0, 0.4),
+        "SB UO VPIP": (83.0, 1.0, 999.0, 0.25),
+        "BB fold vs SB steal": (24.0, 12.0, 3.0, 0.25),
+        "BB raise vs SB limp UOP": (57.0, 3.0, 18.0, 0.25),
+        "SB Steal": (28.0, 2.0, 100.0, 0.25),
+        "EP VPIP": (13.0, 4.0, 4.0, 0.2),
+        "MP VPIP": (15.5, 3.0, 3.0, 0.2),
+        "CO VPIP": (22.0, 3.0, 3.0, 0.2),
+        "BTN VPIP": (26.5, 3.0, 3.0, 0.2),
+        "BTN fold to CO steal": (68.0, 6.0, 2.0, 0.2),
+        "Fold to 3bet IP": (48.0, 7.0, 7.0, 0.5),
+        "Fold to 3bet OOP": (44.0, 7.0, 7.0, 0.5),
+        "Squeeze": (9.0, 4.0, 9.0, 0.7),
+        "Squeeze vs BTN Raiser": (13.0, 4.0, 9.0, 0.3),
+        "BB fold vs CO steal": (17.5, 8.0, 4.0, 0.3),
+        "BB fold vs BTN steal": (15.0, 8.0, 4.0, 0.35),
+        "BB resteal vs BTN steal": (18.0, 3.0, 12.0, 0.2),
+    },
 }
-COUNTER_GROUPS = ["nonko_9max", "nonko_6max", "pko"]
 
 
 def counter_targets() -> list[tuple[str, str, float, float, float, float]]:
     """(grp, stat_id, ideal, down_pct, up_pct, weight) rows of the scored metrics."""
-    rows = []
-    for stat, (*ideals, down, up, weight) in COUNTER_TARGETS.items():
-        for grp, ideal in zip(COUNTER_GROUPS, ideals):
-            if ideal is not None:
-                rows.append((grp, stat, ideal, *COUNTER_EXCEPTIONS.get((grp, stat), (down, up, weight))))
-    return rows
+    return [(grp, stat, *row) for grp, table in COUNTER_TARGETS.items() for stat, row in table.items()]
 
 
 # Post-flop targets (subgroup, ideal, step below, step above, weight);
