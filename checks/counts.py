@@ -537,9 +537,9 @@ rowz AS (SELECT month, grp, stat_id, opportunities, round(attempts / opportuniti
 ranked AS (SELECT *, row_number() OVER (PARTITION BY grp, stat_id ORDER BY month DESC) AS rank FROM rowz WHERE opportunities >= 10 AND stat_id IN (SELECT stat_id FROM ideals)),
 usable AS (SELECT *, count(*) OVER (PARTITION BY grp, stat_id) AS n FROM ranked WHERE rank <= 3),
 aimed AS (SELECT u.*, CASE n WHEN 1 THEN 1.0 WHEN 2 THEN 0.5 ELSE CASE rank WHEN 1 THEN 0.5 WHEN 2 THEN 0.3 ELSE 0.2 END END AS weight,
-  coalesce(own.ideal, CASE WHEN u.grp = 'vehicles' THEN coalesce(a.ideal, m.ideal) WHEN u.grp IN ('AUTOMOBILE', 'MACHINERY') THEN v.ideal END, pct) AS ideal
+  coalesce(own.ideal, CASE WHEN u.grp = 'vehicles' THEN a.ideal ELSE v.ideal END, pct) AS ideal
   FROM usable u LEFT JOIN ideals own ON own.stat_id = u.stat_id AND own.grp = u.grp
-  LEFT JOIN ideals a ON a.stat_id = u.stat_id AND a.grp = 'AUTOMOBILE' LEFT JOIN ideals m ON m.stat_id = u.stat_id AND m.grp = 'MACHINERY'
+  LEFT JOIN ideals a ON a.stat_id = u.stat_id AND a.grp = 'AUTOMOBILE' 
   LEFT JOIN ideals v ON v.stat_id = u.stat_id AND v.grp = 'vehicles'),
 steps AS (SELECT *, CASE WHEN pct > ideal THEN (pct - ideal) / 4.0 ELSE (ideal - pct) / 2.0 END AS m FROM aimed),
 scored AS (SELECT *, CASE WHEN pct = ideal THEN 100.0 ELSE greatest(0.0, least(100.0, 100.0 - (CASE WHEN m - floor(m) < 0.0001 AND floor(m) > 0 THEN floor(m) - 1 ELSE floor(m) END) * 10.0)) END AS score FROM steps),
@@ -654,6 +654,23 @@ def category_scores(spark, sf_dir):
     return scorecard.category_scores(counter_cube(spark, sf_dir), scorecard.category_goals(spark))
 
 
+_LABELS = ", ".join(f"('{c}', '{targets.CATEGORY_LABELS[c]}', {w})" for c, w in targets.CATEGORY_WEIGHTS.items())
+
+
+@query(
+    "category_report",
+    f"""WITH cats AS ({ORACLES["category_scores"]}), c AS (SELECT * FROM cats),
+    h AS (SELECT *, CASE WHEN grp IN ('nonko_9max', 'nonko_6max') THEN 'nonko' ELSE grp END AS family FROM ({COUNTERS} SELECT grp, sum(opportunities) AS hands FROM cc GROUP BY grp)),
+    s AS (SELECT grp, family, hands / sum(hands) OVER (PARTITION BY family) AS share FROM h), l(category, label, weight) AS (VALUES {_LABELS})
+    SELECT family, category, round(round(sum(score * share), 8), 2) AS score, any_value(label) AS label, any_value(CAST(weight AS DOUBLE)) AS weight
+    FROM c JOIN s USING (grp) JOIN l USING (category) GROUP BY family, category""",
+)
+def category_report(spark, sf_dir):
+    counted = counter_cube(spark, sf_dir)
+    hands = counted.groupBy("grp").agg(F.sum("opportunities").alias("hands"))
+    return scorecard.category_report(scorecard.category_scores(counted, scorecard.category_goals(spark)), hands)
+
+
 @query(
     "blend_80_20",
     f"""{COUNTERS}, g AS (SELECT grp, CAST(sum(opportunities) AS BIGINT) AS hands, round(sum(attempts) / sum(opportunities) * 100.0, 1) AS score FROM cc GROUP BY grp),
@@ -715,10 +732,7 @@ def postflop_rollup(spark, sf_dir):
     SELECT month, round(sum(score * hands) / sum(hands), 4) AS score FROM g GROUP BY month""",
 )
 def monthly_scores(spark, sf_dir):
-    g = cube(spark, sf_dir).groupBy("month", "grp").agg(
-        F.round(F.sum("attempts") / F.sum("opportunities") * 100.0, 1).alias("score"), F.sum("opportunities").cast("double").alias("hands")
-    )
-    return g.groupBy("month").agg(F.round(weighted_mean(F.col("score"), F.col("hands")), 4).alias("score"))
+    return scorecard.monthly_scores(cube(spark, sf_dir)).withColumn("score", F.round("score", 4))
 
 
 @query(

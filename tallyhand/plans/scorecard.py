@@ -8,8 +8,7 @@ optimizer broadcasts a side only when its size says so.
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tallyhand.functions import scoring
-from tallyhand.functions.columns import ratio_pct, steady_round, weighted_mean
-from tallyhand.operators.cube import combine_groups
+from tallyhand.functions.columns import lookup, ratio_pct, steady_round, weighted_mean
 from tallyhand.operators.months import DECAY, decayed_mean, usable_months
 from tallyhand.plans import targets
 
@@ -45,31 +44,33 @@ def stat_level(
 
     Single groups enter with percentages rounded to two places, as stored in the
     cube's reports; combined groups are computed from the summed counts. A group
-    without an ideal of its own takes its combined group's, or a combined group its
-    members' in order; a metric with an ideal for nobody relevant scores 100.
+    without an ideal of its own takes the combined group's, a combined group its first
+    member's; a metric with an ideal for nobody relevant scores 100.
     """
     combined = targets.COMBINED if combined is None else combined
-    pct = ratio_pct(F.col("attempts"), F.col("opportunities"))
-    rows = cube.select("month", "grp", "stat_id", "opportunities", "attempts").withColumn("pct", pct)
-    alias = {m: name for name, members in combined.items() for m in members}
-    for name, members in combined.items():
-        summed = combine_groups(cube, members, name)
-        rows = rows.unionByName(
-            summed.withColumn("pct", F.when(F.col("opportunities") > 0, F.col("attempts") / F.col("opportunities") * 100.0).otherwise(F.lit(0.0)))
-        )
-    rows = rows.join(ideals.select("stat_id").distinct(), "stat_id", "left_semi")
+    opp, att = F.col("opportunities"), F.col("attempts")
+    # a row counts for its own group and for those it is a member of, in one pass over the cube
+    labels = F.array(
+        F.struct(F.col("grp").alias("label"), F.lit(False).alias("_summed")),
+        *[F.when(F.col("grp").isin(members), F.struct(F.lit(name).alias("label"), F.lit(True).alias("_summed"))) for name, members in combined.items()],
+    )
+    rows = (
+        cube.select("month", "stat_id", "opportunities", "attempts", F.inline(F.array_compact(labels)))
+        .groupBy("month", F.col("label").alias("grp"), "stat_id", "_summed")
+        .agg(F.sum("opportunities").alias("opportunities"), F.sum("attempts").alias("attempts"))
+        .withColumn("pct", F.when(~F.col("_summed"), ratio_pct(att, opp)).when(opp > 0, att / opp * 100.0).otherwise(F.lit(0.0)))
+        .drop("_summed")
+    )
     ranked = usable_months(rows, ["grp", "stat_id"], min_opportunities, table=decay)
 
     # one row of ideals per metric, so fallbacks are plain coalesces
-    per_stat = ideals.groupBy("stat_id").agg(F.map_from_entries(F.collect_list(F.struct("grp", "ideal"))).alias("by_grp"))
-    chain: Column = F.try_element_at("by_grp", F.col("grp"))
+    entries = ideals.groupBy("stat_id", "grp").agg(F.first("ideal").alias("ideal"))
+    per_stat = entries.groupBy("stat_id").agg(F.map_from_entries(F.collect_list(F.struct("grp", "ideal"))).alias("by_grp"))
+    of = lambda grp: F.try_element_at("by_grp", F.lit(grp))
+    backup: Column = F.coalesce(*[of(name) for name in combined], F.lit(None).cast("double"))
     for name, members in combined.items():
-        backup = F.coalesce(*[F.try_element_at("by_grp", F.lit(m)) for m in members])
-        chain = F.coalesce(
-            chain,
-            F.when(F.col("grp") == name, backup),
-            F.when(F.col("grp").isin([m for m, n in alias.items() if n == name]), F.try_element_at("by_grp", F.lit(name))),
-        )
+        backup = F.when(F.col("grp") == name, of(members[0])).otherwise(backup)
+    chain = F.coalesce(F.try_element_at("by_grp", F.col("grp")), backup)
     scored = (
         ranked.join(per_stat, "stat_id")
         .withColumn("ideal", F.coalesce(chain, F.col("pct")))
@@ -163,6 +164,33 @@ def category_scores(cube: DataFrame, goals: DataFrame) -> DataFrame:
     return scored.groupBy("grp", "category").agg(rounded.alias("score"), F.count(F.lit(1)).alias("stats"))
 
 
+def monthly_scores(cube: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Per month (and further ``keys``): the groups' rates, each to one place, weighted by their opportunities."""
+    keys = ["month", *(keys or [])]
+    groups = cube.groupBy(*keys, "grp").agg(
+        F.round(F.sum("attempts") / F.sum("opportunities") * 100.0, 1).alias("score"), F.sum("opportunities").cast("double").alias("hands")
+    )
+    return groups.groupBy(*keys).agg(weighted_mean(F.col("score"), F.col("hands")).alias("score"))
+
+
+def category_report(categories: DataFrame, groups: DataFrame, pool: list[str] | None = None) -> DataFrame:
+    """Category scores with label and weight, the pooled groups' added in proportion to their hands.
+
+    ``categories``: grp, category, score. ``groups``: grp, hands. A pooled group without a
+    score in a category adds nothing to it.
+    """
+    pool = pool or ["nonko_9max", "nonko_6max"]
+    family = F.when(F.col("grp").isin(pool), F.lit("nonko")).otherwise(F.col("grp")).alias("family")
+    shares = groups.where(F.col("hands") > 0).select("grp", family, "hands")
+    share = F.col("hands") / F.sum("hands").over(Window.partitionBy("family"))
+    return (
+        categories.join(shares.withColumn("share", share).select("grp", "family", "share"), "grp")
+        .groupBy("family", "category")
+        .agg(steady_round(F.sum(F.coalesce("score", F.lit(0.0)) * F.col("share")), 2).alias("score"))
+        .withColumns({"label": lookup(targets.CATEGORY_LABELS, F.col("category")), "weight": lookup(targets.CATEGORY_WEIGHTS, F.col("category"))})
+    )
+
+
 def hand_share_blend(groups: DataFrame, postflop: DataFrame, pool: list[str] | None = None) -> DataFrame:
     """Overall score: 80% spread over the groups by hands, 20% the post-flop score.
 
