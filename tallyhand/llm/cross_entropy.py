@@ -155,7 +155,8 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``score`` with all documents as background and those labelled good and not toxic as target.
 
     A doc_id with several labels is a target if one of them says so. Without any target the
-    target model is the uniform one. An empty table gives no rows.
+    target model is the uniform one. An empty table gives no rows. Labels grow with the
+    documents, so the join sorts both sides by doc_id at every size.
     """
     good = labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select("doc_id").distinct().withColumn("target", F.lit(True))
-    return score(docs, train(docs.select("doc_id", "text").join(good, "doc_id", "left")))
+    return score(docs, train(docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left")))
