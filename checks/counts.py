@@ -317,7 +317,7 @@ NEWEST = "newest AS (SELECT month, rank, CASE rank WHEN 1 THEN 0.5 WHEN 2 THEN 0
 @query(
     "weighted_att_opp",
     f"""{CUBE}, {NEWEST.format(src='cube')} SELECT grp, stat_id, round(sum(attempts * weight) / sum(opportunities * weight) * 100.0, 4) AS pct,
-      CAST(floor(sum(attempts * weight)) AS BIGINT) AS attempts, CAST(floor(sum(opportunities * weight)) AS BIGINT) AS opportunities
+      CAST(floor(round(sum(attempts * weight), 8)) AS BIGINT) AS attempts, CAST(floor(round(sum(opportunities * weight), 8)) AS BIGINT) AS opportunities
     FROM cube JOIN newest USING (month) GROUP BY grp, stat_id""",
 )
 def weighted_att_opp(spark, sf_dir):
@@ -399,7 +399,7 @@ def users(spark, sf_dir):
     "weighted_att_opp_by_source",
     f"""{USERS}, w AS (SELECT *, {_DECAY} AS weight FROM ranked WHERE rank <= 3)
     SELECT source, grp, stat_id, round(sum(attempts * weight) / sum(opportunities * weight) * 100.0, 4) AS pct,
-      CAST(floor(sum(attempts * weight)) AS BIGINT) AS attempts, CAST(floor(sum(opportunities * weight)) AS BIGINT) AS opportunities
+      CAST(floor(round(sum(attempts * weight), 8)) AS BIGINT) AS attempts, CAST(floor(round(sum(opportunities * weight), 8)) AS BIGINT) AS opportunities
     FROM w GROUP BY source, grp, stat_id""",
 )
 def weighted_att_opp_by_source(spark, sf_dir):
@@ -787,7 +787,7 @@ def flat_report(spark, sf_dir):
 @query(
     "overview_grades",
     f"""{CARD}, {NEWEST.format(src='cube')}, r AS (SELECT grp, stat_id, round(sum(attempts * weight) / sum(opportunities * weight) * 100.0, 4) AS pct,
-        CAST(floor(sum(attempts * weight)) AS BIGINT) AS attempts, CAST(floor(sum(opportunities * weight)) AS BIGINT) AS opportunities FROM cube JOIN newest USING (month) GROUP BY grp, stat_id)
+        CAST(floor(round(sum(attempts * weight), 8)) AS BIGINT) AS attempts, CAST(floor(round(sum(opportunities * weight), 8)) AS BIGINT) AS opportunities FROM cube JOIN newest USING (month) GROUP BY grp, stat_id)
     SELECT r.grp, r.stat_id, pct, attempts, opportunities, score_time_decay AS score,
       CASE WHEN score_time_decay IS NULL THEN '-' WHEN score_time_decay >= 90 THEN 'A' WHEN score_time_decay >= 80 THEN 'B' WHEN score_time_decay >= 70 THEN 'C' WHEN score_time_decay >= 60 THEN 'D' ELSE 'E' END AS grade
     FROM r LEFT JOIN card ON card.grp = r.grp AND card.stat_id = r.stat_id""",

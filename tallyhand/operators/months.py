@@ -107,8 +107,8 @@ def weighted_rate(cube: DataFrame, keys: list[str], table: dict = DECAY, by: lis
     att, opp = F.sum(F.col("attempts") * F.col("weight")), F.sum(F.col("opportunities") * F.col("weight"))
     return rows.groupBy(*(by or []), *keys).agg(
         F.when(opp > 0, att / opp * 100.0).alias("pct"),
-        F.floor(att).cast("bigint").alias("attempts"),
-        F.floor(opp).cast("bigint").alias("opportunities"),
+        F.floor(F.round(att, 8)).cast("bigint").alias("attempts"),
+        F.floor(F.round(opp, 8)).cast("bigint").alias("opportunities"),
     )
 
 

@@ -3,14 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry
-from checks import facts, verify
+from checks import facts, registry, verify
 from tallyhand.plans import catalogue, opportunities
 
-# one or two per module; ``python -m checks.verify`` runs them all
-SAMPLE = [
-    "opp_att_catalogue", "scorecard_stat", "category_scores", "trend_halves", "seat_positions", "pot_size", "fold_vs_check_raise",
-    "enriched_catalogue_counts", "hand_texts", "segment_hands", "first_record_dedup", "preflop_counters", "run_summary", "discard_rollup",
-]
+QUERIES, ORACLES = registry.queries(), registry.oracles()
 
 
 @pytest.fixture(scope="module")
@@ -18,14 +14,15 @@ def con(sf_dir):
     return verify.connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", SAMPLE)
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_against_oracle(spark, sf_dir, con, name):
-    problem = verify.compare(entry.queries()[name](spark, sf_dir), con, entry.oracle_sql()[name])
+    problem = verify.compare(QUERIES[name](spark, sf_dir), con, ORACLES[name])
     assert problem is None, problem
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 def test_entry_runs(spark):
