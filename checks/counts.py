@@ -580,7 +580,9 @@ RENAMED = {
     "RFI_EARLY": "Early RFI", "RFI_CO_STEAL": "CO Steal", "SB_STEAL": "SB Steal", "BTN_3BET": "BTN VPIP",
     "POST_CBET_FLOP_IP": "Squeeze", "POST_CBET_TURN_OOP": "SB fold to CO Steal", "EP_CBET_RIVER": "Fold to 3bet IP",
 }
-REGROUPED = {"AUTOMOBILE": "nonko_9max", "BUILDING": "nonko_6max", "FURNITURE": "pko"}
+REGROUPED = {
+    "AUTOMOBILE": "nonko_9max", "BUILDING": "nonko_6max", "FURNITURE": "pko", "HOUSEHOLD": "nonko_9max", "MACHINERY": "pko",
+}
 
 
 def _swap(col, table_):
@@ -591,8 +593,8 @@ def _swap(col, table_):
 
 
 def counter_cube(spark, sf_dir):
-    rows = by_stat_group(spark, sf_dir).where(F.col("grp").isin(list(REGROUPED)))
-    return rows.withColumn("stat_id", _swap("stat_id", RENAMED)).withColumn("grp", _swap("grp", REGROUPED))
+    rows = cube(spark, sf_dir).withColumn("stat_id", _swap("stat_id", RENAMED)).withColumn("grp", _swap("grp", REGROUPED))
+    return cubes.add_up(rows, ["grp", "stat_id"])
 
 
 def _case(col, table_):
@@ -600,7 +602,7 @@ def _case(col, table_):
 
 
 COUNTERS = f"""{CUBE}, cc AS (SELECT {_case('grp', REGROUPED)} AS grp, {_case('stat_id', RENAMED)} AS stat_id, CAST(sum(opportunities) AS BIGINT) AS opportunities,
-  CAST(sum(attempts) AS BIGINT) AS attempts FROM cube WHERE grp IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE') GROUP BY 1, 2)"""
+  CAST(sum(attempts) AS BIGINT) AS attempts FROM cube GROUP BY 1, 2)"""
 
 
 def _tier(p: str) -> str:

@@ -255,17 +255,15 @@ _POSTFLOP = ["POST_CBET_FLOP_IP", "POST_CBET_FLOP_OOP", "POST_DONK_FLOP", "POST_
 
 
 def _hits(spark, sf_dir):
-    metrics = [m for m in catalogue.catalogue(by_seat=True) if m["id"] in [*_POSTFLOP, "RFI_CO_STEAL", "BTN_VPIP", "POST_WTSD"]]
-    return opportunities.stat_hits(labelled(spark, sf_dir).withColumn("hand_id", F.col("h").cast("string")), metrics)
+    return opportunities.stat_hits(labelled(spark, sf_dir).withColumn("hand_id", F.col("h").cast("string")), catalogue.catalogue(by_seat=True))
 
 
 def _hits_sql() -> str:
     parts = []
     for m in catalogue.catalogue(by_seat=True):
-        if m["id"] in [*_POSTFLOP, "RFI_CO_STEAL", "BTN_VPIP", "POST_WTSD"]:
-            opp, att = duck.metric_sql(m)
-            for kind, test in (("opps", opp), ("attempts", att)):
-                parts.append(f"SELECT month, grp, '{m['id']}' AS stat_id, '{kind}' AS kind, h::VARCHAR AS hand_id FROM labelled WHERE {test}")
+        opp, att = duck.metric_sql(m)
+        for kind, test in (("opps", opp), ("attempts", att)):
+            parts.append(f"SELECT month, grp, '{m['id']}' AS stat_id, '{kind}' AS kind, h::VARCHAR AS hand_id FROM labelled WHERE {test}")
     return duck.WITH_FACTS + ", hits AS MATERIALIZED (" + " UNION ALL ".join(parts) + ")"
 
 

@@ -1,8 +1,8 @@
 """All registered queries and oracles."""
 
-from checks import counts, facts, runs, textcounters, texts
+from checks import counts, facts, runs, streams, textcounters, texts
 
-MODULES = [counts, facts, texts, textcounters, runs]
+MODULES = [counts, facts, texts, textcounters, runs, streams]
 
 
 def queries() -> dict:
