@@ -34,63 +34,70 @@ def starts_hand(block: Column) -> Column:
     return block.rlike("(?i)^(?:" + "|".join(HEADERS) + ")")
 
 
+def head(text: Column, chars: int | None) -> Column:
+    """The first ``chars`` characters of a text, or with None all of it."""
+    return text if chars is None else F.substring(text, 1, chars)
+
+
 def _dealt(text: Column) -> Column:
     return text.contains("*** HOLE CARDS ***") | text.contains("Dealt to")
 
 
-def is_summary(text: Column) -> Column:
-    """A tournament summary: a phrase in the first 3000 characters, or a site name without seats and cards."""
-    head = F.lower(F.substring(text, 1, 3000))
-    phrase = any_of(*[head.contains(p) for p in SUMMARY_PHRASES])
-    return phrase | (head.contains("pokerstars") & ~_dealt(text) & ~text.rlike(SEAT))
+def is_summary(text: Column, chars: int | None = 3000) -> Column:
+    """A tournament summary: a phrase in the first ``chars`` characters, or a site name without seats and cards."""
+    top = F.lower(head(text, chars))
+    phrase = any_of(*[top.contains(p) for p in SUMMARY_PHRASES])
+    return phrase | (top.contains("pokerstars") & ~_dealt(text) & ~text.rlike(SEAT))
 
 
-def is_summary_file(text: Column, name: Column) -> Column:
-    """The stricter variant used per file (first 2000 characters, one more phrase, ``.ots`` names)."""
-    head = F.lower(F.substring(text, 1, 2000))
-    phrase = any_of(*[head.contains(p) for p in [*SUMMARY_PHRASES, "tournament placement"]])
-    bare = head.contains("pokerstars") & ~_dealt(text) & ~F.substring(text, 1, 2000).rlike(SEAT)
+def is_summary_file(text: Column, name: Column, chars: int | None = 2000) -> Column:
+    """The stricter variant used per file (first ``chars`` characters, one more phrase, ``.ots`` names)."""
+    top = F.lower(head(text, chars))
+    phrase = any_of(*[top.contains(p) for p in [*SUMMARY_PHRASES, "tournament placement"]])
+    bare = top.contains("pokerstars") & ~_dealt(text) & ~head(text, chars).rlike(SEAT)
     return F.lower(name).endswith(".ots") | phrase | bare
 
 
-def is_cash_game(text: Column) -> Column:
-    head = F.substring(text, 1, 1500)
-    return ~head.rlike(TOURNAMENT) & head.rlike(SEAT) & _dealt(text)
+def is_cash_game(text: Column, chars: int | None = 1500) -> Column:
+    """No tournament named in the first ``chars`` characters, but seats there and cards dealt."""
+    top = head(text, chars)
+    return ~top.rlike(TOURNAMENT) & top.rlike(SEAT) & _dealt(text)
 
 
-def has_essentials(text: Column) -> Column:
-    return text.rlike(SEAT) & (_dealt(text) | F.substring(text, 1, 1500).rlike(TOURNAMENT))
+def has_essentials(text: Column, chars: int | None = 1500) -> Column:
+    """Seats, and cards dealt or a tournament named in the first ``chars`` characters."""
+    return text.rlike(SEAT) & (_dealt(text) | head(text, chars).rlike(TOURNAMENT))
 
 
-def source_site(text: Column, name: Column) -> Column:
-    """Site by ordered rules over the first 5000 (one site: 10000) characters; NULL when unknown."""
-    head, deep = F.substring(text, 1, 5000), F.substring(text, 1, 10000)
+def source_site(text: Column, name: Column, chars: int | None = 5000, deep_chars: int | None = 10000) -> Column:
+    """Site by ordered rules over the first ``chars`` (one site: ``deep_chars``) characters; NULL when unknown."""
+    top, deep = head(text, chars), head(text, deep_chars)
     return (
         F.when(is_summary_file(text, name), F.lit(None).cast("string"))
-        .when(head.contains("GGPoker Hand #") | (head.contains("Poker Hand #") & head.contains("PokerTime.eu")), "ggpoker")
-        .when(head.rlike(r"Poker Hand #(?:TM|HH)"), "ggpoker")
-        .when(head.rlike(r"888\.pt\s+Hand History|\*{5}\s+888\.pt"), "888.pt")
-        .when(head.rlike(r"888poker\s+Hand History|\*{5}\s+888poker"), "888poker")
+        .when(top.contains("GGPoker Hand #") | (top.contains("Poker Hand #") & top.contains("PokerTime.eu")), "ggpoker")
+        .when(top.rlike(r"Poker Hand #(?:TM|HH)"), "ggpoker")
+        .when(top.rlike(r"888\.pt\s+Hand History|\*{5}\s+888\.pt"), "888.pt")
+        .when(top.rlike(r"888poker\s+Hand History|\*{5}\s+888poker"), "888poker")
         .when(deep.rlike(r"PokerStars (?:Hand|Home Game Hand|Game|Zoom Hand) #|PokerStars\s+(?:Hand|Game|Zoom\s+Hand)\s+#\d+:"), "pokerstars")
-        .when(head.contains("Game Hand #") & head.contains("*** HOLE CARDS ***"), "wpn")
-        .when(head.contains("Winamax Poker"), "winamax")
-        .when(head.contains("***** Hand History For Game") & head.contains("Tourney Texas Holdem"), "partypoker")
-        .when(head.contains("GAME #") & head.contains("TEXAS_HOLDEM"), "ipoker")
-        .when(head.rlike(r"Hand\s+#\w+\s+\|\s+Hold'em"), "ggpoker")
+        .when(top.contains("Game Hand #") & top.contains("*** HOLE CARDS ***"), "wpn")
+        .when(top.contains("Winamax Poker"), "winamax")
+        .when(top.contains("***** Hand History For Game") & top.contains("Tourney Texas Holdem"), "partypoker")
+        .when(top.contains("GAME #") & top.contains("TEXAS_HOLDEM"), "ipoker")
+        .when(top.rlike(r"Hand\s+#\w+\s+\|\s+Hold'em"), "ggpoker")
     )
 
 
-def network(text: Column) -> Column:
-    """Network from the first 500 characters."""
-    head = F.lower(F.substring(text, 1, 500))
+def network(text: Column, chars: int | None = 500) -> Column:
+    """Network from the first ``chars`` characters."""
+    top = F.lower(head(text, chars))
     return (
-        F.when(head.contains("pokerstars hand #") | head.contains("pokerstars tournament #"), "pokerstars")
-        .when(head.rlike(r"poker hand #tm\d+") & (head.contains("holdem") | head.contains("omaha")), "ggpoker")
-        .when(head.contains("888.pt"), "888.pt")
-        .when(head.contains("888poker") | head.contains("888 poker"), "888poker")
-        .when(head.contains("partypoker") | head.contains("party poker"), "partypoker")
-        .when(head.contains("winamax poker"), "winamax")
-        .when(head.contains("game hand #") | head.contains("winning poker network"), "wpn")
+        F.when(top.contains("pokerstars hand #") | top.contains("pokerstars tournament #"), "pokerstars")
+        .when(top.rlike(r"poker hand #tm\d+") & (top.contains("holdem") | top.contains("omaha")), "ggpoker")
+        .when(top.contains("888.pt"), "888.pt")
+        .when(top.contains("888poker") | top.contains("888 poker"), "888poker")
+        .when(top.contains("partypoker") | top.contains("party poker"), "partypoker")
+        .when(top.contains("winamax poker"), "winamax")
+        .when(top.contains("game hand #") | top.contains("winning poker network"), "wpn")
         .otherwise("unknown")
     )
 
@@ -99,9 +106,9 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def _is_888(text: Column) -> Column:
-    head = F.substring(text, 1, 200)
-    return head.contains("888poker") | head.contains("#Game No")
+def _is_888(text: Column, chars: int | None = 200) -> Column:
+    top = head(text, chars)
+    return top.contains("888poker") | top.contains("#Game No")
 
 
 def active_players(text: Column) -> Column:
@@ -169,8 +176,9 @@ def hand_id(text: Column) -> Column:
     return first_match(text, HAND_IDS)
 
 
-def tournament_name(text: Column) -> Column:
-    return F.trim(first_match(F.substring(text, 1, 500), TOURNAMENT_NAMES))
+def tournament_name(text: Column, chars: int | None = 500) -> Column:
+    """The tournament named in the first ``chars`` characters."""
+    return F.trim(first_match(head(text, chars), TOURNAMENT_NAMES))
 
 
 # Section markers, in order of preference.
