@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tallyhand.llm.common import written
 from tallyhand.llm.ranges import range_of, sortable, split_ranges
 
-#: Records of one range, the work of one window.
+#: Records of one range, the work of one window, at most about; fewer where all records make less than ``RANGES`` of them.
 RANGE_ROWS = 500_000
+RANGES = 64
 # Header fields that a 304 answer may renew in a stored response (RFC 9110, RFC 9111).
 RENEWED = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
 # Query parameters that name the way to a page, not the page.
@@ -63,7 +64,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
         "_key",
         sortable(F.xxhash64("url"), F.hash("url"), F.unix_micros("date"), F.col("_full").cast("int"), F.col("record_id"), F.col("_row")),
     )
-    bounds, _ = split_ranges(placed, "_key", "_one", RANGE_ROWS)
+    bounds, _ = split_ranges(placed, "_key", "_one", max(1, min(placed.count() / RANGES, RANGE_ROWS)))
     ranged = placed.withColumn("_range", range_of(F.col("_key"), bounds)).withColumn(
         "_own", F.when(F.col("_full"), F.struct("url", "record_id", "date", "headers"))
     )
