@@ -214,7 +214,12 @@ def encoded(docs: DataFrame, file: str = VOCABULARY) -> DataFrame:
         for part in parts:
             yield pd.DataFrame({"doc_id": part["doc_id"], "ids": [made.encode(t) for t in part["text"]]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(encode, "doc_id bigint, ids array<int>")
+    return _named(docs).mapInPandas(encode, "doc_id string, ids array<int>").withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """Ids as text: pandas would turn long ones beside a null into floats."""
+    return docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def digests(docs: DataFrame, file: str = VOCABULARY) -> DataFrame:
@@ -233,6 +238,5 @@ def digests(docs: DataFrame, file: str = VOCABULARY) -> DataFrame:
                 rows.append((doc_id, ids.count(" ") + 1 if ids else 0, _sha256(ids), _sha256(labels)))
             yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(
-        encode, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    )
+    found = _named(docs).mapInPandas(encode, "doc_id string, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))

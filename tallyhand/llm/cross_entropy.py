@@ -141,9 +141,10 @@ def score(docs: DataFrame, counts: np.ndarray) -> DataFrame:
             mean = np.divide(sums, n[:, None], out=np.full(sums.shape, np.nan), where=n[:, None] > 0)
             yield pd.DataFrame({"doc_id": part["doc_id"], "n_tokens": n, "target_loss": mean[:, 0], "background_loss": mean[:, 1]})
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(told, "doc_id bigint, n_tokens bigint, target_loss double, background_loss double")
+    # ids as text: pandas would turn long ones beside a null into floats
+    scored = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").mapInPandas(told, "doc_id string, n_tokens bigint, target_loss double, background_loss double")
     return scored.select(
-        "doc_id",
+        F.col("doc_id").cast("long").alias("doc_id"),
         "n_tokens",
         F.when(F.col("n_tokens") > 0, F.col("target_loss")).alias("target_loss"),
         F.when(F.col("n_tokens") > 0, F.col("background_loss")).alias("background_loss"),

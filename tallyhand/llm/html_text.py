@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Elements that begin and end a text block.
 BLOCKS = frozenset(
@@ -265,4 +266,6 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(h, tree) for h in part["html"].fillna("")]
             yield pd.DataFrame({"page_id": part["page_id"], "url": part["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    return pages.selectExpr("cast(page_id as bigint) page_id", "cast(url as string) url", "html").mapInPandas(read, "page_id bigint, url string, text string, n_chars bigint")
+    # ids as text: pandas would turn long ones beside a null into floats
+    named = pages.selectExpr("cast(cast(page_id as bigint) as string) page_id", "cast(url as string) url", "html")
+    return named.mapInPandas(read, "page_id string, url string, text string, n_chars bigint").withColumn("page_id", F.col("page_id").cast("long"))

@@ -9,7 +9,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 #: Hash slots that n-grams of all orders share.
 SLOTS = 1 << 15
@@ -144,9 +143,10 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(table)
     names = np.array([*langs, UNKNOWN], dtype=object)
 
-    def label(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang string, score double")
+    def told(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            texts = part["text"].fillna("").tolist()
+            texts = part.fillna("").tolist()
             if langs:
                 sums, known = posterior(texts, shared.value)
                 top = np.where(known, sums.argmax(axis=1), len(langs))
@@ -154,10 +154,10 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
                 score = np.where(known, 1 / odds, 0.0)
             else:
                 top, score = np.zeros(len(texts), int), np.zeros(len(texts))
-            yield part.assign(_lang=names[top], _score=score)
+            yield pd.DataFrame({"lang": names[top], "score": score})
 
-    extra = [StructField("_lang", StringType()), StructField("_score", DoubleType())]
-    return docs.mapInPandas(label, StructType([*docs.schema.fields, *extra]))
+    found = docs.withColumn("_told", told(F.col("text")))
+    return found.select(*docs.columns, F.col("_told.lang").alias("_lang"), F.col("_told.score").alias("_score"))
 
 
 def languages(docs: DataFrame) -> DataFrame:

@@ -97,7 +97,7 @@ def _sketched(parts: Iterator[pd.DataFrame], bands: int, rows: int, words: int)
         hashes = iter(band_hashes(full, bands, rows)) if full else iter(())
         return pd.DataFrame(
             {
-                "doc_id": pd.array([r[0] for r in run], "Int64"),
+                "doc_id": [r[0] for r in run],
                 "text_key": [r[1] for r in run],
                 "set_key": [xxhash.xxh3_128_digest(r[2].tobytes() if len(r[2]) else b"no words" + r[1].encode()) for r in run],
                 "n": [len(r[2]) for r in run],
@@ -107,7 +107,7 @@ def _sketched(parts: Iterator[pd.DataFrame], bands: int, rows: int, words: int)
 
     run, size = [], 0
     for part in parts:
-        for doc_id, text_key, text in zip(part["doc_id"].astype("Int64"), part["text_key"], part["text"]):
+        for doc_id, text_key, text in zip(part["doc_id"], part["text_key"], part["text"]):
             run.append((doc_id, text_key, grams(text, words)))
             size += len(run[-1][2])
             if size > _GRAMS or len(run) > 2000:
@@ -179,9 +179,11 @@ def _sets_and_links(docs: DataFrame, similarity: float, recall: float, words: in
     """(rows: doc_id, text_key, set_key), (sets: set_key, doc_id, text_key, copies, n, links, root), one of each distinct set."""
     bands, rows = bands_and_rows(similarity, recall)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.sha2("text", 256))
-    sketched = written(
-        keyed.mapInPandas(lambda parts: _sketched(parts, bands, rows, words), "doc_id bigint, text_key string, set_key binary, n int, bands array<bigint>"), "sketches"
+    # ids as text: pandas would turn long ones beside a null into floats
+    found = keyed.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(
+        lambda parts: _sketched(parts, bands, rows, words), "doc_id string, text_key string, set_key binary, n int, bands array<bigint>"
     )
+    sketched = written(found.withColumn("doc_id", F.col("doc_id").cast("long")), "sketches")
     sets = written(
         sketched.groupBy("set_key")
         .agg(

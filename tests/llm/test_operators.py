@@ -28,7 +28,7 @@ def awkward(spark):
         (1, None, None, None), (2, "", "en", "a"), (None, "no id here at all", "en", "a"), (4, long, "de", "a"), (5, long + " end", None, "a"),
         (6, base, "en", "b"), (7, base, "en", "b"), (7, base, "en", "b"), (8, base + " tail", "fr", None), (9, base.replace("w30", "x30"), "en", "a"),
         (10, "one\ttwo\n\nthree", "en", "c"), (11, "one two three", "en", "c"), (12, "!!! 123 ...", "en", "c"), (13, "  ", None, "c"),
-        (14, "Größe\nΣΑΣ é 中文 🙂 <|endoftext|> it's", "de", "c"), (15, "line\n" * 50, "en", "a"), (None, None, None, None),
+        ((1 << 60) + 1, "an id beyond what a float holds", "en", "d"), (14, "Größe\nΣΑΣ é 中文 🙂 <|endoftext|> it's", "de", "c"), (15, "line\n" * 50, "en", "a"), (None, None, None, None),
     ]
     return frame(spark, rows).cache()
 
