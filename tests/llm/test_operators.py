@@ -6,10 +6,11 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tallyhand.llm import bpe, common, cross_entropy, exact_dedup, fingerprints, html_text, language, near_dup, packing, ranges, sharding, warc
+from tallyhand.llm import bpe, common, cross_entropy, exact_dedup, fingerprints, html_text, language, near_dup, packing, queries, ranges, sharding, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard int, size string, digest string, keep_id int, bin string, _range int"
 
@@ -276,6 +277,46 @@ def test_long_texts_score_the_same_in_pieces(monkeypatch):
     assert (whole[0] == cut[0]).all() and np.allclose(whole[1], cut[1], rtol=1e-4)
 
 
+def registered(spark, monkeypatch, name, **tables):
+    """A registered query's rows over tables given here."""
+    monkeypatch.setattr(queries, "table", lambda _, __, n: tables[n])
+    return rows_of(queries.QUERIES[name](spark, ""))
+
+
+def test_registered_scores_share_no_counts(spark, monkeypatch, documents, sf_dir):
+    # the slots must not matter to the query: with 8 of them, hashed counts say nothing
+    labels = common.table(spark, sf_dir, "labels")
+    monkeypatch.setattr(cross_entropy, "SLOTS", 8)
+    monkeypatch.setattr(cross_entropy, "BLOCK_CHARS", 20_000)
+    got = {r["doc_id"]: r for r in registered(spark, monkeypatch, "op4_lm_scoring", documents=documents, labels=labels)}
+    texts = dict(text_of(documents))
+    good = {r["doc_id"] for r in labels.where("quality = 1 and toxic = 0").collect()} & set(texts)
+    assert len(got) == len(texts)
+    for i, (_, tokens, want) in zip(texts, brute_losses(texts, good)):
+        assert got[i]["n_tokens"] == tokens
+        if tokens:
+            assert (got[i]["target_loss"], got[i]["background_loss"]) == pytest.approx(tuple(np.array(want) / tokens), rel=1e-9)
+
+
+def test_registered_scores_of_awkward_rows(spark, monkeypatch, awkward, empty):
+    labels = spark.createDataFrame([(6, 1, None), (6, 0, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    got = registered(spark, monkeypatch, "op4_lm_scoring", documents=awkward, labels=labels)
+    assert Counter(r["doc_id"] for r in got) == Counter(r["doc_id"] for r in awkward.collect())
+    assert all((r["score"] is None) == (r["n_tokens"] == 0) for r in got)
+    assert registered(spark, monkeypatch, "op4_lm_scoring", documents=empty, labels=labels) == []
+
+
+def test_exact_counts_of_any_alphabet_in_pieces(monkeypatch):
+    texts = {i: "".join(chr(0x4E00 + (i * 7919 + k * k * 31) % 20000) for k in range(900)) + "abc " * 40 for i in range(6)} | {9: ""}
+    monkeypatch.setattr(cross_entropy, "BLOCK_CHARS", 100)
+    monkeypatch.setattr(cross_entropy, "_TABLE", 0)
+    counts = pd.concat(cross_entropy._block_counts(0, list(texts.values()), [i in {1, 9} for i in texts]))
+    model = counts.groupby(["high", "low"], as_index=False)[["target", "background"]].sum()
+    n, sums = cross_entropy.exact_losses(list(texts.values()), model, tuple(max(1, model[c].sum()) / 4 for c in ("target", "background")))
+    for (_, tokens, want), got_n, got in zip(brute_losses(texts, {1, 9}), n, sums):
+        assert tokens == got_n and got == pytest.approx(want, rel=1e-9)
+
+
 # packing
 
 
