@@ -22,6 +22,8 @@ CHROME = frozenset("nav footer aside form button select dialog menu iframe searc
 PARAGRAPHS = frozenset("p blockquote pre".split())
 #: Elements without an end.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that are dropped with all they hold, if they end.
+DROPPED = frozenset("noscript template svg object canvas".split())
 #: Elements that a new one of their kind closes.
 SIBLINGS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Words in a class, id or role that name what an article is not.
@@ -35,7 +37,9 @@ HINTS = frozenset(
 MAIN = frozenset("main article content post entry story".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|svg|math|object|canvas)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|textarea|title)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+(?<!/)>.*?(?:</(?P=raw)\s*>|\Z)"
+    # self-closed: up to an end of its own, if one comes before the next such element
+    r"|<(?P<own>script|style|textarea|title)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+(?<=/)>(?:(?!<(?P=own)[\s/>]).)*?</(?P=own)\s*>"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>"
     r"|<[!?/a-zA-Z][^>]*>",
     re.S | re.I,
@@ -166,6 +170,22 @@ def _names(rest: str) -> set[str]:
     return found
 
 
+def _dropped(tokens: list[re.Match]) -> dict[int, int]:
+    """Where each dropped element that ends begins and ends; an end belongs to the last one of its name that is open."""
+    opened: dict[str, list[int]] = {name: [] for name in DROPPED}
+    found = {}
+    for i, m in enumerate(tokens):
+        name = (m["name"] or "").lower()
+        if name not in DROPPED:
+            continue
+        if not m["end"]:
+            if name != "svg" or not m["rest"].endswith("/"):
+                opened[name].append(i)
+        elif opened[name]:
+            found[opened[name].pop()] = i
+    return found
+
+
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool]]:
     """(text, words, words in links, in the article, said to be something else, heading, paragraph) in page order."""
     found: list[tuple[str, int, int, bool, bool, bool, bool]] = []
@@ -192,8 +212,17 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool]]:
             if in_link:
                 linked.append(piece)
 
-    for m in _TOKEN.finditer(page):
+    tokens = list(_TOKEN.finditer(page))
+    dropped = _dropped(tokens)
+    behind = 0
+    for i, m in enumerate(tokens):
+        if i < behind:
+            continue
         add(page[at : m.start()])
+        if i in dropped:
+            behind = dropped[i] + 1
+            at = tokens[dropped[i]].end()
+            continue
         at = m.end()
         name = m["name"]
         if name is None:
@@ -257,7 +286,8 @@ def extract(pages: DataFrame) -> DataFrame:
     and white space inside a block as one space. A tree trained on ``LABELLED`` looks at each
     block's words and link density, at those of its neighbours, and at what the elements around
     it say. Null html counts as empty and gives an empty text; broken or cut-off markup is read
-    as far as it goes; rows repeat as they come; other columns are ignored.
+    as far as it goes, and only a script, style, title or textarea without an end takes the rest of
+    the page with it; formulas are text; rows repeat as they come; other columns are ignored.
     """
     tree = grow(np.array(LABELLED, float))
 

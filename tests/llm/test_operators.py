@@ -535,6 +535,25 @@ def test_page_text(spark):
     assert texts[2] == [""] and texts[3] == [""] and texts[None][0].count("long text") == 20000
 
 
+@pytest.mark.parametrize("put, kept", [
+    ('<svg width="1"/>', ""), ("<svg/>", ""), ("<SVG />", ""), ("<math/>", ""), ("<svg>", ""), ("<canvas>", ""), ("<object data=a>", ""), ("<template>", ""), ("<noscript>", ""),
+    ("<svg-icon name=x></svg-icon>", ""), ("<math-renderer>kept</math-renderer>", "kept"), ("<title-bar>kept</title-bar>", "kept"), ("<script-x>kept</script-x>", "kept"),
+    ("<math><mi>E</mi><mo>=</mo><mi>mc</mi></math>", "E=mc"), ("<svg><svg><text>gone</text></svg><text>gone</text></svg>", ""), ("<svg><title/><style/><text>gone</text></svg>", ""),
+    ("<svg><text>gone</text></svg>", ""), ("<svg/><svg><text>gone</text></svg>", ""), ("<script src=a />gone</script>", ""), ("<style>gone</style>", ""), ("<!-- <svg> -->", ""),
+    ("<object><p>gone</p></object>", ""), ('<script>"<svg>"</script>', ""),
+])
+def test_elements_end_where_they_end(put, kept):
+    tree = html_text.grow(np.array(html_text.LABELLED, float))
+    first, last = "The article begins with a sentence of some length, as articles do, and it goes on for a while. ", "It ends with another sentence of much the same length, so that both are taken for its text."
+    page = f"<html><body><article><p>{first}{put}</p><p>{last}</p></article></body></html>"
+    assert html_text.main_text(page, tree) == f"{first}{kept}".strip() + "\n\n" + last
+
+
+def test_unclosed_elements_cost_no_square():
+    tree = html_text.grow(np.array(html_text.LABELLED, float))
+    assert html_text.main_text("<article><p>" + "<svg><object>" * 50_000 + "the end of a long page" + "<title/>" * 50_000, tree) == "the end of a long page"
+
+
 def test_pages_give_their_article(spark, sf_dir):
     import html
 
