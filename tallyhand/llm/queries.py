@@ -10,7 +10,7 @@ from tallyhand.llm.common import table
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"), fingerprints.content_digests)
 
 
 def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,6 +52,12 @@ def text_of(docs):
     return [(r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()]
 
 
+def registered(spark, monkeypatch, name, **tables):
+    """A registered query's rows over tables given here."""
+    monkeypatch.setattr(queries, "table", lambda _, __, n: tables[n])
+    return rows_of(queries.QUERIES[name](spark, ""))
+
+
 # fingerprints
 
 
@@ -110,6 +116,57 @@ def test_peeling_retries_when_a_sketch_is_too_small(spark):
         assert {x["k"] for x in row["d"] if x["n"] == -1} == right - left
 
 
+def folded_shingles(text, n=5):
+    """Runs of 5 words, or of 5 characters where there are no blanks; no paragraph is cut."""
+    words = re.findall(r"\w+", text.lower())
+    words = words if len(words) > 3 else list("".join(words))
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
+
+
+def test_registered_likeness_follows_the_text(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 9))) for _ in range(900)]
+    line = " ".join(rng.choice(words, 3000))
+    chinese = "".join(chr(c) for c in rng.integers(0x4E00, 0x5E00, 4000))
+    token = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), 4000))
+    pairs = [
+        (line, "early " + line), (line, line.split(" ", 3)[3]), (line, line.upper().replace(" ", ", ")), (line, " ".join(rng.choice(words, 3000))),
+        (chinese, "新" + chinese), (chinese, chinese[:2000] + chinese[2003:]), (token, "x" + token), (token, token[:9] + token[11:]),
+    ]
+    # the next document is the one before by doc_id
+    rows = [(2 * k + j, text, None, None) for k, pair in enumerate(pairs) for j, text in enumerate(pair)]
+    got = {r["doc_id"]: r for r in registered(spark, monkeypatch, "op1_fingerprints", documents=frame(spark, rows))}
+    texts = {i: t for i, t, _, _ in rows}
+    for k, (a, b) in enumerate(pairs):
+        assert got[2 * k + 1]["near_next"] == pytest.approx(likeness(folded_shingles(a), folded_shingles(b)), abs=0.06), k
+    for i, text in texts.items():
+        if i in (0, 8, 12):
+            continue  # gets a third of another script, whose words weigh differently in the comparison
+        cut = len(text) // 3
+        edited = text[: len(text) - cut] + texts[(i - 1) % len(texts)][:cut]
+        assert got[i]["near_edited"] == pytest.approx(likeness(folded_shingles(text), folded_shingles(edited)), abs=0.12), i
+    assert got[5]["fingerprint"] == got[4]["fingerprint"]
+
+
+def test_registered_likeness_on_the_documents(spark, monkeypatch, documents):
+    got = {r["doc_id"]: r for r in registered(spark, monkeypatch, "op1_fingerprints", documents=documents)}
+    order = sorted(text_of(documents), key=lambda r: -r[0])
+    off = []
+    for at, (i, text) in enumerate(order):
+        following = order[(at + 1) % len(order)][1]
+        cut = len(text) // 3
+        want = likeness(folded_shingles(text), folded_shingles(text[: len(text) - cut] + following[:cut]))
+        if len(text.split()) >= 200:
+            off.append(abs(got[i]["near_edited"] - want))
+            assert got[i]["near_next"] == pytest.approx(likeness(folded_shingles(text), folded_shingles(following)), abs=0.25), i
+    assert off and np.mean(off) < 0.1
+
+
+def test_text_without_words_has_a_digest(spark, monkeypatch):
+    got = {r["doc_id"]: r for r in registered(spark, monkeypatch, "op1_fingerprints", documents=frame(spark, [(1, "...", None, None), (2, "---", None, None), (3, "", None, None), (4, " ", None, None)]))}
+    assert got[2]["near_next"] == 0 and got[4]["near_next"] == 1 and len({got[i]["fingerprint"] for i in (1, 2, 3)}) == 3
+
+
 # near duplicates
 
 
@@ -277,12 +334,6 @@ def test_long_texts_score_the_same_in_pieces(monkeypatch):
     assert (whole[0] == cut[0]).all() and np.allclose(whole[1], cut[1], rtol=1e-4)
 
 
-def registered(spark, monkeypatch, name, **tables):
-    """A registered query's rows over tables given here."""
-    monkeypatch.setattr(queries, "table", lambda _, __, n: tables[n])
-    return rows_of(queries.QUERIES[name](spark, ""))
-
-
 def test_registered_scores_share_no_counts(spark, monkeypatch, documents, sf_dir):
     # the slots must not matter to the query: with 8 of them, hashed counts say nothing
     labels = common.table(spark, sf_dir, "labels")
