@@ -4,37 +4,22 @@ from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The tokenizer's own file, as installed; any file of the same kind may be named instead.
-VOCABULARY = "word_bpe_49k.json"
-#: Words and chunks whose tokens a worker remembers before it forgets them all.
-REMEMBERED = 300_000
-#: Transitions it keeps likewise.
+from tallyhand.llm import words
+from tallyhand.llm.words import VOCABULARY
+
+#: Transitions that a worker keeps before it forgets them all.
 KEPT_TRANSITIONS = 1_000_000
 
-# How the tokenizer splits words, and its white space.
-_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_BLANKS = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-_ODD = regex.compile(r"[\x1c-\x1f]")
 _END = "</w>"
 
 
-def _byte_letters() -> list[str]:
-    """The printable letter that stands for each byte."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in shown]
-    letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
-    return [letters[b] for b in range(256)]
-
-
 class Automaton:
     """A deterministic automaton over tokens: its paths are the tokenizations that the merges make.
 
@@ -128,60 +113,32 @@ class Automaton:
         return path[::-1]
 
 
-class _Remembered(dict):
-    """Results by key in two generations: when the younger is full it becomes the older, and what is used moves back."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make, self.older = make, {}
-
-    def __missing__(self, key):
-        if len(self) >= REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-        found = self.older.get(key) or self.make(key)
-        if len(key) < 64:
-            self[key] = found
-        return found
-
-
 class Tokenizer:
     """Encodes texts by the automaton, and remembers words and the chunks between blanks."""
 
     def __init__(self, file: str):
-        with open(file, encoding="utf-8") as f:
+        with open(words.file_of(file), encoding="utf-8") as f:
             held = json.load(f)
         self.automaton = Automaton(held["model"]["vocab"], [tuple(m) for m in held["model"]["merges"]])
-        self.special = {t["content"]: t["id"] for t in held["added_tokens"]}
-        self.automaton.labels |= {i: t for t, i in self.special.items()}
-        self._special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self._letters = _byte_letters()
-        self._words = _Remembered(self._word)
-        self._chunks = _Remembered(self._chunk)
+        self._splitter = words.Splitter(file)
+        self.automaton.labels |= {i: t for t, i in self._splitter.special.items()}
+        self._words = words.Remembered(self._word)
+        self._chunks = words.Chunks(self._chunk, self._words)
 
     def _shown(self, ids: list[int]) -> tuple[str, str]:
         return " ".join(map(str, ids)), self.decode(ids)
 
     def _word(self, word: str) -> tuple[str, str]:
-        symbols = word if word.isascii() and word.isalnum() else "".join([self._letters[b] for b in word.encode("utf-8", "replace")])
-        return self._shown(self.automaton.tokens(symbols))
-
-    def _plain(self, chunk: str) -> list[tuple[str, str]]:
-        lower = chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("\u03a3", "\u03c3").lower()
-        return list(map(self._words.__getitem__, _WORDS.findall(lower)))
+        return self._shown(self.automaton.tokens(word))
 
     def _chunk(self, chunk: str) -> tuple[str, str]:
         """The ids and the labels of a text without blanks, each joined by spaces."""
-        if self._special and "<|" in chunk:
-            found = [x for p in self._special.split(chunk) for x in ([self._shown([self.special[p]])] if p in self.special else self._plain(p))]
-        else:
-            found = self._plain(chunk)
+        found = [self._shown([part]) if isinstance(part, int) else self._words[part] for part in self._splitter.split(chunk)]
         return found[0] if len(found) == 1 else (" ".join([f[0] for f in found]), " ".join([f[1] for f in found]))
 
     def shown(self, text: str) -> tuple[str, str]:
         """The ids of a whole text and the labels of its arcs, each joined by spaces."""
-        chunks = [c for c in _BLANKS.split(text) if c] if _ODD.search(text) else text.split()
-        found = list(map(self._chunks.__getitem__, chunks))
+        found = list(map(self._chunks.__getitem__, words.chunks(text)))
         return " ".join([f[0] for f in found]), " ".join([f[1] for f in found])
 
     def encode(self, text: str) -> list[int]:
@@ -194,12 +151,8 @@ class Tokenizer:
 
 @lru_cache(maxsize=2)
 def tokenizer(file: str) -> Tokenizer:
-    """One tokenizer for each worker; a file name alone is looked up among the installed vocabularies."""
-    if "/" in file:
-        return Tokenizer(file)
-    import public_tokenizers
-
-    return Tokenizer(public_tokenizers.path(file))
+    """One tokenizer for each worker."""
+    return Tokenizer(file)
 
 
 def _sha256(text: str) -> str:

@@ -471,6 +471,16 @@ def test_bpe_on_any_text(library):
         assert made.encode(text) == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_bpe_on_every_code_point(library):
+    """Inside a word, where letters, numbers, marks, blanks and others part ways, and after a letter that composes."""
+    made = bpe.tokenizer(bpe.VOCABULARY)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{c}b" for c in points[i : i + 512]) for i in range(0, len(points), 512)]
+    texts += [" ".join(f"E{c}. {c}{c}" for c in points[i : i + 512]) for i in range(0, 0x20000, 512)]
+    odd = [t for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False)) if made.encode(t) != e.ids]
+    assert not odd
+
+
 def test_bpe_ids(awkward):
     made = bpe.tokenizer(bpe.VOCABULARY)
     for r in rows_of(bpe.encoded(awkward.where("doc_id in (1, 10, 14)"))):
