@@ -35,15 +35,16 @@ HINTS = frozenset(
 )
 #: Words that name the article's own element.
 MAIN = frozenset("main article content post entry story".split())
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|textarea|title)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+(?<!/)>.*?(?:</(?P=raw)\s*>|\Z)"
-    # self-closed: up to an end of its own, if one comes before the next such element
-    r"|<(?P<own>script|style|textarea|title)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+(?<=/)>(?:(?!<(?P=own)[\s/>]).)*?</(?P=own)\s*>"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>"
-    r"|<[!?/a-zA-Z][^>]*>",
-    re.S | re.I,
-)
+#: Words that name reader comments, and elements that hold controls: neither wraps an article by holding most of the text.
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
+CONTROLS = frozenset("nav footer button select menu iframe optgroup option".split())
+#: Elements whose content is no markup.
+RAW = frozenset("script style textarea title".split())
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+# the rest of a tag: quotes count after an equals sign, if they are closed
+_REST = re.compile(r"(?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+|[\"'])*+>")
+_BEGINS = {name: re.compile(rf"<{name}(?=[\s/>])", re.I) for name in RAW}
+_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
@@ -170,38 +171,159 @@ def _names(rest: str) -> set[str]:
     return found
 
 
-def _dropped(tokens: list[re.Match]) -> dict[int, int]:
+class _Ahead:
+    """The next match of each pattern from a place on; places only grow, so each pattern reads the page once."""
+
+    def __init__(self, page: str):
+        self.page, self.known = page, {}
+
+    def next(self, pattern: re.Pattern, at: int) -> tuple[int, int] | None:
+        if pattern not in self.known or self.known[pattern] and self.known[pattern][0] < at:
+            m = pattern.search(self.page, at)
+            self.known[pattern] = m and m.span()
+        return self.known[pattern]
+
+
+def tokens(page: str) -> list[tuple[int, int, bool, str | None, str]]:
+    """(start, end, whether it closes, name, rest) of each tag, and without a name what is no text, in time in proportion to the page.
+
+    A comment or raw element that has no end takes the rest of the page; a tag without one is
+    text. Once quotes of one tag swallow all that follows, tags end at their first bracket.
+    """
+    found: list[tuple[int, int, bool, str | None, str]] = []
+    last, size, ahead, quoted = page.rfind(">"), len(page), _Ahead(page), True
+    at = page.find("<")
+    while 0 <= at < last:
+        m = _NAME.match(page, at + 1)
+        name, rest, closes = None, "", False
+        if m:
+            whole = _REST.match(page, m.end()) if quoted else None
+            quoted = whole is not None
+            stop = whole.end() if whole else page.find(">", m.end()) + 1
+            name, rest, closes = m[2].lower(), page[m.end() : stop - 1], bool(m[1])
+            if name in RAW and not closes:
+                end = ahead.next(_ENDS[name], stop)
+                if not rest.endswith("/"):
+                    name, stop = None, end[1] if end else size
+                elif end:  # self-closed: up to an end of its own, if one comes before the next such element
+                    again = ahead.next(_BEGINS[name], stop)
+                    if not again or end[0] < again[0]:
+                        name, stop = None, end[1]
+        elif page.startswith("<!--", at):
+            stop = page.find("-->", at + 4) + 3
+            stop = stop if stop > 2 else size
+        elif page[at + 1] in "!?/":
+            stop = page.find(">", at) + 1
+        else:
+            at = page.find("<", at + 1)
+            continue
+        found.append((at, stop, closes, name, rest))
+        at = page.find("<", stop)
+    if at >= 0 and (at := page.find("<!--", at)) >= 0:
+        found.append((at, size, False, None, ""))
+    return found
+
+
+def _dropped(found: list[tuple[int, int, bool, str | None, str]]) -> dict[int, int]:
     """Where each dropped element that ends begins and ends; an end belongs to the last one of its name that is open."""
     opened: dict[str, list[int]] = {name: [] for name in DROPPED}
-    found = {}
-    for i, m in enumerate(tokens):
-        name = (m["name"] or "").lower()
+    ends = {}
+    for i, (_, _, closes, name, rest) in enumerate(found):
         if name not in DROPPED:
             continue
-        if not m["end"]:
-            if name != "svg" or not m["rest"].endswith("/"):
+        if not closes:
+            if name != "svg" or not rest.endswith("/"):
                 opened[name].append(i)
         elif opened[name]:
-            found[opened[name].pop()] = i
-    return found
+            ends[opened[name].pop()] = i
+    return ends
+
+
+class Element:
+    """A block element: what its name, class, id and role say, and the words (links aside) of its own blocks."""
+
+    __slots__ = ("name", "parent", "candidate", "said", "header", "comments", "heading", "words")
+
+    def __init__(self, name: str, parent: int, rest: str):
+        names = _names(rest) if rest else set()
+        whole = name in ("", "html", "body")
+        self.name, self.parent, self.words = name, parent, 0
+        self.candidate = name in ("article", "main") or bool(names & MAIN) and name in ("div", "section")
+        self.said = not whole and (bool(names & HINTS) or name in CHROME or bool(rest and _HIDDEN.search(rest)))
+        self.header = not whole and not self.said and not self.candidate and (name == "header" or "header" in names)
+        self.comments = self.said and bool(names & COMMENTS)
+        self.heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
+
+
+def _judged(elements: list[Element]) -> list[tuple[bool, bool]]:
+    """(in the article, said to be something else) for each element, parents first.
+
+    What is said of an element goes for all in it, unless it wraps the article: it holds most
+    words of the elements that are named as an article and nothing else, or, where no such
+    element has a quarter of the page's words, most of the words that are neither in comments
+    nor controls, while little is outside of all that is said to be something else. A wrapper
+    named after comments must hold nearly all words there are.
+    """
+    n = len(elements)
+    furniture = [e.said or e.header for e in elements]
+    named, apart = [False] * n, [False] * n  # within a clean candidate; within comments or controls
+    for i, e in enumerate(elements):
+        up = e.parent
+        apart[i] = e.comments or e.name in CONTROLS or i > 0 and apart[up]
+        named[i] = not apart[i] and (e.candidate and not e.said or i > 0 and named[up] and not furniture[i])
+    words, held, article, clean = ([0] * n for _ in range(4))
+    for i in range(n - 1, -1, -1):
+        e = elements[i]
+        words[i] += e.words
+        held[i] += 0 if apart[i] else e.words
+        article[i] += e.words if named[i] else 0
+        clean[i] += e.words
+        if i:
+            words[e.parent] += words[i]
+            held[e.parent] += held[i]
+            article[e.parent] += article[i]
+            clean[e.parent] += 0 if furniture[i] else clean[i]
+    by_name = article[0] > 0 and 4 * article[0] >= held[0]
+    outside = clean[0]
+    judged: list[tuple[bool, bool]] = []
+    vetoed = [False] * n
+    for i, e in enumerate(elements):
+        main, other = judged[e.parent] if i else (False, False)
+        if furniture[i] and not other:
+            if e.comments:
+                wraps = 4 * (words[0] - words[i]) < words[i] and outside == 0
+            elif by_name:
+                wraps = 2 * article[i] > article[0]
+            else:
+                wraps = e.name not in CONTROLS and 2 * held[i] > held[0] and 4 * outside < held[i]
+            if wraps:
+                outside += clean[i]
+            else:  # a header within the article heads the article itself
+                vetoed[i] = e.said or not main
+        other = other or vetoed[i]
+        judged.append((main or e.candidate and not other, other))
+    return judged
 
 
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool]]:
     """(text, words, words in links, in the article, said to be something else, heading, paragraph) in page order."""
-    found: list[tuple[str, int, int, bool, bool, bool, bool]] = []
+    found: list[tuple[str, int, int, int, bool]] = []
     text: list[str] = []
     linked: list[str] = []
-    # open block elements: (name, in the article, said to be something else, heading)
-    stack: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]
+    elements = [Element("", 0, "")]
+    # open elements by number, whether a heading is around each, and how many of each name are open
+    stack: list[tuple[int, bool]] = [(0, False)]
+    opened: dict[str, int] = {}
     in_link = False
     at = 0
 
     def close() -> None:
         body = " ".join("".join(text).split())
         if body:
-            _, main, other, heading = stack[-1]
-            paragraph = stack[-1][0] in PARAGRAPHS
-            found.append((body, len(body.split()), len("".join(linked).split()), main, other, heading, paragraph))
+            own, heading = stack[-1]
+            n, n_linked = len(body.split()), len("".join(linked).split())
+            elements[own].words += max(0, n - n_linked)
+            found.append((body, n, n_linked, own, heading))
         text.clear()
         linked.clear()
 
@@ -212,56 +334,50 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool]]:
             if in_link:
                 linked.append(piece)
 
-    tokens = list(_TOKEN.finditer(page))
-    dropped = _dropped(tokens)
+    def leave() -> str:
+        name = elements[stack.pop()[0]].name
+        opened[name] -= 1
+        return name
+
+    tags = tokens(page)
+    dropped = _dropped(tags)
     behind = 0
-    for i, m in enumerate(tokens):
+    for i, (start, stop, closes, name, rest) in enumerate(tags):
         if i < behind:
             continue
-        add(page[at : m.start()])
+        add(page[at:start])
         if i in dropped:
             behind = dropped[i] + 1
-            at = tokens[dropped[i]].end()
+            at = tags[dropped[i]][1]
             continue
-        at = m.end()
-        name = m["name"]
-        if name is None:
-            continue
-        name = name.lower()
+        at = stop
         if name == "a":
-            in_link = not m["end"]
+            in_link = not closes
             text.append("")
             linked.append(" ")
         elif name == "br":
             text.append(" ")
         elif name in BLOCKS:
             close()
-            if m["end"]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
-                        break
+            if closes:
+                if opened.get(name):
+                    while leave() != name:
+                        pass
                 if name != "li" and name != "p":
                     in_link = False
                 continue
             if name in VOID:
                 continue
-            while stack[-1][0] in SIBLINGS.get(name, ()):
-                stack.pop()
-            _, main, other, heading = stack[-1]
-            rest = m["rest"]
-            names = _names(rest) if rest else set()
-            said = bool(names & HINTS) or bool(rest and _HIDDEN.search(rest))
-            if name in ("html", "body"):
-                said = False
-            elif name in ("article", "main") or names & MAIN and name in ("div", "section"):
-                main = main or not (other or said)
-            elif name == "header" or "header" in names:
-                said = said or not main  # within the article it heads the article itself
-            stack.append((name, main, other or said or name in CHROME, heading or name in ("h1", "h2", "h3", "h4", "h5", "h6")))
+            while elements[stack[-1][0]].name in SIBLINGS.get(name, ()):
+                leave()
+            own, heading = stack[-1]
+            elements.append(Element(name, own, rest))
+            opened[name] = opened.get(name, 0) + 1
+            stack.append((len(elements) - 1, heading or elements[-1].heading))
     add(page[at:])
     close()
-    return found
+    judged = _judged(elements)
+    return [(body, n, n_linked, *judged[own], heading, elements[own].name in PARAGRAPHS) for body, n, n_linked, own, heading in found]
 
 
 def main_text(page: str, tree: tuple | bool) -> str:

@@ -615,6 +615,42 @@ def test_unclosed_elements_cost_no_square():
     assert html_text.main_text("<article><p>" + "<svg><object>" * 50_000 + "the end of a long page" + "<title/>" * 50_000, tree) == "the end of a long page"
 
 
+@pytest.mark.parametrize("page", [
+    "<script " * 200_000, "<svg " * 200_000, "<div class='" * 100_000, "<a " * 200_000, "<!-- " * 200_000, "<title/>" * 100_000, "<script>" * 100_000, "</div " * 100_000,
+    "<a x='>' " * 100_000 + "'", "<a x=\">\" " * 100_000 + "y=\"", "<div class='" * 100_000 + ">", "<a '" * 100_000 + "> x", "<script/>" * 100_000 + "</style>", "<" * 500_000 + ">",
+    "<div>" * 100_000 + "</p>" * 100_000, "<form>" * 60_000 + "some words", "<nav>" * 60_000 + "</section>" * 60_000, "<p class=comment>" * 60_000, "<svg>" * 100_000 + "</svg>" * 100_000,
+    "<a href=" + "=" * 500_000, "<a " + "a=' " * 200_000 + ">", "&amp" * 200_000,
+], ids=range(22))
+def test_broken_pages_take_linear_time(page):
+    import time
+
+    tree = html_text.grow(np.array(html_text.LABELLED, float))
+    began = time.process_time()
+    html_text.main_text(page, tree)
+    assert time.process_time() - began < 5
+
+
+ARTICLE = "<h1>A title here</h1>" + "<p>This is a paragraph of the article, with enough words to look like running text and no links at all.</p>" * 4
+AROUND = "<nav><a href=/>Home</a> <a href=/a>About</a></nav>"
+CARD = "<p>A card that tells of another article in a few words.</p>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<form id=aspnetForm>{AROUND}<div id=content>{ARTICLE}</div></form>", f"<form id=aspnetForm>{AROUND}<div>{ARTICLE}</div></form>", f'<article class="widget">{ARTICLE}</article>',
+    f'<div class="layout sidebar-left-page">{AROUND}<div>{ARTICLE}</div></div>', f'{AROUND}<main class="site-main widget-area">{ARTICLE}</main>', f'<section class="entry-content share">{ARTICLE}</section>',
+    f"<div id=share-tags-article><article>{ARTICLE}</article></div>", f"<div class=comments-open><div>{ARTICLE}</div></div>", f"<div style='display: none'>{ARTICLE}</div>",
+    f'<form>{AROUND}<div class="social widget">{ARTICLE}</div><aside>{CARD}</aside></form>', f'<main>{ARTICLE}</main><section class="comments">{"<article class=comment>" + CARD + "</article>"}</section>',
+    f'<main>{ARTICLE}</main><div id="comments">{("<article class=comment>" + CARD + "</article>") * 20}</div>', f"<div class=header-wrapper><header>{AROUND}</header><div>{ARTICLE}</div></div>",
+    f"<main>{ARTICLE}</main><aside><article class=teaser>{CARD}</article></aside>", f'<div class="page-wrap with-banner promo"><article>{ARTICLE}</article><div class="promo">{CARD}</div></div>',
+    f"<div title=it's><article>{ARTICLE}</article></div><footer>{CARD}</footer>", f"<a title=it's href=x>Skip</a><article>{ARTICLE}</article><a title=it's>More</a>",
+    f"<dialog open><main>{ARTICLE}</main></dialog>", f"<div class='notice'>{CARD * 3}</div><div>{ARTICLE}</div>", f"<div class='cookie'>{CARD}</div><div class='share'><div class='post'>{ARTICLE}</div></div>",
+], ids=range(20))
+def test_no_wrapper_empties_a_page(page):
+    tree = html_text.grow(np.array(html_text.LABELLED, float))
+    want = re.sub(r"\n+", "\n\n", re.sub(r"<[^>]*>", "\n", ARTICLE)).strip()
+    assert html_text.main_text(f"<html><body>{page}</body></html>", tree) == want
+
+
 def test_pages_give_their_article(spark, sf_dir):
     import html
 
