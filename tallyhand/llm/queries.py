@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhand.llm import bpe, cross_entropy, decomposition, exact_dedup, fill_in_middle, fingerprints, html_text, language, near_dup, packing, sharding, warc
+from tallyhand.llm import bpe, cross_entropy, decomposition, exact_dedup, fill_in_middle, fingerprints, html_text, language, near_dup, packing, prefix_trie, sharding, warc
 from tallyhand.llm.common import table
 
 
@@ -62,13 +62,56 @@ def op11_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decomposition.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_near_dup, op3_sharding, op4_lm_scoring, op5_packing, op6_language_id, op7_bpe, op8_warc_revisits, op9_exact_dedup, op10_html_text, op11_power_of_two_packing, op13_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_near_dup, op3_sharding, op4_lm_scoring, op5_packing, op6_language_id, op7_bpe, op8_warc_revisits, op9_exact_dedup, op10_html_text, op11_power_of_two_packing, op12_prefix_trie, op13_fill_in_middle)}
 
 ORACLES = {
+    "op12_prefix_trie": r"""
+        WITH t AS (
+            SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), c AS (
+            SELECT conv_id, conv_id - conv_id % 20 AS base,
+                   xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                       lambda crc, x: list_reduce(list_concat([xor(crc, x)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                           lambda a, bit: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384::BIGINT) ELSE a // 2 END))) % 4 AS h
+            FROM t GROUP BY conv_id
+        ), r AS (
+            SELECT c.conv_id, t.i, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.i <= c.h
+            UNION ALL
+            SELECT c.conv_id, t.i, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.i > c.h
+        ), d AS (
+            SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS depth, sha256(length(role) || ':' || role || text) AS said,
+                   len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words
+            FROM r
+        ), p AS (
+            SELECT conv_id, depth, words, string_agg(said, '') OVER (PARTITION BY conv_id ORDER BY depth) AS prefix FROM d
+            UNION ALL
+            SELECT conv_id, 0, 0, '' FROM c
+        ), q AS (
+            SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM p
+        ), n AS (
+            SELECT prefix, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+                   sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+            FROM q GROUP BY prefix
+        ), k AS (
+            SELECT left(prefix, length(prefix) - 64) AS prefix, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1
+        ), v AS (
+            SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (prefix)
+        ), s AS (
+            SELECT p.prefix, sum((v.n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum((v.n_convs - 1) * v.words)::BIGINT AS saved_tokens
+            FROM v JOIN p ON p.conv_id = v.conv_id AND p.depth <= v.depth GROUP BY p.prefix
+        )
+        SELECT v.conv_id, v.depth, up.conv_id AS parent_conv_id, v.n_convs, v.n_children, s.n_leaves, s.saved_tokens, v.ends_sha256
+        FROM v JOIN s USING (prefix) LEFT JOIN v up ON v.depth > 0 AND up.prefix = left(v.prefix, length(v.prefix) - 64)
+    """,
     "op13_fill_in_middle": r"""
         WITH d AS (
             SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
