@@ -68,6 +68,16 @@ def split_hands(files: DataFrame, file_id: str = "file_id", text: str = "text")
     return files.select(file_id, F.inline(hands_of(F.col(text))))
 
 
+def split_pieces(pieces: DataFrame) -> DataFrame:
+    """(path, block, piece, run, encoding, text, valid): the hands of files that were read by range (``splits.hand_pieces``).
+
+    The rows are those of ``split_hands`` over whole files, whatever the size of a range.
+    (block, piece, run) is the order of a file's hands.
+    """
+    hands = pieces.select("path", "block", "piece", "encoding", F.inline(hands_of(F.col("text"))))
+    return hands.select("path", "block", "piece", F.col("hand_index").alias("run"), "encoding", "text", "valid")
+
+
 def split_counts(files: DataFrame, file_id: str = "file_id", text: str = "text") -> DataFrame:
     """Per file: blocks seen, summary blocks, hands kept and hands dropped as invalid."""
     seen = files.select(
