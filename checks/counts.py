@@ -559,6 +559,21 @@ def scorecard_stat(spark, sf_dir):
     return _card(spark, sf_dir)
 
 
+_RANGES = [("RFI_EARLY", 46.0, 50.0), ("RFI_CO_STEAL", 60.0, 64.0), ("SB_STEAL", 95.5, 99.0)]
+
+
+@query(
+    "scorecard_explained",
+    f"""{CARD}, r(stat_id, low, high) AS (VALUES {', '.join(f"('{s}', {a}::DOUBLE, {b}::DOUBLE)" for s, a, b in _RANGES)}), e AS (SELECT card.*, low, high, round(greatest(low - pct_time_decay, pct_time_decay - high), 2) AS off FROM card LEFT JOIN r USING (stat_id))
+    SELECT grp, stat_id, pct_time_decay, score_time_decay, months_used, CASE WHEN low IS NULL THEN '-' WHEN off <= 0 THEN 'A' WHEN off < 3 THEN 'C' ELSE 'D' END AS grade,
+      CASE WHEN low IS NULL THEN '' WHEN pct_time_decay < low THEN 'Abaixo do ideal (' || printf('%.2f–%.2f', low, high) || '); falta ' || printf('%.2f', off) || ' pp.'
+        WHEN pct_time_decay > high THEN 'Acima do ideal (' || printf('%.2f–%.2f', low, high) || '); excede ' || printf('%.2f', off) || ' pp.' ELSE 'Dentro do ideal (' || printf('%.2f–%.2f', low, high) || ').' END AS note FROM e""",
+)
+def scorecard_explained(spark, sf_dir):
+    """Each metric's grade and note from its ideal range."""
+    return scorecard.explained(_card(spark, sf_dir), spark.createDataFrame(_RANGES, "stat_id string, low double, high double"))
+
+
 @query(
     "scorecard_rollup",
     f"""{CARD} SELECT 'subgroup' AS level, subgroup || ':' || grp AS name, score FROM subs UNION ALL SELECT 'group', grp, score FROM grps
@@ -737,6 +752,27 @@ def monthly_scores(spark, sf_dir):
     return scorecard.monthly_scores(cube(spark, sf_dir)).withColumn("score", F.round("score", 4))
 
 
+_MPOST = POST.replace("ren AS (SELECT ", "ren AS (SELECT month, ").replace("mg AS (SELECT stat_id,", "mg AS (SELECT month, stat_id,").replace("FROM ren GROUP BY stat_id)", "FROM ren GROUP BY month, stat_id)").replace(
+    "pp AS (SELECT mg.stat_id,", "pp AS (SELECT mg.month, mg.stat_id,").replace("sg AS (SELECT subgroup,", "sg AS (SELECT month, subgroup,").replace("FROM psc GROUP BY subgroup)", "FROM psc GROUP BY month, subgroup)")
+
+
+@query(
+    "monthly_overall",
+    f"""{_MPOST}, po AS (SELECT month, round(round(sum(s.score * v.w), 8), 1) AS score FROM sg s JOIN (VALUES ('Flop Cbet', 0.35), ('Vs Cbet', 0.20), ('vs Skipped Cbet', 0.10), ('Turn Play', 0.20), ('River play', 0.15)) v(subgroup, w) USING (subgroup) GROUP BY month),
+    g AS (SELECT month, {_case('grp', REGROUPED)} AS grp, CAST(sum(opportunities) AS BIGINT) AS hands, round(sum(attempts) / sum(opportunities) * 100.0, 1) AS score FROM cube GROUP BY 1, 2),
+    f AS (SELECT month, CASE WHEN grp IN ('nonko_9max', 'nonko_6max') THEN 'nonko' ELSE grp END AS family, round(round(sum(score * hands) / sum(hands), 8), 1) AS score, sum(hands) AS hands FROM g GROUP BY 1, 2)
+    SELECT f.month, any_value(po.score) AS postflop, round(sum(f.score * hands) / sum(hands) * 0.8 + coalesce(any_value(po.score), 0) * 0.2, 6) AS overall FROM f LEFT JOIN po USING (month) GROUP BY f.month""",
+)
+def monthly_overall(spark, sf_dir):
+    """The 80/20 blend of each month, with that month's post-flop score."""
+    rows = sourced_cube(spark, sf_dir)
+    post = rows.withColumn("player_sum", F.when(F.col("stat_id") == "EP_CBET_RIVER", F.col("opportunities") * 2))
+    merged = cubes.merge_sources(post.withColumn("stat_id", _swap("stat_id", POST_NAMES)), ["month", "stat_id"])
+    weights = scorecard.weights_frame(spark, "subgroup", targets.POSTFLOP_SUBGROUP_WEIGHTS)
+    out = scorecard.monthly_overall(rows.withColumn("grp", _swap("grp", REGROUPED)), merged, scorecard.postflop_goals(spark), weights)
+    return out.withColumn("overall", F.round("overall", 6))
+
+
 @query(
     "pct_by_month_pivot",
     f"""{USABLE}, p AS (SELECT *, round(attempts / opportunities * 100.0, 2) AS pct FROM weighted)

@@ -1,8 +1,8 @@
 """All registered queries and oracles."""
 
-from checks import counts, facts, runs, streams, textcounters, texts
+from checks import counts, facts, files, runs, streams, textcounters, texts
 
-MODULES = [counts, facts, texts, textcounters, runs, streams]
+MODULES = [counts, facts, texts, textcounters, runs, streams, files]
 
 
 def queries() -> dict:

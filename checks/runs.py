@@ -99,7 +99,7 @@ def months_manifest(spark, sf_dir):
     f"{DUCK_RECORDS} SELECT coalesce(month, 'unknown') AS month, count(*) AS hands FROM rec GROUP BY 1",
 )
 def hands_per_month(spark, sf_dir):
-    return hand_records(spark, sf_dir).groupBy(F.coalesce("month", F.lit("unknown")).alias("month")).agg(F.count(F.lit(1)).alias("hands"))
+    return cubes.hands_per_month(hand_records(spark, sf_dir), missing="unknown")
 
 
 @query(

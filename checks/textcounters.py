@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from checks import duck, handtext
 from checks.duck import OTHER_NAMES, values
+from tallyhand.functions import handtext as ht
 from tallyhand.operators import cube as cubes
 from tallyhand.plans import counters
 
@@ -257,3 +258,64 @@ def win_rating(spark, sf_dir):
         F.sum(F.col(f"o{i}").cast("int")).alias("o"), F.sum(F.col(f"a{i}").cast("int")).alias("a"), F.sum("player_sum").alias("p")
     )
     return sums.select("site", performance_ratio(F.col("a"), F.col("o"), F.col("p")).alias("rating"))
+
+
+# --- the same hands as five sites print them ----------------------------------------------------
+
+# only seat lines with "in chips" tell what the all-in arithmetic needs
+_CHIPS = "coalesce(a.street <> 'preflop' AND a.h % 6 IN (0, 1) AND a.type"
+
+
+def _of_sites(sql: str) -> str:
+    return sql.replace("coalesce(a.street <> 'preflop' AND a.type", _CHIPS)
+
+
+def _printed(spark, sf_dir, names):
+    flagged, stats = counters.with_flags(counters.read_hands(handtext.site_texts(spark, sf_dir)))
+    cube = counters.count_flags(flagged, [(n, None) for n in stats], ["site"])
+    return cube.where(F.col("stat_id").isin(list(names)))
+
+
+@query("site_preflop_counters", f"SELECT * FROM ({_of_sites(TOKENS)} {_count('pre', PRE_SQL)}) WHERE site <> 'other'")
+def site_preflop_counters(spark, sf_dir):
+    """Pre-flop counters of hands that each site prints in its own form."""
+    return _printed(spark, sf_dir, PRE_SQL)
+
+
+@query("site_postflop_counters", f"SELECT * FROM ({_of_sites(POST)} {_count('post', POST_SQL)}) WHERE site <> 'other'")
+def site_postflop_counters(spark, sf_dir):
+    """Post-flop counters likewise."""
+    return _printed(spark, sf_dir, POST_SQL)
+
+
+@query(
+    "site_players",
+    f"""{duck.BASE}, n AS (SELECT h, count(*) AS n_seats FROM seated GROUP BY h), w AS (SELECT h, count(DISTINCT actor) + 1 AS n_who FROM acts WHERE street = 'preflop' GROUP BY h),
+    p AS (SELECT h, site, CAST(CASE WHEN site = '888' THEN n_who ELSE n_seats END AS INT) AS players FROM hd JOIN n USING (h) JOIN w USING (h) WHERE site <> 'other')
+    SELECT h, site, players, CASE WHEN players < 4 THEN 'discard' WHEN players <= 6 THEN '6-max' ELSE '9-max' END AS format,
+      CASE site WHEN 'gg' THEN 'ggpoker' WHEN '888' THEN '888poker' ELSE site END AS detected FROM p""",
+)
+def site_players(spark, sf_dir):
+    """Players, table format and site told from each site's text."""
+    t = F.col("text")
+    return handtext.site_texts(spark, sf_dir).select(
+        "h", "site", ht.active_players(t).alias("players"), ht.table_format(t).alias("format"), ht.source_site(t, F.lit("x.txt")).alias("detected")
+    )
+
+
+@query(
+    "site_action_rows",
+    f"""{duck.BASE} SELECT h, street, CAST(row_number() OVER (PARTITION BY h, street ORDER BY slot) - 1 AS INT) AS pos, actor AS player,
+      CASE WHEN type = 'FOLD' THEN 'folds' WHEN type = 'CHECK' THEN 'checks' WHEN type = 'CALL' THEN 'calls' WHEN type = 'BET' THEN 'bets' ELSE 'raises' END AS verb,
+      CASE WHEN street = 'preflop' OR type IN ('FOLD', 'CHECK') THEN 0.0 ELSE round(amount, 2) END AS amount, type = 'ALLIN' AS allin
+    FROM acts JOIN hd USING (h) WHERE type NOT IN ('POST_SB', 'POST_BB') AND site <> 'other'""",
+)
+def site_action_rows(spark, sf_dir):
+    """Action lines of all five forms, with who did what and for how much."""
+    streets = ["preflop", "flop", "turn", "river"]
+    rows = handtext.site_texts(spark, sf_dir).select("h", *[ht.street_actions(F.col("text"), s).alias(s) for s in streets])
+    parts = [rows.select("h", F.lit(s).alias("street"), F.posexplode(s).alias("pos", "a")).select("h", "street", "pos", "a.*") for s in streets]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -93,11 +93,11 @@ def hand_excerpt(spark, sf_dir):
 )
 def header_metadata(spark, sf_dir):
     t = F.col("text")
-    site = ht.source_site(t, F.lit("x.txt"))
+    site = ht.source_site(t, F.lit("x.txt"), 5000, 10000, 2000)
     return handtext.texts(spark, sf_dir).select(
         "h", site.alias("site"), ht.tournament_id(t).alias("tournament_id"), ht.hand_id(t).alias("hand_id"),
-        timecols.month_in_header(t, site).alias("printed_month"),
-        F.concat(F.lit("USD "), ht.tournament_name(t)).alias("tail"),
+        timecols.month_in_header(t, site, 1500).alias("printed_month"),
+        F.concat(F.lit("USD "), ht.tournament_name(t, 500)).alias("tail"),
     )
 
 
@@ -273,7 +273,7 @@ def block_split(spark, sf_dir):
 )
 def hand_spans(spark, sf_dir):
     docs = tables.table(spark, sf_dir, "documents")
-    return segments.hand_spans(docs, "doc_id", "text", headers=[r"E\w+ "])
+    return segments.hand_spans(docs, "doc_id", "text", headers=[r"E\w+ "], min_chars=50)
 
 
 @query(
@@ -291,7 +291,8 @@ def text_tests(spark, sf_dir):
     docs = tables.table(spark, sf_dir, "documents").select("doc_id", F.concat(head, F.lit("\n"), F.col("text")).alias("text"))
     t = F.col("text")
     return docs.select(
-        "doc_id", ht.starts_hand(t).alias("starts"), ht.is_summary(t).alias("summary"), ht.is_cash_game(t).alias("cash"), ht.has_essentials(t).alias("essential")
+        "doc_id", ht.starts_hand(t).alias("starts"), ht.is_summary(t, 3000).alias("summary"), ht.is_cash_game(t, 1500).alias("cash"),
+        ht.has_essentials(t, 1500).alias("essential"),
     )
 
 
@@ -318,7 +319,7 @@ def tagged(spark, sf_dir):
       WHEN regexp_matches(lower(text), '\\bbounty\\b|\\bprogressive\\b|\\bknockout\\b|\\bko\\b|\\bpko\\b') THEN 'PKO' ELSE 'NON-KO' END AS class FROM t""",
 )
 def classify_text(spark, sf_dir):
-    return tagged(spark, sf_dir).select("doc_id", tourney.class_from_text(F.col("text")).alias("class"))
+    return tagged(spark, sf_dir).select("doc_id", tourney.class_from_text(F.col("text"), 500, 5, 2000).alias("class"))
 
 
 _M, _B = "(?i)\\b(mystery|mysteries)\\b", "(?i)\\b(bounty|bounties|progressive|pko|ko|knockout)\\b"
@@ -338,7 +339,7 @@ def _reason_sql(extra_mystery: str = "", extra_bounty: str = "") -> str:
       CAST(CASE WHEN reason = 'empty content' THEN 0.0 ELSE 1.0 END AS DOUBLE) AS score FROM r""",
 )
 def classify_reason(spark, sf_dir):
-    return tagged(spark, sf_dir).select("doc_id", F.inline(F.array(tourney.class_with_reason(F.col("text"), F.col("name")))))
+    return tagged(spark, sf_dir).select("doc_id", F.inline(F.array(tourney.class_with_reason(F.col("text"), F.col("name"), chars=1000))))
 
 
 @query(
@@ -350,7 +351,7 @@ def classify_reason(spark, sf_dir):
     SELECT name AS input, reason, bytes::BIGINT AS bytes, 1.0::DOUBLE AS score, CASE WHEN contains(lower(reason), '''myster') THEN 'mystery' WHEN reason = 'no special keywords found' THEN 'non-KO' ELSE 'PKO' END AS output_class FROM r""",
 )
 def file_manifest(spark, sf_dir):
-    return classify.manifest(tagged(spark, sf_dir)).withColumn("bytes", F.col("bytes").cast("bigint"))
+    return classify.manifest(tagged(spark, sf_dir), chars=1000).withColumn("bytes", F.col("bytes").cast("bigint"))
 
 
 @query(
@@ -360,7 +361,7 @@ def file_manifest(spark, sf_dir):
         OR regexp_matches(left(text, 1000), '[€$£][0-9]+(?:[.][0-9]+)?\\s*[+]\\s*[€$£][0-9]+(?:[.][0-9]+)?\\s*[+]') THEN 'PKO' ELSE 'NON_KO' END AS class, count(*) AS files FROM t GROUP BY 1""",
 )
 def class_totals(spark, sf_dir):
-    rows = tagged(spark, sf_dir).select(tourney.class_from_header(F.col("text")).alias("class"))
+    rows = tagged(spark, sf_dir).select(tourney.class_from_header(F.col("text"), 1000).alias("class"))
     return classify.class_totals(rows, "class")
 
 
@@ -376,7 +377,7 @@ def site_detection(spark, sf_dir):
         .when(k == 4, "Game Hand #1 *** HOLE CARDS *** ").when(k == 5, "Winamax Poker - ").when(k == 6, "GAME #1 TEXAS_HOLDEM ").when(k == 7, "You finished in ").otherwise("")
     )
     docs = tables.table(spark, sf_dir, "documents").select("doc_id", F.concat(head, "text").alias("text"))
-    return docs.select("doc_id", ht.source_site(F.col("text"), F.lit("a.txt")).alias("site"), ht.network(F.col("text")).alias("network"))
+    return docs.select("doc_id", ht.source_site(F.col("text"), F.lit("a.txt"), 5000, 10000, 2000).alias("site"), ht.network(F.col("text"), 500).alias("network"))
 
 
 # --- identity and duplicates ---------------------------------------------------------------------
@@ -580,7 +581,7 @@ def header_stamps(spark, sf_dir):
     site = F.when(k < 2, "pokerstars").otherwise("888pt")
     return tables.table(spark, sf_dir, "orders").select(
         "o_orderkey", F.date_format(timecols.header_stamp(line), "yyyy-MM-dd").alias("day"),
-        timecols.month_in_header(line, site).alias("printed"),
+        timecols.month_in_header(line, site, 1500).alias("printed"),
     )
 
 
@@ -594,7 +595,7 @@ def localized_months(spark, sf_dir):
         F.lit("***** 888.pt - "), F.dayofmonth("o_orderdate"), F.lit(" "), F.initcap(F.try_element_at(names, F.month("o_orderdate"))),
         F.lit(" "), F.year("o_orderdate"), F.lit(" 21:15 WET\n\nrest"),
     )
-    return tables.table(spark, sf_dir, "orders").select("o_orderkey", timecols.month_in_header(line, F.lit("888.pt")).alias("month"))
+    return tables.table(spark, sf_dir, "orders").select("o_orderkey", timecols.month_in_header(line, F.lit("888.pt"), 1500).alias("month"))
 
 
 @query(
@@ -611,7 +612,7 @@ def month_resolve(spark, sf_dir):
     meta = F.when(k == 0, "2023-05")
     stamp = F.when(k == 1, "2022-06-30 23:30:00")
     docs = tables.table(spark, sf_dir, "documents")
-    return docs.select("doc_id", timecols.month_for_file(content, path, meta, stamp).alias("month"))
+    return docs.select("doc_id", timecols.month_for_file(content, path, meta, stamp, 5000).alias("month"))
 
 
 @query(

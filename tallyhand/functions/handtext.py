@@ -34,46 +34,62 @@ def starts_hand(block: Column) -> Column:
     return block.rlike("(?i)^(?:" + "|".join(HEADERS) + ")")
 
 
+# Markers that end the top section of a hand's text.
+STREET_MARKS = [
+    "*** HOLE CARDS ***", "** Dealing down cards **", "*** FLOP ***", "** Dealing Flop **", "** Dealing flop **", "*** TURN ***", "*** RIVER ***",
+    "*** SHOW DOWN ***", "*** SHOWDOWN ***", "*** SUMMARY ***", "** Summary **",
+]
+
+
+def top(text: Column) -> Column:
+    """The text before its first street marker; all of it where there is none."""
+    for mark in STREET_MARKS:
+        text = F.substring_index(text, mark, 1)
+    return text
+
+
 def head(text: Column, chars: int | None) -> Column:
-    """The first ``chars`` characters of a text, or with None all of it."""
-    return text if chars is None else F.substring(text, 1, chars)
+    """The top section of a text, or its first ``chars`` characters."""
+    return top(text) if chars is None else F.substring(text, 1, chars)
 
 
 def _dealt(text: Column) -> Column:
     return text.contains("*** HOLE CARDS ***") | text.contains("Dealt to")
 
 
-def is_summary(text: Column, chars: int | None = 3000) -> Column:
-    """A tournament summary: a phrase in the first ``chars`` characters, or a site name without seats and cards."""
-    top = F.lower(head(text, chars))
-    phrase = any_of(*[top.contains(p) for p in SUMMARY_PHRASES])
-    return phrase | (top.contains("pokerstars") & ~_dealt(text) & ~text.rlike(SEAT))
+def is_summary(text: Column, chars: int | None = None) -> Column:
+    """A tournament summary: a phrase before the first street (or in the first ``chars`` characters), or a site name without seats and cards."""
+    said = F.lower(head(text, chars))
+    phrase = any_of(*[said.contains(p) for p in SUMMARY_PHRASES])
+    return phrase | (said.contains("pokerstars") & ~_dealt(text) & ~text.rlike(SEAT))
 
 
-def is_summary_file(text: Column, name: Column, chars: int | None = 2000) -> Column:
-    """The stricter variant used per file (first ``chars`` characters, one more phrase, ``.ots`` names)."""
-    top = F.lower(head(text, chars))
-    phrase = any_of(*[top.contains(p) for p in [*SUMMARY_PHRASES, "tournament placement"]])
-    bare = top.contains("pokerstars") & ~_dealt(text) & ~head(text, chars).rlike(SEAT)
+def is_summary_file(text: Column, name: Column, chars: int | None = None) -> Column:
+    """The stricter variant used per file (one more phrase, ``.ots`` names)."""
+    said = F.lower(head(text, chars))
+    phrase = any_of(*[said.contains(p) for p in [*SUMMARY_PHRASES, "tournament placement"]])
+    bare = said.contains("pokerstars") & ~_dealt(text) & ~head(text, chars).rlike(SEAT)
     return F.lower(name).endswith(".ots") | phrase | bare
 
 
-def is_cash_game(text: Column, chars: int | None = 1500) -> Column:
-    """No tournament named in the first ``chars`` characters, but seats there and cards dealt."""
-    top = head(text, chars)
-    return ~top.rlike(TOURNAMENT) & top.rlike(SEAT) & _dealt(text)
+def is_cash_game(text: Column, chars: int | None = None) -> Column:
+    """No tournament named before the first street (or in the first ``chars`` characters), but seats there and cards dealt."""
+    said = head(text, chars)
+    return ~said.rlike(TOURNAMENT) & said.rlike(SEAT) & _dealt(text)
 
 
-def has_essentials(text: Column, chars: int | None = 1500) -> Column:
-    """Seats, and cards dealt or a tournament named in the first ``chars`` characters."""
+def has_essentials(text: Column, chars: int | None = None) -> Column:
+    """Seats, and cards dealt or a tournament named before the first street (or in the first ``chars`` characters)."""
     return text.rlike(SEAT) & (_dealt(text) | head(text, chars).rlike(TOURNAMENT))
 
 
-def source_site(text: Column, name: Column, chars: int | None = 5000, deep_chars: int | None = 10000) -> Column:
-    """Site by ordered rules over the first ``chars`` (one site: ``deep_chars``) characters; NULL when unknown."""
-    top, deep = head(text, chars), head(text, deep_chars)
+def source_site(
+    text: Column, name: Column, chars: int | None = None, deep_chars: int | None = None, summary_chars: int | None = None
+) -> Column:
+    """Site by ordered rules over a whole file's text, or its first ``chars`` (one site: ``deep_chars``) characters; NULL when unknown."""
+    top, deep = (text if n is None else F.substring(text, 1, n) for n in (chars, deep_chars))
     return (
-        F.when(is_summary_file(text, name), F.lit(None).cast("string"))
+        F.when(is_summary_file(text, name, summary_chars), F.lit(None).cast("string"))
         .when(top.contains("GGPoker Hand #") | (top.contains("Poker Hand #") & top.contains("PokerTime.eu")), "ggpoker")
         .when(top.rlike(r"Poker Hand #(?:TM|HH)"), "ggpoker")
         .when(top.rlike(r"888\.pt\s+Hand History|\*{5}\s+888\.pt"), "888.pt")
@@ -87,8 +103,8 @@ def source_site(text: Column, name: Column, chars: int | None = 5000, deep_chars
     )
 
 
-def network(text: Column, chars: int | None = 500) -> Column:
-    """Network from the first ``chars`` characters."""
+def network(text: Column, chars: int | None = None) -> Column:
+    """Network named before the first street, or in the first ``chars`` characters."""
     top = F.lower(head(text, chars))
     return (
         F.when(top.contains("pokerstars hand #") | top.contains("pokerstars tournament #"), "pokerstars")
@@ -106,15 +122,18 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def _is_888(text: Column, chars: int | None = 200) -> Column:
-    top = head(text, chars)
-    return top.contains("888poker") | top.contains("#Game No")
+def _is_888(text: Column, chars: int | None = None) -> Column:
+    said = head(text, chars)
+    return said.contains("888poker") | said.contains("#Game No")
 
 
-def active_players(text: Column) -> Column:
-    """Players with chips in the seat list; one site counts the actors around the deal instead."""
+def active_players(text: Column, chars: int | None = None) -> Column:
+    """Players with chips in the seat list; one site counts the actors around the deal instead.
+
+    Sites are told by the text before the first street, or by its first ``chars`` characters.
+    """
     lines = F.transform(_lines(text), lambda line: F.trim(line))
-    wpn = F.substring(text, 1, 100).contains("Game Hand #")
+    wpn = head(text, chars).contains("Game Hand #")
     stars = text.startswith("PokerStars")
     chips = r"Seat\s+\d+:.*?\(\d+.*?in\s+chips.*?\)"
     bare = r"Seat\s+\d+:.*?\(\d+(?:,.*?)?\)(?!\s*\()"
@@ -141,7 +160,7 @@ def active_players(text: Column) -> Column:
     who = r"(?i)^(.+?)\s+(?:posts\s+(?:small\s+blind|big\s+blind|ante)\s+\[|folds|checks|calls|bets|raises|All-?in)"
     actors = F.filter(F.transform(window, lambda x: F.trim(F.regexp_extract(x, who, 1))), lambda n: n != "")
     by_action = F.when(deal_at > 0, F.size(F.array_distinct(actors))).otherwise(F.lit(0))
-    return F.when(_is_888(text), by_action).when(wpn, wpn_count).otherwise(F.size(F.filter(lines, seated)))
+    return F.when(_is_888(text, chars), by_action).when(wpn, wpn_count).otherwise(F.size(F.filter(lines, seated)))
 
 
 def table_format(text: Column) -> Column:
@@ -176,8 +195,8 @@ def hand_id(text: Column) -> Column:
     return first_match(text, HAND_IDS)
 
 
-def tournament_name(text: Column, chars: int | None = 500) -> Column:
-    """The tournament named in the first ``chars`` characters."""
+def tournament_name(text: Column, chars: int | None = None) -> Column:
+    """The tournament named before the first street, or in the first ``chars`` characters."""
     return F.trim(first_match(head(text, chars), TOURNAMENT_NAMES))
 
 

@@ -33,22 +33,28 @@ def valid_month(value: Column) -> Column:
 
 
 def parse_stamp(value: Column) -> Column:
-    """Lenient text to TIMESTAMP; naive stamps are UTC (the session zone is UTC), bare numbers seconds since 1970."""
+    """Lenient text to TIMESTAMP; naive stamps are UTC (the session zone is UTC).
+
+    Bare numbers, of any size and sign, are seconds since 1970; four digits that read as a year
+    and eight that read as a date are one.
+    """
 
     def tries(text: Column) -> Column:
         iso = F.nullif(F.regexp_extract(text, ISO_SECONDS, 1), F.lit(""))
         return F.coalesce(
             F.try_to_timestamp(F.replace(iso, F.lit("T"), F.lit(" ")), F.lit("yyyy-MM-dd HH:mm:ss")),
             *[F.try_to_timestamp(text, F.lit(fmt)) for fmt in LENIENT_FORMATS],
-            F.when(text.rlike(r"^\d{9,11}(?:\.\d+)?$"), parse_epoch(text.try_cast("double"))),
+            F.when(text.rlike(r"^\d{8}$"), F.try_to_timestamp(text, F.lit("yyyyMMdd"))),
+            F.when(text.rlike(r"^[12]\d{3}$"), F.try_to_timestamp(text, F.lit("yyyy"))),
+            F.when(text.rlike(r"^-?\d+(?:\.\d+)?$"), parse_epoch(text.try_cast("double"))),
         )
 
     return let(F.translate(F.trim(value), "/–", "--"), tries)
 
 
 def parse_epoch(value: Column) -> Column:
-    """Numeric seconds since 1970."""
-    return F.timestamp_seconds(value)
+    """Numeric seconds since 1970, NULL outside of the years 1 to 9999."""
+    return F.when(value.between(-62135596800, 253402300799), F.timestamp_seconds(value))
 
 
 def month_of(stamp: Column) -> Column:
@@ -73,15 +79,15 @@ def header_stamp(line: Column) -> Column:
     )
 
 
-def month_in_text(text: Column) -> Column:
-    """Month from free text: the first full stamp that parses, else a bare month, in 5000 characters."""
+def month_in_text(text: Column, chars: int | None = None) -> Column:
+    """Month from free text: the first full stamp that parses, else a bare month; in the whole text or its first ``chars`` characters."""
 
     def find(snippet: Column) -> Column:
         stamps = [month_of(parse_stamp(first_match(snippet, [p]))) for p in STAMP_SHAPES]
         bare = month_key(F.translate(F.regexp_extract(snippet, MONTH_SHAPE, 1), "_/", "--"))
         return F.coalesce(*stamps, bare)
 
-    return let(F.substring(text, 1, 5000), find)
+    return let(text if chars is None else F.substring(text, 1, chars), find)
 
 
 def month_in_path(path: Column) -> Column:
@@ -91,11 +97,11 @@ def month_in_path(path: Column) -> Column:
     return F.get(hits, F.lit(0))
 
 
-def month_for_file(content: Column, path: Column, meta_month: Column, meta_stamp: Column) -> Column:
+def month_for_file(content: Column, path: Column, meta_month: Column, meta_stamp: Column, chars: int | None = None) -> Column:
     """Metadata, then content, then path parts from the end, then the parent, then the whole path."""
     parent = F.regexp_replace(path, r"/[^/]*$", "")
     return F.coalesce(
-        month_key(meta_month), month_of(parse_stamp(meta_stamp)), month_in_text(content), month_in_path(path),
+        month_key(meta_month), month_of(parse_stamp(meta_stamp)), month_in_text(content, chars), month_in_path(path),
         month_in_text(parent), month_in_text(path), F.lit(FALLBACK_MONTH),
     )
 
@@ -125,11 +131,16 @@ NUMERIC_DAY = r"(\d{1,2})\s+(\d{2})\s+(\d{4})\s+\d{2}:\d{2}:\d{2}"
 NAMED_DAY = r"(\d{1,2})\s+([A-Za-zçã]+)\s+(\d{4})\s+\d{2}:\d{2}"
 
 
-def month_in_header(text: Column, site: Column) -> Column:
-    """Month printed in a hand header, without a zone shift; month names may be Portuguese."""
+def month_in_header(text: Column, site: Column, chars: int | None = None) -> Column:
+    """Month printed in a hand header, without a zone shift; month names may be Portuguese.
+
+    The header ends at the first blank line or the cards; without either it is the whole text,
+    or its first ``chars`` characters.
+    """
     blank = F.instr(text, "\n\n")
     cards = F.instr(text, "*** HOLE CARDS ***")
-    end = F.when(blank > 0, blank - 1).when(cards > 0, cards - 1).otherwise(F.least(F.length(text), F.lit(1500)))
+    whole = F.length(text) if chars is None else F.least(F.length(text), F.lit(chars))
+    end = F.when(blank > 0, blank - 1).when(cards > 0, cards - 1).otherwise(whole)
 
     def read(head: Column) -> Column:
         grab = lambda p, g: F.nullif(F.regexp_extract(head, p, g), F.lit(""))

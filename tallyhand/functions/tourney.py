@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, functions as F
 
+from tallyhand.functions import handtext
 from tallyhand.functions.columns import any_of, yes
 
 # Group labels.
@@ -82,21 +83,22 @@ THREE_PART_BUYIN = r"\$[\d.]+\+\$[\d.]+\+\$[\d.]+"
 SEAT_BOUNTY = r"\(\d+\s+in\s+chips,\s+\$[\d.]+\s+bounty\)"
 
 
-def class_from_text(text: Column) -> Column:
+def class_from_text(text: Column, chars: int | None = None, lines: int | None = None, seat_chars: int | None = None) -> Column:
     """MYSTERIES / PKO / NON-KO from a hand's whole text.
 
     One site prints the buy-in in three parts for bounty events; there the seat
-    lines tell a fixed bounty from a mystery one.
+    lines tell a fixed bounty from a mystery one. That site and its buy-in are looked for
+    before the first street, or in ``chars`` characters, ``lines`` lines and ``seat_chars`` characters.
     """
     low = F.lower(text)
     mystery = any_of(*[low.rlike(p) for p in MYSTERY_SHAPES])
     bounty = any_of(*[low.rlike(p) for p in BOUNTY_SHAPES])
-    ours = F.substring(text, 1, 500).contains("PokerStars Hand #")
-    head = F.slice(F.split(text, "\n", 6), 1, 5)
+    ours = handtext.head(text, chars).contains("PokerStars Hand #")
+    head = F.split(handtext.top(text), "\n") if lines is None else F.slice(F.split(text, "\n", lines + 1), 1, lines)
     named = F.filter(head, lambda line: line.contains("PokerStars"))
     header = F.coalesce(F.get(named, F.lit(0)), F.get(head, F.lit(0)))
     three = ours & yes(header.rlike(THREE_PART_BUYIN))
-    seat_bounty = F.substring(text, 1, 2000).rlike(SEAT_BOUNTY)
+    seat_bounty = handtext.head(text, seat_chars).rlike(SEAT_BOUNTY)
     return (
         F.when(three & seat_bounty, "PKO")
         .when(three, "MYSTERIES")
@@ -112,14 +114,14 @@ BOUNTY_WORD = r"(?i)\b(bounty|bounties|progressive|pko|ko|knockout)\b"
 BUYIN_PLUS_BOUNTY = r"[€$£]\d+(?:\.\d+)?\s*\+\s*[€$£]\d+(?:\.\d+)?\s*\+"
 
 
-def class_with_reason(text: Column, name: Column, network_rules: bool = False) -> Column:
+def class_with_reason(text: Column, name: Column, network_rules: bool = False, chars: int | None = None) -> Column:
     """struct(class_name, reason, score) from a file's text and name.
 
-    ``network_rules`` adds the header shapes two networks use (first 1000
-    characters); without them only the words count.
+    ``network_rules`` adds the header shapes two networks use (before the first street, or in
+    the first ``chars`` characters); without them only the words count.
     """
     text, name = F.coalesce(text, F.lit("")), F.coalesce(name, F.lit(""))
-    head = F.substring(text, 1, 1000)
+    head = handtext.head(text, chars)
 
     def word(source: Column, pattern: str) -> Column:
         return F.nullif(F.regexp_extract(source, pattern, 1), F.lit(""))
@@ -158,16 +160,16 @@ def class_with_reason(text: Column, name: Column, network_rules: bool = False) -
     return out.otherwise(result("non-KO", F.lit("no special keywords found")))
 
 
-# Header words (first 1000 characters) of bounty events.
+# Header words of bounty events.
 HEADER_WORDS = [
     "bounty hunter", "progressive knockout", "progressive ko", "pko", " ko ", "knockout", "bounty builders",
 ]
 BUYIN_TWO_PART = r"buy-in:\s*[$€£]\d+(?:\.\d+)?\s*\+\s*[$€£]\d+(?:\.\d+)?"
 
 
-def class_from_header(text: Column) -> Column:
-    """PKO / MYSTERY / NON_KO from the first 1000 characters."""
-    head = F.substring(text, 1, 1000)
+def class_from_header(text: Column, chars: int | None = None) -> Column:
+    """PKO / MYSTERY / NON_KO from the text before the first street, or its first ``chars`` characters."""
+    head = handtext.head(text, chars)
     low = F.lower(head)
     return (
         F.when(low.contains("mystery") & low.contains("bounty"), "MYSTERY")

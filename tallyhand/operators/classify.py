@@ -56,9 +56,9 @@ def class_totals(rows: DataFrame, cls: str) -> DataFrame:
     return rows.groupBy(cls).agg(F.count(F.lit(1)).alias("files"))
 
 
-def manifest(files: DataFrame, text: str = "text", name: str = "name", network_rules: bool = True, encoding: str | None = None) -> DataFrame:
+def manifest(files: DataFrame, text: str = "text", name: str = "name", network_rules: bool = True, encoding: str | None = None, chars: int | None = None) -> DataFrame:
     """Per file: class, reason, score, size and, where a column holds it, the encoding it was read in."""
-    out = files.withColumn("_c", tourney.class_with_reason(F.col(text), F.col(name), network_rules))
+    out = files.withColumn("_c", tourney.class_with_reason(F.col(text), F.col(name), network_rules, chars))
     return out.select(
         F.col(name).alias("input"),
         F.col("_c.class_name").alias("output_class"),

@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tallyhand.functions import timecols
 from tallyhand.functions.columns import count_true, ratio_pct
 from tallyhand.functions.scoring import action_ratio, performance_ratio
 
@@ -234,6 +235,26 @@ def months_manifest(records: DataFrame) -> DataFrame:
     )
 
 
+def hands_per_month(records: DataFrame, stamp: str | None = None, month: str = "month", missing: str | None = None) -> DataFrame:
+    """(month, hands): a hand's month is that of its stamp, else the one it carries; without either it is left out or ``missing``."""
+    given = timecols.month_key(F.col(month))
+    key = F.coalesce(timecols.month_of(timecols.parse_stamp(F.col(stamp).cast("string"))), given) if stamp else given
+    key = F.coalesce(key, F.lit(missing)) if missing else key
+    return records.select(key.alias("month")).where(F.col("month").isNotNull()).groupBy("month").agg(F.count(F.lit(1)).alias("hands"))
+
+
+def sample_ids(records: DataFrame) -> DataFrame:
+    """(name, month, source, hand_id): the hands behind each number of ``global_samples``, each once.
+
+    A valid hand is in its group, in ``group:postflop_all`` and in ``total``; a discarded one in
+    its reason and in ``total``. The lists are rows, to be written by name (``sinks.write_samples``).
+    """
+    valid = F.col("discard_reason").isNull()
+    own = F.when(valid, F.concat(F.lit("group:"), F.coalesce("grp", F.lit("")))).otherwise(F.concat(F.lit("discard:"), F.col("discard_reason")))
+    names = F.array_compact(F.array(own, F.when(valid, F.lit("group:postflop_all")), F.lit("total")))
+    return records.select(F.explode(names).alias("name"), "month", "source", "hand_id").dropDuplicates(["name", "hand_id"])
+
+
 def manifest_rollup(hits: DataFrame) -> DataFrame:
     """Per source and per group: metrics with data and hand entries."""
     s, g = F.col("source"), F.col("grp")

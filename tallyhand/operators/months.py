@@ -56,34 +56,37 @@ def decayed_mean(weighted: DataFrame, keys: list[str], values: list[str]) -> Dat
     )
 
 
-def ranked_months(cube: DataFrame, unknown_is_newest: bool = False) -> DataFrame:
-    """(month, rank, of) over the distinct months of a frame, rank 1 = newest.
+def ranked_months(cube: DataFrame, unknown_is_newest: bool = False, by: list[str] | None = None) -> DataFrame:
+    """(month, rank, of) over the distinct months of a frame or of each ``by``, rank 1 = newest.
 
     The month keys are combined map-side into one short sorted array, so no row but
     the keys themselves travels. ``unknown`` ranks last unless asked otherwise.
     """
-    keys = F.collect_set("month")
+    keys = F.collect_set("month")  # leaves NULL out
     known = F.sort_array(F.filter(keys, lambda m: m != "unknown"), asc=False)
     rest = F.filter(keys, lambda m: m == "unknown")
     ordered = F.concat(rest, known) if unknown_is_newest else F.concat(known, rest)
-    listed = cube.agg(ordered.alias("keys"))
-    return listed.select(F.posexplode("keys").alias("rank", "month"), F.size("keys").alias("of")).select(
-        "month", (F.col("rank") + 1).alias("rank"), "of"
+    listed = cube.groupBy(*(by or [])).agg(ordered.alias("keys"))
+    return listed.select(*(by or []), F.posexplode("keys").alias("rank", "month"), F.size("keys").alias("of")).select(
+        *(by or []), "month", (F.col("rank") + 1).alias("rank"), "of"
     )
 
 
+def joined_by(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with what was found for their keys; a NULL key is a key like others."""
+    named = found.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return rows.join(named, same).drop(*[f"_{k}" for k in keys])
+
+
 def with_month_rank(rows: DataFrame, by: list[str] | None = None, unknown_is_newest: bool = False) -> DataFrame:
     """Add ``rank`` (1 = newest) and ``of``: the place of a row's month among all months of its user.
 
     ``by`` names what has months of its own: a user, a source; without it the whole frame does.
-    Rows without a month are left out. ``rows`` are cube rows, a few for each user and month,
-    and are read once; a window holds those of one user.
+    Rows without a month are left out. The distinct months of each user are one array from
+    map-side sets, ranked inside its row and joined back; no window runs over cube rows.
     """
-    user = Window.partitionBy(*(by or []))
-    unknown = F.col("month") == "unknown"
-    order = [unknown.desc() if unknown_is_newest else unknown.asc(), F.col("month").desc()]
-    ranked = rows.where(F.col("month").isNotNull()).withColumn("rank", F.dense_rank().over(user.orderBy(*order)))
-    return ranked.withColumn("of", F.max("rank").over(user))
+    return joined_by(rows, ranked_months(rows, unknown_is_newest, by), [*(by or []), "month"])
 
 
 def weigh_months(

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyhand.functions.columns import count_true
 from tallyhand.operators.cube import DISCARD_REASONS
-from tallyhand.operators.records import ids_in_many, missing_from
+from tallyhand.operators.records import ids_in_many
 
 
 def count_differences(expected: DataFrame, actual: DataFrame, keys: list[str], value: str = "hands") -> DataFrame:
@@ -36,18 +36,26 @@ def monthly_against_global(monthly: DataFrame, whole: DataFrame, keys: list[str]
 
 
 def month_id_report(monthly_ids: DataFrame, global_ids: DataFrame) -> DataFrame:
-    """One row: ids counted in several months, ids the global set lacks, distinct ids on both sides."""
-    lines = [
-        ("duplicate_ids", ids_in_many(monthly_ids, "hand_id", "month").select("hand_id")),
-        ("extra_ids", missing_from(monthly_ids.select("hand_id").distinct(), global_ids, "hand_id")),
-        ("monthly_ids", monthly_ids.select("hand_id").distinct()),
-        ("global_ids", global_ids.select("hand_id").distinct()),
-    ]
-    out = None
-    for name, ids in lines:
-        part = ids.agg(F.count(F.lit(1)).alias("ids")).select(F.lit(name).alias("check"), "ids")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Ids counted in several months, ids the global set lacks, distinct ids on both sides: one shuffle by id."""
+    m, g = F.lit(1), F.lit(0)
+    sides = monthly_ids.select("hand_id", "month", m.alias("_m"), g.alias("_g")).unionByName(
+        global_ids.select("hand_id", F.lit(None).cast("string").alias("month"), g.alias("_m"), m.alias("_g"))
+    )
+    ids = sides.groupBy("hand_id").agg(
+        F.max("_m").alias("_m"), F.max("_g").alias("_g"), (F.min("month") != F.max("month")).alias("_many")
+    )
+    counts = ids.agg(
+        count_true(F.col("_many")).alias("duplicate_ids"),
+        count_true((F.col("_m") == 1) & (F.col("_g") == 0)).alias("extra_ids"),
+        F.coalesce(F.sum("_m"), F.lit(0)).cast("bigint").alias("monthly_ids"),
+        F.coalesce(F.sum("_g"), F.lit(0)).cast("bigint").alias("global_ids"),
+    )
+    return _as_rows(counts, "check", "ids")
+
+
+def _as_rows(counts: DataFrame, name: str, value: str) -> DataFrame:
+    """One row of counters as (name, value) rows."""
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias(name), F.col(c).alias(value)) for c in counts.columns])))
 
 
 def expectation_differences(counters: DataFrame, expected: DataFrame) -> DataFrame:
@@ -61,15 +69,11 @@ def class_conflicts(records: DataFrame, key: str = "hand_id", cls: str = "grp")
 
 
 def sums_within_total(records: DataFrame) -> DataFrame:
-    """One row: class sums and month sums against the total number of valid hands."""
-    by_class = records.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-    by_month = records.groupBy("month").agg(F.count(F.lit(1)).alias("n"))
-    parts = [("total", records.groupBy().agg(F.count(F.lit(1)).alias("n"))), ("classes", by_class), ("months", by_month)]
-    out = None
-    for name, frame in parts:
-        part = frame.agg(F.sum("n").alias("hands")).select(F.lit(name).alias("sum_over"), "hands")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Class sums and month sums next to the total number of valid hands, from one scan."""
+    grp, month = F.col("grp"), F.col("month")
+    counts = records.groupingSets([[], [grp], [month]], grp, month).agg(F.grouping_id().alias("_set"), F.count(F.lit(1)).alias("n"))
+    name = F.when(F.col("_set") == 3, "total").when(F.col("_set") == 1, "classes").otherwise("months")
+    return counts.groupBy(name.alias("sum_over")).agg(F.sum("n").alias("hands"))
 
 
 def context_report(facts: DataFrame) -> DataFrame:

@@ -1,11 +1,12 @@
 """Reports over the cube and the run tables: joins, hierarchy, top-k, pivots."""
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tallyhand.functions import scoring
 from tallyhand.functions.columns import count_true, ratio_pct, steady_round, weighted_mean
 from tallyhand.functions.numbers import decimal_comma
-from tallyhand.operators.months import DECAY
+from tallyhand.operators.months import DECAY, joined_by
+from tallyhand.sources.readers import first_row
 
 # Parts of metric names, in test order, and the subgroup they mean.
 SUBGROUP_MARKS = [
@@ -56,8 +57,8 @@ def hierarchy(cube: DataFrame, ideals: DataFrame, width: float = 2.0) -> DataFra
 
 def flat_report(cube: DataFrame, scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Each user's newest month's counters with score and note; unscored metrics stay."""
-    user = Window.partitionBy(*(by or []))
-    rows = cube.withColumn("_newest", F.max("month").over(user)).where(F.col("month") == F.col("_newest")).drop("_newest")
+    newest = cube.groupBy(*(by or [])).agg(F.max("month").alias("month"))
+    rows = joined_by(cube, newest, [*(by or []), "month"])
     pct = F.when(F.col("opportunities") > 0, F.round(F.col("attempts") / F.col("opportunities") * 100.0, 2))
     return (
         rows.join(scores, [*(by or []), "grp", "stat_id"], "left")
@@ -108,6 +109,18 @@ def drill_down(hits: DataFrame, hands: DataFrame, stat_id: str, grp: str, kind:
     return hands.join(wanted, key)
 
 
+def drill_down_stored(
+    spark: SparkSession, hits: str, hands: str, stat_id: str, grp: str, kind: str, months: list[str] | None = None, key: str = "hand_id"
+) -> DataFrame:
+    """``drill_down`` over tables that ``sinks.write_bucketed`` wrote: neither side is shuffled.
+
+    Ids are grouped within their bucket and the buckets of both tables are joined pair by
+    pair; with ``months`` only the files of those months are read, on both sides.
+    """
+    chosen = lambda name: spark.table(name) if months is None else spark.table(name).where(F.col("month").isin(months))
+    return drill_down(chosen(hits), chosen(hands), stat_id, grp, kind, key)
+
+
 def newest_runs(runs: DataFrame, n: int, status: str | None = None) -> DataFrame:
     """The latest ``n`` runs, newest first (a top-k, not a sort of the table)."""
     rows = runs if status is None else runs.where(F.col("status") == status)
@@ -184,7 +197,7 @@ def wide_merge(sheets: dict[str, DataFrame], key: str | None = None) -> DataFram
     Values become percentages with one decimal comma, apart from counts and ratios;
     ``X VPIP`` (3Bet + Cold Call) follows each cold-call column, one column is shown
     twice. With ``key`` the sheets hold one row per key and are joined on it; without it
-    only the first row of each sheet is the report's.
+    the first row of each sheet, in the order it is read in, is the report's.
     """
 
     def shown(col: Column) -> Column:
@@ -201,7 +214,9 @@ def wide_merge(sheets: dict[str, DataFrame], key: str | None = None) -> DataFram
             first = [c for c in names if "Total Hands" in c]
             second = [c for c in names if c not in first and any(u in c for u in UNOPENED)]
             names = first + second + [c for c in names if c not in first and c not in second]
-        prefixed = (sheet if key else sheet.limit(1)).select(
+        if key is None:
+            sheet = first_row(sheet.withColumn("_at", F.monotonically_increasing_id()), "_at")
+        prefixed = sheet.select(
             F.lit(1).alias("_k") if key is None else F.col(key).alias("_k"),
             *[F.col(f"`{c}`").alias(f"{source}_{c}") for c in names],
         )

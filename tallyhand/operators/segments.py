@@ -104,7 +104,7 @@ ANY_MARKER = r"\*\*\*.*\*\*\*"
 
 
 def hand_spans(
-    files: DataFrame, file_id: str = "file_id", text: str = "text", headers: list[str] | None = None, min_chars: int = 50
+    files: DataFrame, file_id: str = "file_id", text: str = "text", headers: list[str] | None = None, min_chars: int = 0
 ) -> DataFrame:
     """(file_id, start_offset, end_offset, text): from one header line to the next.
 

@@ -82,6 +82,13 @@ def stat_level(
     )
 
 
+def explained(stats: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The metrics of ``stat_level`` with the grade and the note that their ideal range (stat_id, low, high) gives them."""
+    pct, low, high = F.col("pct_time_decay"), F.col("low"), F.col("high")
+    joined = stats.join(ranges.select("stat_id", "low", "high"), "stat_id", "left")
+    return joined.withColumns({"grade": scoring.range_grade(pct, low, high), "note": scoring.range_text(pct, low, high)}).drop("low", "high")
+
+
 def subgroup_level(stats: DataFrame, weights: DataFrame) -> DataFrame:
     """Weighted mean of the metrics of a subgroup that have a score."""
     return (
@@ -173,6 +180,20 @@ def monthly_scores(cube: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return groups.groupBy(*keys).agg(weighted_mean(F.col("score"), F.col("hands")).alias("score"))
 
 
+def monthly_overall(cube: DataFrame, postflop: DataFrame, goals: DataFrame, subgroup_weights: DataFrame, pool: list[str] | None = None) -> DataFrame:
+    """(month, postflop, overall): the blend of ``hand_share_blend`` for each month, its post-flop score of that month too.
+
+    ``cube``: month, grp, opportunities, attempts; a group's score is its rate to one place. ``postflop``: month, stat_id,
+    opportunities, attempts, percentage, added over the groups; ``goals`` and ``subgroup_weights`` as for
+    ``postflop_aggregate`` and ``postflop_overall``. A month without post-flop rows gets 0 for that part.
+    """
+    subgroups = postflop_subgroups(postflop_aggregate(postflop, goals), ["month"])
+    post = postflop_overall(subgroups, subgroup_weights, ["month"])
+    rate = F.round(F.sum("attempts") / F.sum("opportunities") * 100.0, 1)
+    groups = cube.groupBy("month", "grp").agg(F.sum("opportunities").alias("hands"), rate.alias("score"))
+    return hand_share_blend(groups, post, pool, ["month"])
+
+
 def category_report(categories: DataFrame, groups: DataFrame, pool: list[str] | None = None) -> DataFrame:
     """Category scores with label and weight, the pooled groups' added in proportion to their hands.
 
@@ -191,29 +212,32 @@ def category_report(categories: DataFrame, groups: DataFrame, pool: list[str] |
     )
 
 
-def hand_share_blend(groups: DataFrame, postflop: DataFrame, pool: list[str] | None = None) -> DataFrame:
-    """Overall score: 80% spread over the groups by hands, 20% the post-flop score.
+def hand_share_blend(groups: DataFrame, postflop: DataFrame, pool: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
+    """Overall score: 80% spread over the groups by hands, 20% the post-flop score; for each ``by``, if given.
 
     ``groups``: grp, hands, score. ``pool`` names the groups merged into one (by
     hands) before the split. ``postflop``: one row with ``score``.
     """
-    pool = pool or ["nonko_9max", "nonko_6max"]
+    pool, by = pool or ["nonko_9max", "nonko_6max"], by or []
     family = F.when(F.col("grp").isin(pool), F.lit("nonko")).otherwise(F.col("grp"))
     merged = (
         groups.where(F.col("hands") > 0)
-        .groupBy(family.alias("family"))
+        .groupBy(*by, family.alias("family"))
         .agg(
             steady_round(F.sum(F.coalesce("score", F.lit(0.0)) * F.col("hands")) / F.sum("hands"), 1).alias("score"),
             F.sum("hands").alias("hands"),
         )
-        .select("family", "score", F.col("hands").cast("double").alias("hands"))
+        .select(*by, "family", "score", F.col("hands").cast("double").alias("hands"))
     )
     both = merged.unionByName(
-        postflop.select(F.lit("postflop").alias("family"), F.col("score"), F.lit(None).cast("double").alias("hands"))
+        postflop.select(*by, F.lit("postflop").alias("family"), F.col("score"), F.lit(None).cast("double").alias("hands"))
     )
     by_hands = F.sum(F.col("score") * F.col("hands")) / F.sum("hands") * 0.80
     post = F.coalesce(F.sum(F.when(F.col("family") == "postflop", F.col("score"))), F.lit(0.0)) * 0.20
-    return both.agg(F.when(F.sum("hands") > 0, by_hands + post).alias("overall"))
+    overall = F.when(F.sum("hands") > 0, by_hands + post).alias("overall")
+    if not by:
+        return both.agg(overall)
+    return both.groupBy(*by).agg(F.max(F.when(F.col("family") == "postflop", F.col("score"))).alias("postflop"), overall)
 
 
 def postflop_goals(spark: SparkSession) -> DataFrame:
@@ -230,17 +254,17 @@ def postflop_aggregate(merged: DataFrame, goals: DataFrame) -> DataFrame:
     return merged.join(goals, "stat_id").withColumn("score", score)
 
 
-def postflop_subgroups(scored: DataFrame) -> DataFrame:
-    """Score and share of weight per post-flop subgroup."""
-    rows = scored.groupBy("subgroup").agg(
+def postflop_subgroups(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Score and share of weight per post-flop subgroup, of each ``by`` if given."""
+    rows = scored.groupBy(*(by or []), "subgroup").agg(
         F.sum("weight").alias("raw"),
         steady_round(F.coalesce(weighted_mean(F.col("score"), F.when(F.col("weight") > 0, F.col("weight"))), F.lit(0.0)), 1).alias("score"),
     )
-    return rescaled(rows.withColumnRenamed("raw", "weight").withColumn("_all", F.lit(1)), ["_all"]).drop("_all")
+    return rescaled(rows.withColumnRenamed("raw", "weight").withColumn("_all", F.lit(1)), [*(by or []), "_all"]).drop("_all")
 
 
-def postflop_overall(subgroups: DataFrame, weights: DataFrame) -> DataFrame:
+def postflop_overall(subgroups: DataFrame, weights: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Fixed subgroup weights, not rescaled to the subgroups present."""
-    return subgroups.select("subgroup", "score").join(weights, "subgroup").agg(
+    return subgroups.select(*(by or []), "subgroup", "score").join(weights, "subgroup").groupBy(*(by or [])).agg(
         steady_round(F.sum(F.col("score") * F.col("subgroup_weight")), 1).alias("score")
     )

@@ -82,8 +82,20 @@ def stored_cubes(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def room_sheet(spark: SparkSession, path: str) -> DataFrame:
-    """A room's CSV: its header and its first data row, all cells as text (decimal commas, ``NA``)."""
-    return spark.read.option("header", "true").csv(path).limit(1)
+    """A room's CSV: its header and its first data row in file order, all cells as text (decimal commas, ``NA``).
+
+    Of several files the first by name counts. Each task gives its first row.
+    """
+    sheet = spark.read.option("header", "true").csv(path)
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    return first_row(sheet.select(*[F.col(f"`{c}`") for c in sheet.columns], place.alias("_place")), "_place")
+
+
+def first_row(rows: DataFrame, order: str) -> DataFrame:
+    """The row that comes first by ``order``, without that column; none of an empty table."""
+    kept = [c for c in rows.columns if c != order]
+    first = rows.agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in kept]), F.col(order)).alias("_row"), F.count(F.lit(1)).alias("_n"))
+    return first.where("_n > 0").select("_row.*")
 
 
 def numeric_cells(sheet: DataFrame) -> DataFrame:

@@ -27,6 +27,13 @@ def write_hits(hits: DataFrame, path: str) -> None:
     write_partitioned(hits, path, ["month", "grp"])
 
 
+def write_bucketed(df: DataFrame, table: str, path: str, key: str = "hand_id", buckets: int = 256) -> None:
+    """A table by month, each month in buckets of ``key``: tables with as many buckets join on it without an exchange."""
+    bucketed = df.withColumn("_bucket", F.pmod(F.hash(key), F.lit(buckets)))
+    spread = bucketed.hint("rebalance", F.col("month"), F.col("_bucket")).drop("_bucket")
+    spread.write.mode("overwrite").option("path", path).partitionBy("month").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+
+
 def partition_summary(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("hands"))
 
@@ -59,6 +66,11 @@ def write_history(rows: DataFrame, path: str, run: str) -> None:
     write_partitioned(kept, path, ["run"], partitionOverwriteMode="dynamic")
 
 
+def write_samples(ids: DataFrame, path: str) -> None:
+    """The id lists of samples (``cube.sample_ids``), by name and month."""
+    write_partitioned(ids, path, ["name", "month"])
+
+
 def write_stat_texts(texts: DataFrame, path: str, stat: str = "stat_id", text: str = "text") -> None:
     """Hand texts per metric, separated by blank lines."""
     body = texts.select(safe_name(F.col(stat)).alias(stat), F.concat(F.trim(text), F.lit("\n")).alias("value"))

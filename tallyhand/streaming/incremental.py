@@ -4,7 +4,7 @@ import hashlib
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tallyhand.functions import timecols
@@ -14,7 +14,9 @@ from tallyhand.plans.catalogue import catalogue
 from tallyhand.plans.opportunities import count_hands, with_month_and_groups
 from tallyhand.schemas import HAND
 
-_IDS = "hand_id string, run string, batch bigint"
+_IDS = "hand_id string, run string, batch bigint, day string"
+#: Where ids of hands without a time are kept.
+NO_DAY = "unknown"
 
 
 def state_root(spark: SparkSession, name: str, fallback: str) -> str:
@@ -53,7 +55,9 @@ def merge_counts(
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: count unseen hands and add them to the stored cube.
 
-    Hands are unseen if no stored id is theirs, however old they are. Every batch writes its
+    Hands are unseen if no stored id is theirs, however old they are. Equal ids were played at
+    one time, so ids are kept by day, and a batch reads those of the days it has hands of:
+    what it reads does not grow with the history of other days. Every batch writes its
     ids and its delta under its run and number; a batch that is run again overwrites exactly
     those folders, so a retry after a lost executor or driver neither loses nor doubles a
     count. ``run`` is by default the id that the query's checkpoint holds: a lost checkpoint
@@ -67,16 +71,30 @@ def merge_counts(
         fresh = batch.dropDuplicates(["hand_id"])
         seen = _read_if_any(spark, ids_path, _IDS)
         if seen is not None:
-            old = seen.where((F.col("run") != name) | (F.col("batch") < batch_id)).select("hand_id")
+            # no more days than the calendar has
+            days = [r[0] for r in batch.select(_day(batch).alias("day")).distinct().collect()]
+            earlier = (F.col("run") != name) | (F.col("batch") < batch_id)
+            old = seen.where(F.col("day").isin(days) & earlier).select("hand_id")
             fresh = fresh.join(old, "hand_id", "left_anti")
         fresh.persist()  # read once for the counts and once for the ids
         counter(fresh).write.mode("overwrite").parquet(f"{cube_path}/run={name}/batch={batch_id}")
-        fresh.select("hand_id").write.mode("overwrite").parquet(f"{ids_path}/run={name}/batch={batch_id}")
+        _write_ids(fresh.select("hand_id", _day(batch).alias("day")), f"{ids_path}/run={name}/batch={batch_id}")
         fresh.unpersist()
 
     return add
 
 
+def _day(hands: DataFrame) -> Column:
+    """The UTC day of a hand's time, where there is one."""
+    if "event_time" not in hands.columns:
+        return F.lit(NO_DAY)
+    return F.coalesce(F.date_format("event_time", "yyyy-MM-dd"), F.lit(NO_DAY))
+
+
+def _write_ids(ids: DataFrame, path: str) -> None:
+    ids.hint("rebalance", F.col("day")).write.mode("overwrite").partitionBy("day").parquet(path)
+
+
 def _read_if_any(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
     try:
         return spark.read.schema(schema).parquet(path)
@@ -88,8 +106,8 @@ def _read_if_any(spark: SparkSession, path: str, schema: str) -> DataFrame | Non
 
 def compact_ids(spark: SparkSession, ids_path: str, target: str) -> None:
     """All stored ids in few files, as one run before any other; to be used as ``ids_path`` from then on."""
-    seen = spark.read.schema(_IDS).parquet(ids_path).select("hand_id").distinct()
-    seen.hint("rebalance").write.mode("overwrite").parquet(f"{target}/run=compacted/batch=0")
+    seen = spark.read.schema(_IDS).parquet(ids_path).select("hand_id", "day").distinct()
+    _write_ids(seen, f"{target}/run=compacted/batch=0")
 
 
 def read_counts(spark: SparkSession, cube_path: str) -> DataFrame:

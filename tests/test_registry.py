@@ -1,6 +1,7 @@
 """Every registered query against its oracle, and the shape of the plans."""
 
 import pytest
+from pyspark.sql import Window, functions as F
 
 import __spark_entry__ as entry
 from checks import facts, registry, verify
@@ -16,10 +17,28 @@ def con(sf_dir):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_against_oracle(spark, sf_dir, con, name):
-    problem = verify.compare(QUERIES[name](spark, sf_dir), con, ORACLES[name])
+    df = QUERIES[name](spark, sf_dir)
+    assert not list(windows_without_key(df)), "a window without a key runs in one task"
+    problem = verify.compare(df, con, ORACLES[name])
     assert problem is None, problem
 
 
+def windows_without_key(df):
+    """The windows of a plan that put all rows in one task."""
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "Window" and node.partitionSpec().isEmpty():
+            yield node.toString()
+        children = node.children()
+        todo.extend(children.apply(i) for i in range(children.length()))
+
+
+def test_windows_without_key_are_seen(spark):
+    bare = spark.range(5).withColumn("n", F.count("*").over(Window.partitionBy()))
+    assert list(windows_without_key(bare.where("n > 1"))) and not list(windows_without_key(spark.range(5)))
+
+
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
