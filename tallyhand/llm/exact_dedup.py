@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A map task's trie gives its largest subtree to the shuffle beyond so many bytes of text.
 TRIE_BYTES = 48 << 20
 _PARTIAL = "n_bytes bigint, digest string, body binary, keep_id bigint, n bigint"
-_OWNER = "n_bytes bigint, digest string, keep_id bigint, group_size bigint"
+_OWNER = "n_bytes bigint, digest string, told bigint, keep_id bigint, n bigint"
+#: Hex digits of a text's hash that, with its length, choose the trie it goes to.
+HASH_DIGITS = 3
 _ROWS = 2048
 
 
@@ -96,7 +99,7 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatc
 
 
 _PARTIAL_ARROW = pa.schema([("n_bytes", pa.int64()), ("digest", pa.string()), ("body", pa.binary()), ("keep_id", pa.int64()), ("n", pa.int64())])
-_OWNER_ARROW = pa.schema([("n_bytes", pa.int64()), ("digest", pa.string()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
+_OWNER_ARROW = pa.schema([("n_bytes", pa.int64()), ("digest", pa.string()), ("told", pa.int64()), ("keep_id", pa.int64()), ("n", pa.int64())])
 
 
 def _own_copies(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -114,28 +117,28 @@ def _own_copies(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Rec
     yield from _batches(((len(body), digest, body, keep_id, n) for body, digest, keep_id, n in rows()), _PARTIAL_ARROW)
 
 
-def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Owners from rows sorted by length and digest: a trie is complete when that key changes."""
+def _owners(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Owners from rows partitioned by length and a hash's first digits: one trie for each such key, of whole strings.
 
-    def done(key, trie):
-        found = list(terminals(trie.root))
-        if len(found) > 1:
-            raise ValueError(f"{len(found)} different texts of {key[0]} bytes share the digest {key[1]}")
-        return (key[0], key[1], found[0][2], found[0][3])
+    Its terminals hold the smallest id of each text. A trie that grows beyond ``most`` bytes
+    gives its largest subtree away; a text of which more rows come later is then owned twice,
+    which the last aggregation settles.
+    """
 
     def rows():
         key, trie = None, Trie()
         for batch in batches:
             for n_bytes, digest, body, keep_id, n in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if key != (n_bytes, digest):
-                    if key is not None:
-                        yield done(key, trie)
-                    key, trie = (n_bytes, digest), Trie()
+                if key != (n_bytes, digest[:HASH_DIGITS]):
+                    yield from terminals(trie.root)
+                    key, trie = (n_bytes, digest[:HASH_DIGITS]), Trie()
                 trie.add(body, digest, keep_id, n)
-        if key is not None:
-            yield done(key, trie)
+                if n_bytes and trie.held[body[0]] > most // 256 and trie.bytes_held() > most:
+                    yield from trie.spill()
+        yield from terminals(trie.root)
 
-    yield from _batches(rows(), _OWNER_ARROW)
+    told = ((len(body), digest, xxhash.xxh3_64_intdigest(body) - (1 << 63), keep_id, n) for body, digest, keep_id, n in rows())
+    yield from _batches(told, _OWNER_ARROW)
 
 
 def normalised(text: Column) -> Column:
@@ -147,16 +150,27 @@ def owners(docs: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
     """n_bytes, digest, keep_id, group_size for each distinct normalised text.
 
     Each task first puts its own texts into a trie, so a text with any number of copies leaves
-    a task about once. Rows are then partitioned and sorted by length and SHA-256, and whole
-    strings are compared again in a trie for each such key. If two different texts ever shared
-    both, the job would fail rather than merge them.
+    a task about once. Rows are then partitioned by length and the first digits of their
+    SHA-256, and each such partition's whole strings go into one trie, whose terminals own
+    them. Texts are told apart by their bytes there, by length and SHA-256 beyond; different
+    texts that ever share both would end the job rather than be merged.
     """
     hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("_norm")).select(
         "doc_id", F.sha2("_norm", 256).alias("digest"), F.encode("_norm", "UTF-8").alias("body")
     )
     partial = hashed.mapInArrow(lambda batches: _own_copies(batches, trie_bytes), _PARTIAL)
-    dealt = partial.repartition("n_bytes", "digest").sortWithinPartitions("n_bytes", "digest")
-    return dealt.mapInArrow(_owners, _OWNER)
+    place = F.substring("digest", 1, HASH_DIGITS)
+    dealt = partial.repartition("n_bytes", place).sortWithinPartitions("n_bytes", place)
+    return _settled(dealt.mapInArrow(lambda batches: _owners(batches, trie_bytes), _OWNER))
+
+
+def _settled(owned: DataFrame) -> DataFrame:
+    """One owner for each length and digest; different texts that share both end the job."""
+    settled = owned.groupBy("n_bytes", "digest").agg(
+        F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size"), F.min("told").alias("_one"), F.max("told").alias("_two")
+    )
+    different = F.raise_error(F.concat(F.lit("different texts share the digest "), F.col("digest")))
+    return settled.select("n_bytes", "digest", "keep_id", F.when(F.col("_one") == F.col("_two"), F.col("group_size")).otherwise(different.cast("long")).alias("group_size"))
 
 
 def exact_groups(docs: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:

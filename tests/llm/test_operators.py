@@ -425,13 +425,80 @@ def test_language_of_awkward_rows(awkward, empty, spark):
     assert kept.columns == awkward.columns
 
 
+def slots_of(text):
+    """The n-grams of a text as the operator hashes them, one by one."""
+    letters = "".join(c if c.isalpha() else " " for c in text.lower())
+    found = []
+    for order in language.ORDERS:
+        for i in range(len(letters) - order + 1):
+            mixed = order
+            for c in letters[i : i + order]:
+                mixed = (mixed ^ ord(c)) * 0x9E3779B1 & 0xFFFFFFFF
+                mixed ^= mixed >> 15
+            found.append(mixed % language.SLOTS)
+    return found
+
+
+@pytest.mark.parametrize("matrix_bytes", [language.MATRIX_BYTES, 0])
+@pytest.mark.parametrize("name", ["documents", "awkward"])
+def test_language_is_naive_bayes(request, monkeypatch, name, matrix_bytes):
+    """Every prediction and score against counts, sums and logarithms in plain Python, with the model broadcast and joined."""
+    import math
+    import zlib
+
+    plain = language.train
+    monkeypatch.setattr(language, "train", lambda docs: plain(docs, matrix_bytes))
+    docs = request.getfixturevalue(name)
+    rows = [(r["doc_id"], r["text"] or "", r["lang"]) for r in docs.select("doc_id", "text", "lang").collect()]
+    out = {i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 0 for i, _, _ in rows}
+    counted, priors = defaultdict(Counter), Counter()
+    for i, text, lang in rows:
+        if lang is not None and not out[i]:
+            counted[lang].update(slots_of(text))
+            priors[lang] += 1
+    total = {lang: sum(c.values()) + language.SMOOTHING * language.SLOTS for lang, c in counted.items()}
+    got = defaultdict(list)
+    for r in rows_of(language.languages(docs)):
+        got[r["doc_id"]].append((r["held_out"], r["lang_pred"], r["score"]))
+    want = defaultdict(list)
+    for i, text, _ in rows:
+        if not any(map(str.isalpha, text)):
+            want[i].append((out[i], "und", 0.0))
+            continue
+        slots = Counter(slots_of(text))
+        sums = {lang: math.log(priors[lang] / sum(priors.values())) + sum(n * math.log((c[s] + language.SMOOTHING) / total[lang]) for s, n in slots.items()) for lang, c in counted.items()}
+        best = max(sums, key=sums.get)
+        want[i].append((out[i], best, 1 / sum(math.exp(v - sums[best]) for v in sums.values())))
+    assert set(got) == set(want)
+    for i, rows_got in got.items():
+        for (a, lang, score), (b, lang_want, score_want) in zip(sorted(rows_got), sorted(want[i])):
+            assert (a, lang) == (b, lang_want) and score == pytest.approx(score_want, abs=2e-3)
+
+
+def test_language_names_stay_as_they_are(spark):
+    rows = [(i, "abc abd " * 5 if i % 2 else "xyz xyy " * 5, "one\x00" if i % 2 else "one", None) for i in range(40)]
+    got = rows_of(language.languages(frame(spark, rows)))
+    assert {(r["doc_id"] % 2, r["lang_pred"]) for r in got} == {(1, "one\x00"), (0, "one")}
+
+
+def test_texts_unlike_their_language_go(spark, documents):
+    """Long texts that no learned language reads like are rejected, clean documents and short ones stay."""
+    draw = np.random.default_rng(5)
+    odd = ["".join(draw.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 2000)), "щука и рак в реке " * 60, "東京都千代田区" * 120]
+    more = spark.createDataFrame([(10**9 + i, t, None, "x", len(t)) for i, t in enumerate(odd)], documents.schema)
+    kept = {r["doc_id"] for r in language.with_known_language(documents.unionByName(more)).collect()}
+    lettered = {r["doc_id"] for r in documents.collect() if any(map(str.isalpha, r["text"] or ""))}
+    assert not kept & {10**9 + i for i in range(len(odd))}
+    assert len(lettered - kept) <= 0.01 * len(lettered)
+
+
 def test_long_texts_count_the_same_in_pieces(monkeypatch):
     texts = ["Ein langer Text " * 400, "", "a", "kurz"]
     table = np.random.default_rng(2).normal(size=(language.SLOTS + 1, 3)).astype(np.float32)
     whole = language.posterior(texts, table)
     monkeypatch.setattr(language, "_CHARS", 50)
     cut = language.posterior(texts, table)
-    assert np.allclose(whole[0], cut[0], atol=1e-3) and (whole[1] == cut[1]).all()
+    assert np.allclose(whole[0], cut[0], atol=1e-3) and (whole[1] == cut[1]).all() and (whole[2] == cut[2]).all()
 
 
 # byte pairs
@@ -568,12 +635,28 @@ def test_trie_holds_whole_strings():
     assert set(spilt) == {b"b" * 500, b"b" * 499 + b"c"} and b"abc" in {b for b, *_ in exact_dedup.terminals(trie.root)}
 
 
-def test_different_texts_with_one_digest_fail():
+def test_one_trie_holds_all_texts_of_a_key(spark):
+    import pyarrow as pa
+
+    # three keys: two of length 2, and one of length 3; texts of one key have digests that begin alike
+    rows = [(2, "abc1", b"xy", 7, 2), (2, "abc2", b"xz", 9, 1), (2, "abc1", b"xy", 3, 1), (2, "abd1", b"xy", 1, 1), (3, "abc1", b"xyz", None, 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=list("abcde"))
+    for most, held in ((1 << 20, [(2, "abc1", 3, 3), (2, "abc2", 9, 1), (2, "abd1", 1, 1), (3, "abc1", None, 1)]), (1, None)):
+        found = [r for b in exact_dedup._owners(iter([batch]), most) for r in zip(*(c.to_pylist() for c in b.columns))]
+        if held:
+            assert sorted((n, d, k, c) for n, d, _, k, c in found) == held
+        settled = exact_dedup._settled(spark.createDataFrame(found, exact_dedup._OWNER))
+        assert sorted(tuple(r) for r in settled.collect()) == [(2, "abc1", 3, 3), (2, "abc2", 9, 1), (2, "abd1", 1, 1), (3, "abc1", None, 1)]
+
+
+def test_different_texts_with_one_digest_fail(spark):
     import pyarrow as pa
 
     batch = pa.RecordBatch.from_arrays([pa.array([1, 1]), pa.array(["d", "d"]), pa.array([b"a", b"b"]), pa.array([1, 2]), pa.array([1, 1])], names=list("abcde"))
-    with pytest.raises(ValueError, match="share the digest"):
-        list(exact_dedup._owners(iter([batch])))
+    found = [r for b in exact_dedup._owners(iter([batch]), 1 << 20) for r in zip(*(c.to_pylist() for c in b.columns))]
+    assert len(found) == 2  # bodies tell them apart
+    with pytest.raises(Exception, match="share the digest"):
+        exact_dedup._settled(spark.createDataFrame(found, exact_dedup._OWNER)).collect()
 
 
 # pages
