@@ -1,4 +1,4 @@
-"""Near duplicates: MinHash bands propose groups, whole n-gram sets decide each pair."""
+"""Near duplicates: pairs that share a MinHash band are decided on whole n-gram sets."""
 
 from __future__ import annotations
 
@@ -24,6 +24,8 @@ HASHES = 300
 #: Texts, and n-grams, of one block; two blocks are compared in one task.
 BLOCK_TEXTS = 256
 BLOCK_GRAMS = 500_000
+#: Tasks that the edges of one node of a component are dealt to.
+SALTS = 8
 _WORD = re.compile(r"\w+")
 _REMEMBERED = 400_000
 _GRAMS = 1 << 17
@@ -117,11 +119,19 @@ def _sketched(parts: Iterator[pd.DataFrame], bands: int, rows: int, words: int)
         yield done(run)
 
 
+def _meet(pairs: DataFrame, least: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the least of a; a's pairs are dealt to ``SALTS`` tasks, so a hub is no single key."""
+    salted = pairs.withColumn("_salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    spread = least.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(spread, ["a", "_salt"]).drop("_salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node in ``edges`` (a, b: longs), the root being its component's smallest node.
 
     Large-star and small-star steps in turn until no edge changes. Minima are aggregates with
-    map-side sums, so a node may have any number of neighbours; each turn is a written table.
+    map-side sums and joins are salted, so a node may have any number of neighbours; each turn
+    is a written table.
     """
     pairs = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = None
@@ -132,17 +142,38 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
         both = pairs.union(pairs.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = _meet(both.where("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
+        small = _meet(large, least).select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
         pairs = written(small.select(F.col("e.a").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct(), "edges")
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).union(pairs.select("b", "b").distinct())
 
 
-def _compare(group: pd.DataFrame, similarity: float, words: int) -> pd.DataFrame:
-    """Links between two blocks, or inside one: for each text the copies it links to, and its local component."""
+_LINKS = "uid bigint, root bigint, links bigint"
+
+
+def _compare(group: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """Links between two blocks, or inside one: for each set the copies it links to, and its local component.
+
+    Only pairs that share a band are looked at, and of these the pairs whose shared bands'
+    smallest first set is the one this group is named by; other groups have the others.
+    """
     group = group.sort_values("uid", ignore_index=True)
-    sets = [grams(t, words) for t in group["text"]]
+    bands, firsts = (np.array(group[c].tolist(), np.int64) for c in ("bands", "firsts"))
+    none = np.iinfo(np.int64).max
+    named = np.full((len(group), len(group)), none)
+    for band, first in zip(bands.T, firsts.T):
+        np.minimum(named, np.where(band[:, None] == band[None, :], first[:, None], none), out=named)
+    pairs = named == group["first"].iloc[0]
+    block = group["block"].to_numpy()
+    if group["low"].iloc[0] != group["high"].iloc[0]:
+        pairs &= block[:, None] != block[None, :]
+    np.fill_diagonal(pairs, False)
+    used = np.flatnonzero(pairs.any(axis=1))
+    if not len(used):
+        return pd.DataFrame({"uid": [], "root": [], "links": []}, dtype="int64")
+    group, pairs = group.iloc[used], pairs[np.ix_(used, used)]
+    sets = [np.frombuffer(g, np.uint64) for g in group["grams"]]
     sizes = np.array([len(s) for s in sets])
     owners = np.repeat(np.arange(len(sets)), sizes)
     values, codes, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -159,11 +190,7 @@ def _compare(group: pd.DataFrame, similarity: float, words: int) -> pd.DataFrame
         part = np.zeros((len(sets), width), np.float32)
         part[owners[low:high], columns[low:high] - at] = 1
         shared += part @ part.T
-    link = shared >= similarity * (sizes[:, None] + sizes[None, :] - shared) - 1e-9
-    block = group["block"].to_numpy()
-    if group["low"].iloc[0] != group["high"].iloc[0]:
-        link &= block[:, None] != block[None, :]
-    np.fill_diagonal(link, False)
+    link = pairs & (shared >= similarity * (sizes[:, None] + sizes[None, :] - shared) - 1e-9)
     label = np.arange(len(sets))
     while True:
         least = np.minimum(label, np.where(link, label[None, :], len(sets)).min(axis=1))
@@ -175,6 +202,13 @@ def _compare(group: pd.DataFrame, similarity: float, words: int) -> pd.DataFrame
     return pd.DataFrame({"uid": uid, "root": uid[label], "links": link @ group["copies"].to_numpy()})
 
 
+def _gram_sets(parts: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
+    for part in parts:
+        for at in range(0, len(part), 256):
+            some = part.iloc[at : at + 256]
+            yield pd.DataFrame({"uid": some["uid"], "grams": [grams(t, words).tobytes() for t in some["text"]]})
+
+
 def _sets_and_links(docs: DataFrame, similarity: float, recall: float, words: int) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, text_key, set_key), (sets: set_key, doc_id, text_key, copies, n, links, root), one of each distinct set."""
     bands, rows = bands_and_rows(similarity, recall)
@@ -195,31 +229,22 @@ def _sets_and_links(docs: DataFrame, similarity: float, recall: float, words: in
         .select("set_key", "_first.doc_id", "_first.text_key", "copies", "n", "bands", F.monotonically_increasing_id().alias("uid")),
         "sets",
     )
-    # a band shared by several sets links each of them to the one with the smallest uid
-    banded = sets.select("uid", F.explode("bands").alias("band"))
+    # sets that share a band meet under the smallest of them; a set goes to as many groups as its bands have smallest sets
+    banded = sets.select("uid", F.posexplode("bands").alias("at", "band"))
     shared = banded.groupBy("band").agg(F.min("uid").alias("first"), F.max("uid").alias("last")).where("first <> last").select("band", "first")
-    proposed = banded.join(shared, "band").where("uid <> first").select(F.col("uid").alias("a"), F.col("first").alias("b"))
-    groups = components(proposed)
-    members = written(groups.join(sets.select(F.col("uid").alias("node"), "text_key", "copies", "n"), "node"), "members")
-    blocks = F.ceil(F.greatest(F.col("_texts") / BLOCK_TEXTS, F.col("_grams") / BLOCK_GRAMS)).cast("int")
-    sized = members.groupBy("root").agg(F.count("*").alias("_texts"), F.sum("n").alias("_grams")).select("root", blocks.alias("blocks"))
-    placed = members.join(sized, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
+    met = banded.join(shared, "band").groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("at", "first"))).alias("_firsts"))
+    firsts = F.transform("bands", lambda _, i: F.coalesce(F.try_element_at("_firsts", i), F.lit(-1).cast("long")))
+    members = written(met.join(sets.select("uid", "text_key", "copies", "n", "bands"), "uid").withColumn("firsts", firsts).drop("_firsts"), "members")
     texts = keyed.select("text_key", "text").dropDuplicates(["text_key"])
-    met = placed.join(texts, "text_key").withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    compared = written(
-        met.select(
-            "root",
-            F.least("block", "_other").alias("low"),
-            F.greatest("block", "_other").alias("high"),
-            "block",
-            F.col("node").alias("uid"),
-            "copies",
-            "text",
-        )
-        .groupBy("root", "low", "high")
-        .applyInPandas(lambda group: _compare(group, similarity, words), "uid bigint, root bigint, links bigint"),
-        "links",
-    )
+    held = members.select("uid", "text_key").join(texts, "text_key").select("uid", "text").mapInPandas(lambda parts: _gram_sets(parts, words), "uid bigint, grams binary")
+    held = written(members.drop("text_key", "n").join(held, "uid"), "grams")
+    groups = members.select("uid", "n", F.explode(F.array_distinct(F.filter("firsts", lambda f: f >= 0))).alias("first"))
+    blocks = F.ceil(F.greatest(F.col("_texts") / BLOCK_TEXTS, F.col("_grams") / BLOCK_GRAMS)).cast("int")
+    sized = groups.groupBy("first").agg(F.count("*").alias("_texts"), F.sum("n").alias("_grams")).select("first", blocks.alias("blocks"))
+    placed = groups.join(sized, "first").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks").cast("long")).cast("int"))
+    dealt = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("uid", "first", "block", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"))
+    compared = written(dealt.join(held, "uid").groupBy("first", "low", "high").applyInPandas(lambda group: _compare(group, similarity), _LINKS), "links")
     links = compared.groupBy("uid").agg(F.sum("links").alias("links"))
     classes = components(compared.select(F.col("uid").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("uid"), "root")
     known = (
@@ -242,9 +267,10 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, recall: float =
     Two documents are linked when the Jaccard similarity of their sets of word n-grams (lower
     case, runs of letters, digits and _) is at least ``similarity``. ``n_links`` counts the
     documents a document is linked to, copies too; a class is what links connect, named by its
-    smallest doc_id. Texts with equal sets are compared once. Sets that share a band are
-    proposed to be one group, and inside a group every pair is compared on whole sets, block
-    by block, so a group of any size is many tasks and no pair becomes a row.
+    smallest doc_id. Texts with equal sets are compared once. Sets that share a band meet in
+    the group of the smallest set of that band, and there the pairs that share one are compared
+    on whole sets, block by block: a group of any size is many tasks, no pair becomes a row, and
+    a set goes to no more groups than it has bands, however many unlike ones a chain connects.
 
     A null text counts as empty; texts without words are linked to equal texts only; fewer
     words than an n-gram make one n-gram. A null doc_id names no class unless all are null;

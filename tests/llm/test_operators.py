@@ -213,6 +213,34 @@ def test_near_groups_larger_than_a_block(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in rows_of(near_dup.without_near_copies(docs))) == [0, 100]
 
 
+def test_pages_of_one_template_are_not_all_compared(spark, monkeypatch):
+    """Pages that share 45 % of their n-grams chain by chance; pairs without a common band are left alone."""
+    template = [f"t{i}" for i in range(124)]
+    rows = [(k, " ".join([*template, *(f"p{k}x{i}" for i in range(76))]), None, None) for k in range(300)]
+    rows += [(1000 + k, rows[k][1] + f" tail{k}", None, None) for k in range(0, 300, 10)]
+    docs = frame(spark, rows)
+    seen = {}
+    plain = common.written
+
+    def kept(df, name):
+        seen[name] = plain(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(near_dup, "written", kept)
+    got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in rows_of(near_dup.near_groups(docs)))
+    assert got == brute_groups(text_of(docs)) and sum(n for *_, n in got) == 60
+    bands, _ = near_dup.bands_and_rows()
+    groups = Counter(f for r in seen["members"].select("firsts").collect() for f in set(r["firsts"]) - {-1})
+    assert sum(groups.values()) <= bands * len(rows)
+    assert sum(n * n for n in groups.values()) < 0.25 * len(rows) ** 2 and max(groups.values()) < len(rows) / 2
+
+
+def test_hubs_of_components_are_salted(spark):
+    edges = spark.range(3000).selectExpr("id + 5 as a", "0L as b").union(spark.sql("select 9000L a, 9001L b"))
+    found = {r["node"]: r["root"] for r in near_dup.components(edges).collect()}
+    assert len(found) == 3003 and {v for k, v in found.items() if k < 9000} == {0} and found[9001] == found[9000] == 9000
+
+
 def test_bands_reach_the_recall():
     bands, rows = near_dup.bands_and_rows(0.8, 0.9999, 300)
     assert bands * rows <= 300 and 1 - (1 - 0.8**rows) ** bands >= 0.9999
