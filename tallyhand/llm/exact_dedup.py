@@ -9,6 +9,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyhand.llm.common import written
+
 #: A map task's trie gives its largest subtree to the shuffle beyond so many bytes of text.
 TRIE_BYTES = 48 << 20
 _PARTIAL = "n_bytes bigint, digest string, body binary, keep_id bigint, n bigint"
@@ -187,8 +189,10 @@ def exact_groups(docs: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
         .groupBy("doc_id", "n_bytes", "digest")
         .agg(F.count("*").alias("_copies"))
     )
+    # written, so that the join's sides are plain shuffles, of which adaptive execution can split a large group's
+    owned = written(owners(docs, trie_bytes), "owners")
     return (
-        ids.join(owners(docs, trie_bytes), ["n_bytes", "digest"])
+        ids.join(owned, ["n_bytes", "digest"])
         .select("doc_id", "keep_id", "group_size", F.col("digest").alias("text_sha256"), F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy"))
         .select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_copy") == 1)).alias("kept"), "text_sha256")
     )
@@ -197,7 +201,7 @@ def exact_groups(docs: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
 def without_copies(docs: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
     """The documents that stay, with all their columns; one row of each group of equal texts."""
     key = {"_kept_id": F.col("doc_id").cast("long"), "_kept_digest": F.sha2(normalised(F.col("text")), 256)}
-    kept = owners(docs, trie_bytes).select(F.col("keep_id").alias("_keep_id"), F.col("digest").alias("_digest"))
+    kept = written(owners(docs, trie_bytes), "owners").select(F.col("keep_id").alias("_keep_id"), F.col("digest").alias("_digest"))
     staying = docs.withColumns(key)
     found = staying.join(kept, (staying["_kept_digest"] == kept["_digest"]) & staying["_kept_id"].eqNullSafe(kept["_keep_id"]), "left_semi")
     return found.dropDuplicates(["_kept_id", "_kept_digest"]).drop(*key)
