@@ -276,6 +276,13 @@ def test_shards(request, name):
         assert len(held) == 40 and max(held.values()) <= max(1.05 * mean, largest) and min(held.values()) >= 0.9 * mean - max(0, largest - mean)
 
 
+def test_each_range_has_a_partition(spark):
+    for n in (1, 2, 7, 64, 200):
+        numbers = ranges.own_partitions(spark, n)
+        rows = spark.createDataFrame([(x,) for x in numbers], "p long").repartition(n, "p").select(F.spark_partition_id().alias("at")).collect()
+        assert sorted(r["at"] for r in rows) == list(range(n))
+
+
 def test_ranges_subdivide_a_hot_key(spark):
     rows = spark.range(6000).select(F.when(F.col("id") < 3000, 7).otherwise(F.col("id")).alias("k"), F.col("id"), F.lit(10).cast("long").alias("w"))
     keyed = common.written(rows.select(ranges.sortable(F.col("k"), F.col("id")).alias("key"), "w"), "test")
@@ -400,7 +407,9 @@ def test_exact_counts_of_any_alphabet_in_pieces(monkeypatch):
 
 
 @pytest.mark.parametrize("name", ["documents", "awkward"])
-def test_packing(request, name):
+@pytest.mark.parametrize("group", [8192, 30])
+def test_packing(request, monkeypatch, name, group):
+    monkeypatch.setattr(packing, "GROUP", group)
     docs = request.getfixturevalue(name)
     got = rows_of(packing.pack(docs, 512))
     texts = text_of(docs)
@@ -417,6 +426,26 @@ def test_packing(request, name):
         assert all(a + n <= b or n == 0 or m == 0 for (a, n), (b, m) in zip(spans, spans[1:]))
 
 
+def test_rounds_bring_half_filled_bins_together(spark, monkeypatch):
+    """Many small groups end with about as many bins as one group does."""
+    draw = np.random.default_rng(8)
+    docs = frame(spark, [(i, f"w{i} " * int(draw.integers(1, 400)), None, f"s{draw.integers(0, 40)}") for i in range(600)])
+    bins = lambda: len({r["bin"] for r in rows_of(packing.pack(docs, 512))})
+    whole = bins()
+    monkeypatch.setattr(packing, "GROUP", 40)
+    assert bins() <= 1.05 * whole
+    monkeypatch.setattr(packing, "SHRINK", 0.0)  # one round only
+    assert bins() > 1.05 * whole
+
+
+def test_clusters_may_be_named(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", f"s{i}", i % 2) for i in range(10)], "doc_id long, text string, source string, class_id long")
+    held = defaultdict(list)
+    for r in rows_of(packing.pack(docs, 100, cluster="class_id")):
+        held[r["bin"]].append(r["doc_id"] % 2)
+    assert sorted(map(sorted, held.values())) == [[0, 1]] * 5
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     rng = np.random.default_rng(3)
     bins, plain = packing.Bins(100), []
