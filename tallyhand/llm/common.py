@@ -16,8 +16,15 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a folder of this process only where none is named."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """The folder all executors share, as the session names it.
+
+    Where none is named it is the warehouse; a folder of this machine is used only if all tasks
+    run on it too, as in tests.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and spark.sparkContext.master.split("[")[0] != "local":
+        return spark.conf.get("spark.sql.warehouse.dir")
+    return named or _own_folder()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
