@@ -119,16 +119,17 @@ MONTH_NAMES = {
     "janeiro": 1, "fevereiro": 2, "março": 3, "abril": 4, "maio": 5, "junho": 6, "julho": 7,
     "agosto": 8, "setembro": 9, "outubro": 10, "novembro": 11, "dezembro": 12, "marco": 3,
 }
-# The stamp each site prints in its header.
+# The stamp each site prints in its header, with the zone that may follow.
 SITE_STAMPS = {
-    "pokerstars": r"-\s+(\d{4}/\d{2}/\d{2}\s+\d{2}:\d{2}:\d{2})",
-    "wpn": r"-\s+(\d{4}/\d{2}/\d{2}\s+\d{2}:\d{2}:\d{2})",
-    "ggpoker": r"-\s+(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2})",
-    "winamax": r"-\s+(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2})",
+    "pokerstars": r"-\s+(?<ts>\d{4}/\d{2}/\d{2}\s+\d{2}:\d{2}:\d{2})(?:\s*\((?<tzAlt>[^)]+)\))?\s*(?<tz>[A-Z]{2,4})?",
+    "ggpoker": r"-\s+(?<ts>\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2})(?:\s*(?<tz>UTC|GMT|CET|CEST|[+-]\d{2}:?\d{2}))?",
+    "888poker": r"(?<ts>\d{4}[-/]\d{2}[-/]\d{2}\s+\d{2}:\d{2}:\d{2})\s*(?<tz>[A-Z]{2,4})?",
+    "888pt_iso": r"(?<ts>\d{4}[-/]\d{2}[-/]\d{2}\s+\d{2}:\d{2}:\d{2})\s*(?<tz>[A-Z]{2,4})?",
+    "888pt_localized": r"(?<day>\d{1,2})\s+(?<month>[A-Za-zçã]+)\s+(?<year>\d{4})\s+(?<time>\d{2}:\d{2})\s*(?<tz>[A-Z]{2,4})?",
+    "888_numeric": r"(?<day>\d{1,2})\s+(?<month>\d{2})\s+(?<year>\d{4})\s+(?<time>\d{2}:\d{2}:\d{2})",
+    "winamax": r"-\s+(?<ts>\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2})\s*(?<tz>[A-Z]{2,4})?",
+    "wpn": r"-\s+(?<ts>\d{4}/\d{2}/\d{2}\s+\d{2}:\d{2}:\d{2})(?:\s*\((?<tzAlt>[^)]+)\))?\s*(?<tz>[A-Z]{2,4})?",
 }
-ANY_STAMP = r"(\d{4}[-/]\d{2}[-/]\d{2}\s+\d{2}:\d{2}:\d{2})"
-NUMERIC_DAY = r"(\d{1,2})\s+(\d{2})\s+(\d{4})\s+\d{2}:\d{2}:\d{2}"
-NAMED_DAY = r"(\d{1,2})\s+([A-Za-zçã]+)\s+(\d{4})\s+\d{2}:\d{2}"
 
 
 def month_in_header(text: Column, site: Column, chars: int | None = None) -> Column:
@@ -145,14 +146,14 @@ def month_in_header(text: Column, site: Column, chars: int | None = None) -> Col
     def read(head: Column) -> Column:
         grab = lambda p, g: F.nullif(F.regexp_extract(head, p, g), F.lit(""))
         month = lambda y, m: F.concat(y, F.lit("-"), F.lpad(m, 2, "0"))
-        numeric = month(grab(NUMERIC_DAY, 3), grab(NUMERIC_DAY, 2))
-        named = month(grab(NAMED_DAY, 3), lookup(MONTH_NAMES, F.lower(grab(NAMED_DAY, 2))).cast("string"))
-        stamped = lambda p: F.translate(F.substring(grab(p, 1), 1, 7), "/", "-")
-        out = F.when(site.isin("888pt", "888.pt"), F.coalesce(numeric, named, stamped(ANY_STAMP)))
-        out = out.when(site == "888poker", F.coalesce(numeric, stamped(ANY_STAMP)))
-        for pattern in sorted(set(SITE_STAMPS.values())):
-            names = [n for n, p in SITE_STAMPS.items() if p == pattern]
-            out = out.when(site.isin(names), stamped(pattern))
+        by_number, by_name = SITE_STAMPS["888_numeric"], SITE_STAMPS["888pt_localized"]
+        numeric = month(grab(by_number, 3), grab(by_number, 2))
+        named = month(grab(by_name, 3), lookup(MONTH_NAMES, F.lower(grab(by_name, 2))).cast("string"))
+        stamped = lambda name: F.translate(F.substring(grab(SITE_STAMPS[name], 1), 1, 7), "/", "-")
+        out = F.when(site.isin("888pt", "888.pt"), F.coalesce(numeric, named, stamped("888pt_iso")))
+        out = out.when(site == "888poker", F.coalesce(numeric, stamped("888poker")))
+        for name in ("pokerstars", "ggpoker", "winamax", "wpn"):
+            out = out.when(site == name, stamped(name))
         return out
 
     return let(F.substring(text, F.lit(1), end), read)
