@@ -279,6 +279,13 @@ def stat_hits(spark, sf_dir):
     FROM hits GROUP BY grp""",
 )
 def distinct_hands(spark, sf_dir):
+    hands = labelled(spark, sf_dir).withColumn("hand_id", F.col("h").cast("string"))
+    return cubes.distinct_counted(opportunities.counted_hands(hands, catalogue.catalogue(by_seat=True), _POSTFLOP))
+
+
+@query("distinct_hands_of_index", ORACLES["distinct_hands"])
+def distinct_hands_of_index(spark, sf_dir):
+    """The same from the id index."""
     return cubes.distinct_hands(_hits(spark, sf_dir), _POSTFLOP)
 
 
@@ -303,7 +310,9 @@ def manifest_rollup(spark, sf_dir):
 )
 def stat_drilldown(spark, sf_dir):
     hands = tables.hands(spark, sf_dir).select(F.col("h").cast("string").alias("hand_id"), "site", "file_id")
-    return reports.drill_down(_hits(spark, sf_dir), hands, "POST_CBET_FLOP_OOP", "postflop_all", "attempts")
+    facts_ = labelled(spark, sf_dir).withColumn("hand_id", F.col("h").cast("string"))
+    hits = opportunities.stat_hits(facts_, catalogue.catalogue(by_seat=True), stat_ids=["POST_CBET_FLOP_OOP"])
+    return reports.drill_down(hits, hands, "POST_CBET_FLOP_OOP", "postflop_all", "attempts")
 
 
 @query(

@@ -207,9 +207,8 @@ def _count(source: str, table: dict[str, tuple[str, str]]) -> str:
 
 
 def _counts(spark, sf_dir, names):
-    flagged, stats = counters.with_flags(counters.read_hands(handtext.texts(spark, sf_dir)))
-    cube = counters.count_flags(flagged, [(n, None) for n in stats], ["site"])
-    return cube.where(F.col("stat_id").isin(list(names)))
+    flagged, stats = counters.with_flags(counters.read_hands(handtext.texts(spark, sf_dir)), list(names))
+    return counters.count_flags(flagged, [(n, None) for n in stats], ["site"])
 
 
 @query("preflop_counters", f"{TOKENS} {_count('pre', PRE_SQL)}")
@@ -271,9 +270,8 @@ def _of_sites(sql: str) -> str:
 
 
 def _printed(spark, sf_dir, names):
-    flagged, stats = counters.with_flags(counters.read_hands(handtext.site_texts(spark, sf_dir)))
-    cube = counters.count_flags(flagged, [(n, None) for n in stats], ["site"])
-    return cube.where(F.col("stat_id").isin(list(names)))
+    flagged, stats = counters.with_flags(counters.read_hands(handtext.site_texts(spark, sf_dir)), list(names))
+    return counters.count_flags(flagged, [(n, None) for n in stats], ["site"])
 
 
 @query("site_preflop_counters", f"SELECT * FROM ({_of_sites(TOKENS)} {_count('pre', PRE_SQL)}) WHERE site <> 'other'")

@@ -92,6 +92,14 @@ def distinct_hands(hits: DataFrame, postflop_stats: list[str]) -> DataFrame:
     )
 
 
+def distinct_counted(rows: DataFrame) -> DataFrame:
+    """``distinct_hands`` from ``opportunities.counted_hands``: a few rows a hand in the place of one for each metric."""
+    once = rows.groupBy("grp", "hand_id").agg(F.max(F.col("marked").cast("int")).alias("post"))
+    return once.groupBy("grp").agg(
+        F.count(F.lit(1)).alias("hand_count"), F.sum("post").cast("bigint").alias("postflop_hands_count")
+    )
+
+
 def keyword_stats(cube: DataFrame, keywords: list[str]) -> DataFrame:
     """Rows whose metric name contains any keyword, whatever the case."""
     name = F.lower("stat_id")

@@ -367,20 +367,21 @@ def postflop_flags() -> dict[str, tuple[Column, Column]]:
     return out
 
 
-def with_flags(parsed: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Flag columns ``o0, a0, ...`` and the counter names in that order."""
+def with_flags(parsed: DataFrame, names: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """Flag columns ``o0, a0, ...`` and the counter names in that order; with ``names`` only of those counters."""
     df = with_stack_rules(with_words(parsed))
-    flags = {**preflop_flags(), **postflop_flags()}
+    every = {**preflop_flags(), **postflop_flags()}
+    flags = {name: pair for name, pair in every.items() if names is None or name in names}
     cols = {}
     for i, (opp, att) in enumerate(flags.values()):
         cols[f"o{i}"], cols[f"a{i}"] = opp, att
-    cols["player_sum"] = F.when(flags["W$WSF Rating"][0], F.size("_flop_players")).otherwise(F.lit(0))
+    cols["player_sum"] = F.when(every["W$WSF Rating"][0], F.size("_flop_players")).otherwise(F.lit(0))
     return df.withColumns(cols), list(flags)
 
 
-def count_text_hands(hands: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """(keys..., stat_id, opportunities, attempts) of all counters, VPIP rows included."""
-    flagged, names = with_flags(read_hands(hands, text))
+def count_text_hands(hands: DataFrame, keys: list[str], text: str = "text", only: list[str] | None = None) -> DataFrame:
+    """(keys..., stat_id, opportunities, attempts) of all counters, or ``only`` some, VPIP rows included."""
+    flagged, names = with_flags(read_hands(hands, text), only)
     cube = count_flags(flagged, [(n, None) for n in names], keys)
     return cube.unionByName(vpip_from_parts(cube, keys, ["EP", "MP", "CO", "BTN"]))
 

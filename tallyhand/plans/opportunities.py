@@ -77,12 +77,13 @@ def count_hands(facts: DataFrame, metrics: list[dict]) -> DataFrame:
     return count_metrics(facts, metrics, keys=["month"], groups="groups")
 
 
-def stat_hits(facts: DataFrame, metrics: list[dict], hand_id: str = "hand_id") -> DataFrame:
+def stat_hits(facts: DataFrame, metrics: list[dict], hand_id: str = "hand_id", stat_ids: list[str] | None = None) -> DataFrame:
     """The id index: one row per (month, grp, stat_id, kind, hand_id) that was counted.
 
     This is what drill-down joins against; it is written partitioned and never
-    collected.
+    collected. With ``stat_ids`` only those metrics are tested, and only what they need is derived.
     """
+    metrics = [m for m in metrics if stat_ids is None or m["id"] in stat_ids]
     flagged = _flags(facts, metrics)
     hits = F.array_compact(
         F.array(
@@ -106,5 +107,22 @@ def stat_hits(facts: DataFrame, metrics: list[dict], hand_id: str = "hand_id") -
     )
 
 
+def counted_hands(facts: DataFrame, metrics: list[dict], marked: list[str], hand_id: str = "hand_id") -> DataFrame:
+    """(grp, hand_id, marked): the groups in which any metric counted a hand, and whether one of the ``marked`` metrics did.
+
+    The tests of all metrics fold into two booleans a group before the labels are exploded.
+    """
+    flagged = _flags(facts, metrics)
+    labels = dict.fromkeys(g for m in metrics for g in m["applies_to_groups"])
+
+    def any_of(label: str, stats: list[str] | None) -> str:
+        flags = [f"o{i} OR a{i}" for i, m in enumerate(metrics) if label in m["applies_to_groups"] and (stats is None or m["id"] in stats)]
+        return f"coalesce({' OR '.join(flags)}, false)" if flags else "false"
+
+    cells = ", ".join(f"named_struct('grp', '{g}', 'counted', {any_of(g, None)}, 'marked', {any_of(g, marked)})" for g in labels)
+    rows = flagged.select("groups", F.col(hand_id).alias("hand_id"), F.expr(f"inline(array({cells}))"))
+    return rows.where(F.col("counted") & F.array_contains("groups", F.col("grp"))).select("grp", "hand_id", "marked")
+
+
 def with_percentage(cube: DataFrame, decimals: int = 2) -> DataFrame:
     return cube.withColumn("percentage", ratio_pct(F.col("attempts"), F.col("opportunities"), decimals))
