@@ -119,11 +119,11 @@ def _sketched(parts: Iterator[pd.DataFrame], bands: int, rows: int, words: int)
         yield done(run)
 
 
-def _meet(pairs: DataFrame, least: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the least of a; a's pairs are dealt to ``SALTS`` tasks, so a hub is no single key."""
-    salted = pairs.withColumn("_salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
-    spread = least.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return salted.join(spread, ["a", "_salt"]).drop("_salt")
+def _meet(rows: DataFrame, one: DataFrame, key: str, by: str) -> DataFrame:
+    """Rows with the one row that each key has; a key's rows are dealt by another column, so a hub is no single task."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    spread = one.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(spread, [key, "_salt"]).drop("_salt")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -142,9 +142,9 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
         both = pairs.union(pairs.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = _meet(both.where("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = _meet(both.where("b > a"), least, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = _meet(large, least).select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
+        small = _meet(large, least, "a", "b").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
         pairs = written(small.select(F.col("e.a").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct(), "edges")
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).union(pairs.select("b", "b").distinct())
 
@@ -241,7 +241,7 @@ def _sets_and_links(docs: DataFrame, similarity: float, recall: float, words: in
     groups = members.select("uid", "n", F.explode(F.array_distinct(F.filter("firsts", lambda f: f >= 0))).alias("first"))
     blocks = F.ceil(F.greatest(F.col("_texts") / BLOCK_TEXTS, F.col("_grams") / BLOCK_GRAMS)).cast("int")
     sized = groups.groupBy("first").agg(F.count("*").alias("_texts"), F.sum("n").alias("_grams")).select("first", blocks.alias("blocks"))
-    placed = groups.join(sized, "first").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks").cast("long")).cast("int"))
+    placed = _meet(groups, sized, "first", "uid").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks").cast("long")).cast("int"))
     dealt = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("uid", "first", "block", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"))
     compared = written(dealt.join(held, "uid").groupBy("first", "low", "high").applyInPandas(lambda group: _compare(group, similarity), _LINKS), "links")
