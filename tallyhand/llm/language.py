@@ -245,7 +245,8 @@ def with_known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
     those by ``MARGIN`` and ``SPREADS`` times the distance from median to lower quartile, which a
     few odd training texts do not move. Texts of fewer than ``ENOUGH`` n-grams are too short.
     """
-    told = written(predict(docs, train(docs.where(~held_out(F.col("doc_id"))).select("lang", "text"))), "told")
+    model = train(docs.where(~held_out(F.col("doc_id"))).select("lang", "text"))
+    told = written(predict(docs, model), "told")
     long = F.length("text") * len(ORDERS) >= ENOUGH
     floors = (
         told.where(~held_out(F.col("doc_id")) & (F.col("lang") == F.col("_lang")) & long)
@@ -254,5 +255,9 @@ def with_known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
         .select("_of", (F.get("_q", F.lit(1)) - MARGIN - SPREADS * (F.get("_q", F.lit(1)) - F.get("_q", F.lit(0)))).alias("_floor"))
     )
     known = told.where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= least))
-    judged = known.join(floors, known["_lang"] == floors["_of"], "left")
+    if model[0] is None:
+        judged = known.join(floors, known["_lang"] == floors["_of"], "left")
+    else:  # one number for each language of the matrix; texts need not move to meet it
+        cells = [F.lit(x) for r in floors.collect() for x in (r["_of"], r["_floor"])]
+        judged = known.withColumn("_floor", F.create_map(*cells)[F.col("_lang")] if cells else F.lit(None).cast("double"))
     return judged.where(F.col("_floor").isNull() | ~long | (F.col("_mean") >= F.col("_floor"))).select(*docs.columns)
