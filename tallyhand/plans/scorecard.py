@@ -260,7 +260,11 @@ def postflop_subgroups(scored: DataFrame, by: list[str] | None = None) -> DataFr
         F.sum("weight").alias("raw"),
         steady_round(F.coalesce(weighted_mean(F.col("score"), F.when(F.col("weight") > 0, F.col("weight"))), F.lit(0.0)), 1).alias("score"),
     )
-    return rescaled(rows.withColumnRenamed("raw", "weight").withColumn("_all", F.lit(1)), [*(by or []), "_all"]).drop("_all")
+    # as many subgroups as the goals name: their shares are taken inside one row
+    listed = rows.groupBy(*(by or [])).agg(F.collect_list(F.struct("subgroup", "raw", "score")).alias("_rows"), F.sum("raw").alias("_all"))
+    share = lambda r: F.when(F.col("_all") != 0, r["raw"] / F.col("_all")).otherwise(r["raw"])
+    cells = F.transform("_rows", lambda r: F.struct(r["subgroup"].alias("subgroup"), share(r).alias("weight"), r["score"].alias("score")))
+    return listed.select(*(by or []), F.inline(cells))
 
 
 def postflop_overall(subgroups: DataFrame, weights: DataFrame, by: list[str] | None = None) -> DataFrame:
