@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallyhand.llm.common import written
 
 #: A map task's trie gives its largest subtree to the shuffle beyond so many bytes of text.
-TRIE_BYTES = 48 << 20
+TRIE_BYTES = 16 << 20
 _PARTIAL = "n_bytes bigint, digest string, body binary, keep_id bigint, n bigint"
 _OWNER = "n_bytes bigint, digest string, told bigint, keep_id bigint, n bigint"
 #: Hex digits of a text's hash that, with its length, choose the trie it goes to.

@@ -27,7 +27,7 @@ BLOCK_GRAMS = 500_000
 #: Tasks that the edges of one node of a component are dealt to.
 SALTS = 8
 _WORD = re.compile(r"\w+")
-_REMEMBERED = 400_000
+_REMEMBERED = 150_000
 _GRAMS = 1 << 17
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
