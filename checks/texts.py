@@ -106,9 +106,9 @@ def header_metadata(spark, sf_dir):
     TEXTS + " SELECT h, CAST(seat AS INT) AS seat, name, stack AS chips FROM seated",
 )
 def seat_stack_rows(spark, sf_dir):
-    rows = handtext.texts(spark, sf_dir).select("h", ht.seat_list(F.col("text")).alias("s"), ht.stack_list(F.col("text")).alias("c"))
-    seat = rows.select("h", F.inline("s"))
-    chips = rows.select("h", F.inline("c"))
+    rows = handtext.texts(spark, sf_dir)
+    seat = rows.select("h", F.inline(ht.seat_list(F.col("text"))))
+    chips = rows.select("h", F.inline(ht.stack_list(F.col("text"))))
     return seat.join(chips, ["h", "name"])
 
 
@@ -123,13 +123,7 @@ _VERBS = "CASE WHEN type = 'FOLD' THEN 'folds' WHEN type = 'CHECK' THEN 'checks'
     FROM acts WHERE type NOT IN ('POST_SB', 'POST_BB')""",
 )
 def action_rows(spark, sf_dir):
-    streets = ["preflop", "flop", "turn", "river"]
-    rows = handtext.texts(spark, sf_dir).select("h", *[ht.street_actions(F.col("text"), s).alias(s) for s in streets])
-    out = None
-    for s in streets:
-        part = rows.select("h", F.lit(s).alias("street"), F.posexplode(s).alias("pos", "a")).select("h", "street", "pos", "a.*")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return handtext.texts(spark, sf_dir).select("h", F.inline(ht.hand_actions(F.col("text"))))
 
 
 @query(

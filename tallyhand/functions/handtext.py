@@ -381,7 +381,7 @@ def street_actions(text: Column, street: str) -> Column:
             put_in = F.lit(0.0)
         else:
             money = F.coalesce(F.nullif(group(4), F.lit("")), group(3))
-            put_in = F.when(money == "", F.lit(0.0)).otherwise(amount_us(money))
+            put_in = let(money, lambda m: F.when(m == "", F.lit(0.0)).otherwise(amount_us(m)))
         return F.struct(
             F.trim(group(1)).alias("player"), group(2).alias("verb"), put_in.alias("amount"), F.lower(line).rlike("all[- ]in").alias("allin")
         )
@@ -391,6 +391,21 @@ def street_actions(text: Column, street: str) -> Column:
     return F.filter(F.transform(lines, read), lambda a: a["verb"] != "posts")
 
 
+def hand_actions(text: Column) -> Column:
+    """``array<struct<street, pos, player, verb, amount, allin>>``: the action lines of all streets, ``pos`` counted on each.
+
+    Exploded as it is, all streets of a hand are one row of one pass. Exploding a column that
+    holds the array instead makes Spark add a filter on its size, which is pushed below the
+    columns the array is made of and computes the text anew wherever it is named.
+    """
+
+    def placed(street: str) -> Column:
+        row = lambda a, pos: F.struct(F.lit(street).alias("street"), pos.alias("pos"), *[a[f].alias(f) for f in ("player", "verb", "amount", "allin")])
+        return F.transform(street_actions(text, street), row)
+
+    return F.concat(*[placed(street) for street in STREET_OPEN])
+
+
 # --- how a hand ended ---------------------------------------------------------------
 
 

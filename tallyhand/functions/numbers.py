@@ -47,7 +47,7 @@ def amount_simple(value: Column) -> Column:
 
 def amount_us(value: Column) -> Column:
     """Point decimals, comma thousands; 0.0 when nothing can be read."""
-    return F.coalesce(_float(F.regexp_replace(value, r"[€$£¥R,\s\[\]]", "")), F.lit(0.0))
+    return F.coalesce(let(F.regexp_replace(value, r"[€$£¥R,\s\[\]]", ""), _float), F.lit(0.0))
 
 
 def decimal_comma(value: Column) -> Column:

@@ -96,6 +96,17 @@ def test_reading_a_hand(spark):
     assert not one(spark, ht.showdown_seen(t))
 
 
+def test_actions_of_all_streets(spark):
+    rows = spark.createDataFrame([(1, HAND), (2, HAND.split("*** FLOP")[0]), (3, "no hand"), (4, None), (4, HAND)], "h int, text string")
+    got = rows.select("h", F.inline(ht.hand_actions(F.col("text")))).collect()
+    assert {h: sum(r.h == h for r in got) for h in (1, 2, 3, 4)} == {1: 11, 2: 4, 3: 0, 4: 11}
+    flop = [(r.pos, r.player, r.verb, r.amount, r.allin) for r in got if r.h == 1 and r.street == "flop"]
+    assert sorted(flop) == [(0, "Ed", "checks", 0.0, False), (1, "Al Bo", "bets", 8.0, False), (2, "Ed", "calls", 8.0, False)]
+    for street in ht.STREET_OPEN:
+        each = rows.where("h = 1").select(F.posexplode(ht.street_actions(F.col("text"), street)).alias("pos", "a")).select("pos", "a.*").collect()
+        assert sorted(tuple(r) for r in each) == sorted((r.pos, r.player, r.verb, r.amount, r.allin) for r in got if r.h == 1 and r.street == street)
+
+
 def test_names_without_colon(spark):
     text = "** Dealing down cards **\nbob raises [1.400]\nal: folds\n** Dealing flop **\nbob bets [350]\nal b calls $[350]\n** Summary **"
     assert [(a.player, a.verb) for a in one(spark, ht.street_actions(F.lit(text), "preflop"))] == [("bob", "raises"), ("al", "folds")]
