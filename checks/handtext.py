@@ -79,7 +79,7 @@ FORMS = {
 
 def site_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(h, site, hero, text): each hand as its site prints it."""
-    hands, out = tables.hands(spark, sf_dir), None
+    said = None
     for site, form in FORMS.items():
         colon, amount = form["colon"], f"format_string('{form['money']}', a.amount)"
         raises = "concat('" + form["to"].replace("{m}", f"', {amount}, '") + "')"
@@ -94,6 +94,5 @@ def site_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(shown, F.concat(F.lit(f"\n{form['shown']}"), "hero", F.lit(f"{colon} shows [Ah Kd]"))).otherwise(F.lit("")),
             F.when(won, F.concat(F.lit("\n"), "hero", F.lit(" collected 12 from pot"))).otherwise(F.lit("")), F.lit(f"\n{form['end']}Total pot 12"),
         )
-        part = hands.where(F.col("site") == site).select("h", "site", "hero", text.alias("text"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        said = F.when(F.col("site") == site, text) if said is None else said.when(F.col("site") == site, text)
+    return tables.hands(spark, sf_dir).where(F.col("site").isin(*FORMS)).select("h", "site", "hero", said.alias("text"))

@@ -310,10 +310,4 @@ def site_players(spark, sf_dir):
 )
 def site_action_rows(spark, sf_dir):
     """Action lines of all five forms, with who did what and for how much."""
-    streets = ["preflop", "flop", "turn", "river"]
-    rows = handtext.site_texts(spark, sf_dir).select("h", *[ht.street_actions(F.col("text"), s).alias(s) for s in streets])
-    parts = [rows.select("h", F.lit(s).alias("street"), F.posexplode(s).alias("pos", "a")).select("h", "street", "pos", "a.*") for s in streets]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return handtext.site_texts(spark, sf_dir).select("h", F.inline(ht.hand_actions(F.col("text"))))

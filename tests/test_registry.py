@@ -54,3 +54,10 @@ def test_counting_shuffles_hands_once(spark, sf_dir):
     # one exchange to build the fixture hands from events, one for the counts
     assert plan.count("Exchange hashpartitioning") == 2
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("name, mark, times", [("action_rows", "PokerStars Hand #", 1), ("site_action_rows", "PokerStars Hand #", 1), ("seat_stack_rows", "PokerStars Hand #", 2)])
+def test_texts_are_written_once_a_pass(spark, sf_dir, name, mark, times):
+    # an exploded column would bring a filter on its size, in which the text is computed again
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(mark) == times
