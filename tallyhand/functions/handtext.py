@@ -59,9 +59,11 @@ def _dealt(text: Column) -> Column:
 
 def is_summary(text: Column, chars: int | None = None) -> Column:
     """A tournament summary: a phrase before the first street (or in the first ``chars`` characters), or a site name without seats and cards."""
-    said = F.lower(head(text, chars))
-    phrase = any_of(*[said.contains(p) for p in SUMMARY_PHRASES])
-    return phrase | (said.contains("pokerstars") & ~_dealt(text) & ~text.rlike(SEAT))
+    bare = ~_dealt(text) & ~text.rlike(SEAT)
+    return let(
+        F.lower(head(text, chars)),
+        lambda said: any_of(*[said.contains(p) for p in SUMMARY_PHRASES]) | (said.contains("pokerstars") & bare),
+    )
 
 
 def is_summary_file(text: Column, name: Column, chars: int | None = None) -> Column:
@@ -74,8 +76,7 @@ def is_summary_file(text: Column, name: Column, chars: int | None = None) -> Col
 
 def is_cash_game(text: Column, chars: int | None = None) -> Column:
     """No tournament named before the first street (or in the first ``chars`` characters), but seats there and cards dealt."""
-    said = head(text, chars)
-    return ~said.rlike(TOURNAMENT) & said.rlike(SEAT) & _dealt(text)
+    return let(head(text, chars), lambda said: ~said.rlike(TOURNAMENT) & said.rlike(SEAT) & _dealt(text))
 
 
 def has_essentials(text: Column, chars: int | None = None) -> Column:
@@ -123,8 +124,7 @@ def _lines(text: Column) -> Column:
 
 
 def _is_888(text: Column, chars: int | None = None) -> Column:
-    said = head(text, chars)
-    return said.contains("888poker") | said.contains("#Game No")
+    return let(head(text, chars), lambda said: said.contains("888poker") | said.contains("#Game No"))
 
 
 def active_players(text: Column, chars: int | None = None) -> Column:
@@ -160,14 +160,15 @@ def active_players(text: Column, chars: int | None = None) -> Column:
     who = r"(?i)^(.+?)\s+(?:posts\s+(?:small\s+blind|big\s+blind|ante)\s+\[|folds|checks|calls|bets|raises|All-?in)"
     actors = F.filter(F.transform(window, lambda x: F.trim(F.regexp_extract(x, who, 1))), lambda n: n != "")
     by_action = F.when(deal_at > 0, F.size(F.array_distinct(actors))).otherwise(F.lit(0))
-    return F.when(_is_888(text, chars), by_action).when(wpn, wpn_count).otherwise(F.size(F.filter(lines, seated)))
+    return F.when(_is_888(text, chars), by_action).when(wpn, wpn_count).otherwise(
+        F.size(F.filter(lines, lambda x: x.contains("Seat") & seated(x)))
+    )
 
 
 def table_format(text: Column) -> Column:
     """``6-max`` for 4-6 active players, ``9-max`` for 7 and more, else ``discard``."""
-    n = active_players(text)
     absent = _is_888(text) & ~text.contains("Dealt to")
-    return F.when(absent | (n < 4), "discard").when(n <= 6, "6-max").otherwise("9-max")
+    return let(active_players(text), lambda n: F.when(absent | (n < 4), "discard").when(n <= 6, "6-max").otherwise("9-max"))
 
 
 # Identifier shapes, in order of preference.

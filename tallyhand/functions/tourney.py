@@ -3,7 +3,7 @@
 from pyspark.sql import Column, functions as F
 
 from tallyhand.functions import handtext
-from tallyhand.functions.columns import any_of, yes
+from tallyhand.functions.columns import any_of, let, yes
 
 # Group labels.
 NONKO_9MAX, NONKO_6MAX = "nonko_9max_pref", "nonko_6max_pref"
@@ -90,22 +90,18 @@ def class_from_text(text: Column, chars: int | None = None, lines: int | None =
     lines tell a fixed bounty from a mystery one. That site and its buy-in are looked for
     before the first street, or in ``chars`` characters, ``lines`` lines and ``seat_chars`` characters.
     """
-    low = F.lower(text)
-    mystery = any_of(*[low.rlike(p) for p in MYSTERY_SHAPES])
-    bounty = any_of(*[low.rlike(p) for p in BOUNTY_SHAPES])
+    named = let(
+        F.lower(text),
+        lambda low: F.when(any_of(*[low.rlike(p) for p in MYSTERY_SHAPES]), "MYSTERIES")
+        .when(any_of(*[low.rlike(p) for p in BOUNTY_SHAPES]), "PKO")
+        .otherwise("NON-KO"),
+    )
     ours = handtext.head(text, chars).contains("PokerStars Hand #")
     head = F.split(handtext.top(text), "\n") if lines is None else F.slice(F.split(text, "\n", lines + 1), 1, lines)
-    named = F.filter(head, lambda line: line.contains("PokerStars"))
-    header = F.coalesce(F.get(named, F.lit(0)), F.get(head, F.lit(0)))
+    header = let(head, lambda lines: F.coalesce(F.get(F.filter(lines, lambda line: line.contains("PokerStars")), F.lit(0)), F.get(lines, F.lit(0))))
     three = ours & yes(header.rlike(THREE_PART_BUYIN))
     seat_bounty = handtext.head(text, seat_chars).rlike(SEAT_BOUNTY)
-    return (
-        F.when(three & seat_bounty, "PKO")
-        .when(three, "MYSTERIES")
-        .when(mystery, "MYSTERIES")
-        .when(bounty, "PKO")
-        .otherwise("NON-KO")
-    )
+    return let(three, lambda bounties: F.when(bounties & seat_bounty, "PKO").when(bounties, "MYSTERIES").otherwise(named))
 
 
 # Whole words looked for in file names and contents.

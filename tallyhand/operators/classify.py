@@ -26,12 +26,12 @@ def _verdict(text: Column, name: Column, kind: Column, size: Column) -> Column:
         .when(~kind.isin("PKO", "NON-KO"), "other")
         .when((kind == "NON-KO") & ~size.isin("6-max", "9-max"), "invalid_format")
     )
-    grp = F.when(
-        reason.isNull(),
-        F.when(kind == "PKO", "pko").when(size == "6-max", "nonko_6max").otherwise("nonko_9max"),
-    )
-    return F.struct(
-        grp.alias("grp"), reason.alias("discard_reason"), kind.alias("tournament_type"), size.alias("table_format")
+    grp = F.when(kind == "PKO", "pko").when(size == "6-max", "nonko_6max").otherwise("nonko_9max")
+    return let(
+        reason,
+        lambda why: F.struct(
+            F.when(why.isNull(), grp).alias("grp"), why.alias("discard_reason"), kind.alias("tournament_type"), size.alias("table_format")
+        ),
     )
 
 

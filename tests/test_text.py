@@ -107,6 +107,13 @@ def test_actions_of_all_streets(spark):
         assert sorted(tuple(r) for r in each) == sorted((r.pos, r.player, r.verb, r.amount, r.allin) for r in got if r.h == 1 and r.street == street)
 
 
+def test_top_section_is_cut_once(spark):
+    # bound once, however many phrases and rules look at it
+    cuts = lambda col: spark.createDataFrame([], "text string").select(col.alias("x"))._jdf.queryExecution().analyzed().toString().count("** Summary **")
+    t = F.col("text")
+    assert (cuts(ht.is_summary(t)), cuts(ht.is_cash_game(t)), cuts(tourney.class_from_text(t))) == (1, 1, 3)
+
+
 def test_names_without_colon(spark):
     text = "** Dealing down cards **\nbob raises [1.400]\nal: folds\n** Dealing flop **\nbob bets [350]\nal b calls $[350]\n** Summary **"
     assert [(a.player, a.verb) for a in one(spark, ht.street_actions(F.lit(text), "preflop"))] == [("bob", "raises"), ("al", "folds")]
