@@ -220,8 +220,10 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("h") % 3 == 0, F.concat(F.lit("\n \nlate note "), F.col("h"))).otherwise(F.lit("")),
         F.when(F.col("h") % 5 == 4, F.concat(F.lit("\n\n\nTournament Results "), F.col("h"))).otherwise(F.lit("")),
     )
+    # all partitions are kept: cutting or storing a file takes far longer than its bytes tell, and a few merged ones leave cores idle
+    parts = t.select(F.floor(F.col("h") / 20).alias("f"), "h", part.alias("part")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "f")
     # at most twenty hands per file by construction
-    rows = t.groupBy(F.floor(F.col("h") / 20).alias("f")).agg(F.array_sort(F.collect_list(F.struct("h", part.alias("part")))).alias("p"))
+    rows = parts.groupBy("f").agg(F.array_sort(F.collect_list(F.struct("h", "part"))).alias("p"))
     body = F.array_join(F.transform("p", lambda x: x["part"]), "\n\n")
     return rows.select(F.concat(F.lit("F"), F.col("f")).alias("file_id"), F.concat(F.lit("preamble\n\n"), body).alias("text"))
 

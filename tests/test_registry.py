@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 import __spark_entry__ as entry
-from checks import facts, registry, verify
+from checks import facts, registry, texts, verify
 from tallyhand.plans import catalogue, opportunities
 
 QUERIES, ORACLES = registry.queries(), registry.oracles()
@@ -61,3 +61,8 @@ def test_texts_are_written_once_a_pass(spark, sf_dir, name, mark, times):
     # an exploded column would bring a filter on its size, in which the text is computed again
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(mark) == times
+
+
+def test_files_keep_all_partitions(spark, sf_dir):
+    # merged by bytes they were one more than there are cores, and the last ran alone
+    assert texts.files(spark, sf_dir).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
